@@ -7,7 +7,6 @@ books of 150, one regulation per supplier, one filing per order.  Document
 texts are composed from a fixed number of slots, never by collecting a group.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -134,12 +133,12 @@ SELECT cast(ok as bigint) AS filing_id, b.symbol AS ticker,
        || ' delivered by sea. Our reliance on one plant near the coast is high! Cash is essential to the daily '
        || 'operation of ' || coalesce(p1, 'all sites') || '.' || chr(10)
        || CASE WHEN ok % 8 = 6 THEN '' ELSE 'Risk factors' || chr(10)
-            || 'Changes in tax law and government regulation could raise our cost of doing business. '
-            || CASE WHEN ok % 3 = 0 THEN 'New tariffs and trade tension may reduce what we sell abroad, in '
+            || 'Changes in tax law and government regulation could raise the cost of doing business for ' || b.company || '. '
+            || CASE WHEN ok % 3 = 0 THEN 'New tariffs and trade tension may reduce what ' || b.company || ' sells abroad, in '
                  || CASE WHEN ok % 2 = 0 THEN 'China' ELSE 'Europe' END || ' above all. ' ELSE '' END
-            || CASE WHEN ok % 3 = 1 THEN 'A shortage at a single supplier may cause a long disruption of the supply chain. '
+            || CASE WHEN ok % 3 = 1 THEN 'A shortage at a single supplier may cause a long disruption in the supply chain of ' || b.company || '. '
                  ELSE 'Short supply chain note. ' END
-            || CASE WHEN ok % 4 = 0 THEN 'A data breach or cyber event could harm our reputation and lead to sanctions! ' ELSE '' END
+            || CASE WHEN ok % 4 = 0 THEN 'A data breach or cyber event could harm ' || b.company || ' and lead to sanctions! ' ELSE '' END
             || CASE WHEN ok % 5 = 2 THEN 'Currency moves and interest rate changes affect the debt we carry each year. ' ELSE '' END
             || 'Does climate change matter' END AS text
 FROM @filing_slots@ JOIN @orders@ ON ok = o_orderkey JOIN @books@ b ON o_custkey = b.k""",
@@ -257,12 +256,3 @@ class Inputs:
         return self.spark.sql(sql)
 
     __getitem__ = get
-
-
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the shared checkpoint location of the session.
-
-    Only where a session names none (local tests) is a temporary folder used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base or tempfile.mkdtemp(prefix='tidewarden-')}/run-{uuid.uuid4().hex}"

@@ -7,11 +7,12 @@ compared value by value.
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import config as C
-from ..fixtures import Inputs, scratch
+from ..fixtures import Inputs
 from ..functions import lexicon as L, numbers as N, overrides as O, replies as R, scoring as S, sections as SE, text as T
 from ..operators import datasets as D, extract as E, filings as FI, mentions as M, passages as P
 from ..operators import portfolio as PF, ranking as RK, recommend as RC
 from ..operators.rows import unnest, unnest_fields
+from ..sources.stage import scratch, stage
 from ..sources import documents as SD, facts as SF, tables as ST
 from . import impact as I, report as RP
 
@@ -68,11 +69,12 @@ def all_facts(x: Inputs) -> DataFrame:
 
 
 def base(x: Inputs) -> DataFrame:
-    return I.base_impact(portfolio(x), extracted(x))
+    return I.base_impact(portfolio(x), stage(extracted(x)))
 
 
-def full(x: Inputs) -> DataFrame:
-    return I.full_impact(portfolio(x), extracted(x), facts(x), x["company_findings"])
+def full(x: Inputs, regs: DataFrame | None = None) -> DataFrame:
+    regs = stage(extracted(x)) if regs is None else regs
+    return I.full_impact(portfolio(x), regs, stage(facts(x)), x["company_findings"])
 
 
 # ---------------------------------------------------------------- sources
@@ -219,9 +221,10 @@ def inline_config(x):
 @query
 def config_overlay(x):
     # Themes of the holdings and targets under the dictionaries of each document.
-    scored = base(x)
+    regs = stage(extracted(x))
+    scored = I.base_impact(portfolio(x), regs)
     return scored.select("reg_id", "symbol", "risk_theme").join(
-        I.targeted_by_regulation(extracted(x), True).select(
+        I.targeted_by_regulation(regs, True).select(
             "reg_id", joined("targeted_themes").alias("targeted_themes")), "reg_id")
 
 
@@ -397,12 +400,12 @@ def book_suppliers(x):
 
 @query
 def supplier_mentions(x):
-    return M.supplier_counts(cleaned(x), book_suppliers(x)).select("reg_id", "symbol", "supplier_hits")
+    return M.supplier_counts(stage(cleaned(x)), stage(book_suppliers(x))).select("reg_id", "symbol", "supplier_hits")
 
 
 @query
 def supplier_geo_pairs(x):
-    return M.supplier_geo_pairs(extracted(x), book_suppliers(x)).select("reg_id", "symbol", "geo_pairs")
+    return M.supplier_geo_pairs(stage(extracted(x)), stage(book_suppliers(x))).select("reg_id", "symbol", "geo_pairs")
 
 
 @query
@@ -531,12 +534,12 @@ def dominant_theme(x):
 
 @query
 def risk_stats(x):
-    return rounded(PF.risk_stats(full(x)), "mean_risk", "median_risk")
+    return rounded(PF.risk_stats(stage(full(x))), "mean_risk", "median_risk")
 
 
 @query
 def attention_zone(x):
-    return rounded(PF.attention_zone(full(x)), "max_weight", "weight_q75", "risk_q75")
+    return rounded(PF.attention_zone(stage(full(x))), "max_weight", "weight_q75", "risk_q75")
 
 
 @query
@@ -578,21 +581,24 @@ def next_deadline(x):
 
 @query
 def recommendations(x):
-    rows = RC.rule_recommendations(full(x), extracted(x))
+    regs = stage(extracted(x))
+    rows = RC.rule_recommendations(stage(full(x, regs)), regs)
     return rows.select("reg_id", "action", "position", "ticker", "from_sector", "urgency",
                        r6("risk_score").alias("risk_score"))
 
 
 @query
 def portfolio_advice(x):
-    regs = extracted(x)
-    return RC.portfolio_advice(base(x), regs, I.targeted_by_regulation(regs, True)).select(
+    regs = stage(extracted(x))
+    scored = stage(I.base_impact(portfolio(x), regs))
+    return RC.portfolio_advice(scored, regs, I.targeted_by_regulation(regs, True)).select(
         "reg_id", "pos", "advice")
 
 
 @query
 def reco_reduce(x):
-    rows = RC.reduce_rows(full(x), extracted(x))
+    regs = stage(extracted(x))
+    rows = RC.reduce_rows(full(x, regs), regs)
     return rounded(rows.withColumn("suppliers_at_risk", joined("suppliers_at_risk")).drop("geographic_exposure"),
                    "risk_score", "estimated_loss_billions")
 
@@ -615,15 +621,19 @@ def reco_monitor(x):
 
 @query
 def reco_override(x):
-    rows = RC.override_rules(RC.rule_recommendations(full(x), extracted(x)), x["recommendation_replies"])
+    regs = stage(extracted(x))
+    rules = RC.rule_recommendations(stage(full(x, regs)), regs)
+    rows = RC.override_rules(rules, x["recommendation_replies"])
     return rows.select("reg_id", "action", "position", "ticker", joined("tickers").alias("tickers"), "reason",
                        "timeline", "estimated_impact", "urgency")
 
 
 @query
 def reco_display(x):
-    rows = RC.display(RC.reduce_rows(full(x), extracted(x)).unionByName(
-        RC.hedge_rows(full(x)), allowMissingColumns=True))
+    regs = stage(extracted(x))
+    scored = stage(full(x, regs))
+    rows = RC.display(RC.reduce_rows(scored, regs).unionByName(
+        RC.hedge_rows(scored), allowMissingColumns=True))
     return rounded(rows, "risk_score", "estimated_loss_billions")
 
 
@@ -636,7 +646,7 @@ def scenario_losses(x):
 
 @query
 def chart_risk_weight(x):
-    return billions(rounded(D.risk_weight(full(x)), "weight", "risk_score", "loss_pct", "mean_risk"), "market_cap")
+    return billions(rounded(D.risk_weight(stage(full(x))), "weight", "risk_score", "loss_pct", "mean_risk"), "market_cap")
 
 
 @query
@@ -680,7 +690,7 @@ def reply_themes(x) -> DataFrame:
 
 def filing_passages(x) -> DataFrame:
     rows = P.passages(x["filings"], ["filing_id", "ticker", "filing_type", "fiscal_year", "title", "url"], 300, 100)
-    return rows.withColumn("passage_id", F.col("filing_id") * 1000 + F.col("passage_no"))
+    return stage(rows.withColumn("passage_id", F.col("filing_id") * 1000 + F.col("passage_no")))
 
 
 @query

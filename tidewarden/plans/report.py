@@ -18,9 +18,15 @@ def report_themes(supplied: Column, text: Column) -> Column:
     return F.when(F.size(given) > 0, given).otherwise(fallback)
 
 
-def theme_snippets(passage_rows: DataFrame, themes: DataFrame, filters: dict | None = None) -> DataFrame:
-    """Retrieved snippets; a theme without any hit gets one row with an error text."""
-    found = P.snippets(P.top_passages(passage_rows.filter(P.attribute_filter(filters)), themes))
+def theme_snippets(passage_rows: DataFrame, themes: DataFrame, filters: dict | None = None,
+                   form: str = "10-K") -> DataFrame:
+    """Snippets retrieved from filings of one form, narrowed by the attribute filter.
+
+    A theme without any hit gets one row with an error text and does not
+    disturb the others.
+    """
+    wanted = (F.col("filing_type") == form) & P.attribute_filter(filters)
+    found = P.snippets(P.top_passages(passage_rows.filter(wanted), themes))
     return (themes.select("theme").distinct().join(found, "theme", "left")
             .withColumn("error", F.when(F.col("position").isNull(), F.lit("no passage found"))))
 
