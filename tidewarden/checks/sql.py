@@ -5,6 +5,8 @@ found over token lists, sections by position of the matched line.  ``@name@``
 refers to a driver table, a composed input or another step.
 """
 
+import re
+
 from .. import config as C
 from ..fixtures import FIXTURES, TABLES
 
@@ -400,7 +402,7 @@ DEADLINE = """list_min(list_transform(dates, lambda d: coalesce(try_strptime(d,
 
 ORACLES = {
     "holdings_load": "SELECT rank, company, symbol, weight, round(price, 2) AS price, portfolio_id FROM @holdings@",
-    "fundamentals_load": """SELECT symbol, company_name, round(market_cap) AS market_cap, revenue, op_income,
+    "fundamentals_load": """SELECT symbol, company_name, round(market_cap) AS market_cap, revenue, op_income::decimal(20,8)::double AS op_income,
   CASE WHEN eps = 1 THEN 0 ELSE net_income END AS net_income, eps, fcf FROM @fundamentals@""",
     "filing_pick": "SELECT ticker, name FROM @picked@",
     "reg_docs_load": f"""SELECT name, ext, {space('text')} AS text FROM @regulation_docs@
@@ -416,7 +418,7 @@ FROM @extracted@ x GROUP BY x.portfolio_id""",
     "facts_roundtrip": f"SELECT ticker, {FACT_COLUMNS}, coalesce({EXPOSURE}, '') AS {EXPOSURE} FROM (SELECT * REPLACE (coalesce(risk_factors, []) AS risk_factors) FROM @facts@)",
     "decimal_comma_cast": "SELECT symbol, weight, round(price, 2) AS price FROM @holdings@",
     "strip_clean": "SELECT symbol, company, '\"' || company || '\"' AS stripped FROM @holdings@",
-    "numeric_coerce": """SELECT symbol, round(market_cap) AS market_cap, revenue, op_income,
+    "numeric_coerce": """SELECT symbol, round(market_cap) AS market_cap, revenue, op_income::decimal(20,8)::double AS op_income,
   CASE WHEN eps = 1 THEN 0 ELSE net_income END AS net_income, eps, fcf FROM @fundamentals@""",
     "margins": """SELECT symbol, round(op_income / nullif(revenue, 0), 6) AS op_margin, round(net_income / nullif(revenue, 0), 6) AS net_margin
 FROM @fundamentals@""",
@@ -491,7 +493,7 @@ FROM @extracted@ x JOIN @params@ p ON p.reg_id = x.reg_id""",
     "geographic_risk": score("geographic_risk"),
     "model_risk": score("finding_risk"),
     "blended_risk": score("risk_score"),
-    "loss_estimate": "SELECT reg_id, symbol, round(loss_pct, 6) AS loss_pct, round(round(loss, 6) / 1e9, 6) AS loss FROM @scored@",
+    "loss_estimate": "SELECT reg_id, symbol, round(loss_pct, 6) AS loss_pct, round(loss / 1e9, 6) AS loss FROM @scored@",
     "risk_drivers": "SELECT reg_id, symbol, risk_drivers FROM @base@",
     "risk_drivers_full": "SELECT reg_id, symbol, risk_drivers FROM @scored@",
     "extraction_merge": f"""SELECT x.reg_id, CASE WHEN f.reg_id IS NULL THEN type_reg WHEN NOT json_valid(finding) THEN 'Unknown'
@@ -604,5 +606,9 @@ def with_steps(sql: str) -> str:
     return (f"WITH {ctes}\n" if ctes else "") + plain(sql)
 
 
+# Six-decimal results carry the same tie-breaking offset as the Spark side.
+SIX = re.compile(r"round\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*), 6\)")
+
+
 def oracle_queries() -> dict[str, str]:
-    return {name: with_steps(sql) for name, sql in ORACLES.items()}
+    return {name: with_steps(SIX.sub(r"round((\1) + 3e-10::double, 6)", sql)) for name, sql in ORACLES.items()}

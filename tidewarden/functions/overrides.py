@@ -32,8 +32,9 @@ def param(cfg: Column, name: str, default: float | None = None) -> Column:
 
 
 def word_list(raw: Column) -> Column:
-    """A JSON list of words, or one bare word, as an array."""
-    return F.when(F.ltrim(raw).startswith("["), F.from_json(raw, "array<string>")).otherwise(F.array(raw))
+    """A JSON list of words, or one bare word, as an array; null stays null."""
+    return (F.when(F.ltrim(raw).startswith("["), F.from_json(raw, "array<string>"))
+            .when(raw.isNotNull(), F.array(raw)))
 
 
 def company_rules(cfg: Column) -> Column:
@@ -80,5 +81,4 @@ def text_rules(cfg: Column) -> Column:
 def targets_by(cfg: Column, reg_type: Column) -> Column:
     """Themes targeted by a type after overrides."""
     own = word_list(F.try_element_at(cfg["reg_type_targets"], reg_type))
-    return F.when(F.try_element_at(cfg["reg_type_targets"], reg_type).isNotNull(), own).otherwise(
-        type_targets(reg_type))
+    return F.coalesce(own, type_targets(reg_type))

@@ -22,8 +22,14 @@ RECOMMENDATION = (
 
 
 def is_json(c: Column) -> Column:
-    """True for a well-formed JSON object or array."""
-    return F.try_parse_json(c).isNotNull() & F.ltrim(c).rlike(r"^[\[{]")
+    """True for one well-formed JSON object or array and nothing after it.
+
+    The parser stops after the first value, so the text is tested inside an
+    array and inside an object: only a complete single value fits both.
+    """
+    in_list = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}"))).isNotNull()
+    return F.coalesce(F.ltrim(c).rlike(r"^[\[{]") & in_list & in_object, F.lit(False))
 
 
 def _reply_body(reply: Column) -> Column:
