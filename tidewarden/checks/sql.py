@@ -216,7 +216,7 @@ def boundary(name: str) -> str:
 
 SURFACE = "regexp_replace(lower(company), '^[^a-z0-9_]+|[^a-z0-9_]+$', '', 'g')"
 BOOK = "reg_id, portfolio_id"
-RISK_ORDER = f"PARTITION BY {BOOK} ORDER BY risk_score DESC, rank, symbol"
+RISK_ORDER = f"PARTITION BY {BOOK} ORDER BY round(risk_score, 9) DESC, rank, symbol"
 
 STEPS = {
     "cleaned": f"""SELECT reg_id, portfolio_id, name, ext, ord, body, CASE WHEN json_valid(block) THEN block END AS cfg,
@@ -285,7 +285,7 @@ FROM @extracted@ x JOIN @portfolio@ p ON x.portfolio_id = p.portfolio_id JOIN @p
     "geo_pairs": f"""SELECT x.reg_id, s.symbol, count(*) AS n FROM (SELECT reg_id, portfolio_id, unnest(entities) AS e FROM @extracted@) x
   JOIN @held_suppliers@ s ON s.portfolio_id = x.portfolio_id AND contains(lower(s.supplier), lower(e))
   WHERE {any_in('e', C.SUPPLY_COUNTRIES)} GROUP BY ALL""",
-    "region_pairs": f"""SELECT DISTINCT x.reg_id, h.symbol, g.region, g.share FROM
+    "region_pairs": f"""SELECT DISTINCT x.reg_id, h.symbol, g.region, g.share, g.seen, g.ord FROM
   (SELECT reg_id, portfolio_id, unnest(entities) AS e FROM @extracted@) x JOIN @holdings@ h ON h.portfolio_id = x.portfolio_id
   JOIN @geography@ g ON g.doc = h.symbol AND contains(lower(e), lower(g.region)) WHERE {any_in('e', C.EXPOSURE_COUNTRIES)}""",
     "finding_scores": """SELECT reg_id, symbol, coalesce(try_cast(json_extract_string(j, '$.impact_direct') AS double), 0) AS d,
@@ -300,7 +300,7 @@ FROM (SELECT *, CASE WHEN json_valid(finding) THEN finding END AS j FROM @compan
 FROM @named@ n JOIN @targeted_full@ t ON t.reg_id = n.reg_id LEFT JOIN @facts@ f ON f.ticker = n.symbol
 LEFT JOIN @supplier_hits@ sh ON sh.reg_id = n.reg_id AND sh.symbol = n.symbol
 LEFT JOIN @geo_pairs@ gp ON gp.reg_id = n.reg_id AND gp.symbol = n.symbol
-LEFT JOIN (SELECT reg_id, symbol, sum(share / 100 * 0.5::double) AS total FROM @region_pairs@ GROUP BY ALL) rp
+LEFT JOIN (SELECT reg_id, symbol, sum(share / 100 * 0.5::double ORDER BY seen, ord) AS total FROM @region_pairs@ GROUP BY ALL) rp
   ON rp.reg_id = n.reg_id AND rp.symbol = n.symbol
 LEFT JOIN @finding_scores@ fs ON fs.reg_id = n.reg_id AND fs.symbol = n.symbol""",
     "full_direct": """SELECT *, least(0.05::double + intensity + CASE WHEN sym THEN p_mention_boost ELSE 0 END
@@ -319,11 +319,11 @@ FROM (SELECT *, least(risk_score * p_loss_pct_multiplier, p_max_loss_pct) AS los
     "concentration": f"""SELECT {BOOK}, risk_theme, sum(weight) AS weight_exposure, avg(risk_score) AS avg_risk, max(risk_score) AS max_risk,
   sum(loss) AS est_loss, count(*) AS n_holdings FROM @scored@ GROUP BY ALL""",
     "safe": f"""SELECT c.reg_id, c.portfolio_id, c.risk_theme, c.avg_risk, c.weight_exposure,
-  coalesce(array_to_string((list(o.risk_theme ORDER BY o.avg_risk, o.risk_theme) FILTER (o.risk_theme IS NOT NULL))[1:3], '|'), '') AS target_sectors
+  coalesce(array_to_string((list(o.risk_theme ORDER BY round(o.avg_risk, 9), o.risk_theme) FILTER (o.risk_theme IS NOT NULL))[1:3], '|'), '') AS target_sectors
 FROM @concentration@ c LEFT JOIN @concentration@ o ON o.reg_id = c.reg_id AND o.portfolio_id = c.portfolio_id
   AND o.risk_theme <> c.risk_theme AND o.avg_risk < 0.30 GROUP BY ALL""",
     "ranked": f"SELECT *, row_number() OVER ({RISK_ORDER}) AS position FROM @scored@",
-    "reduce": f"""SELECT s.reg_id, s.portfolio_id, row_number() OVER (PARTITION BY s.reg_id, s.portfolio_id ORDER BY risk_score DESC, rank, symbol) AS position,
+    "reduce": f"""SELECT s.reg_id, s.portfolio_id, row_number() OVER (PARTITION BY s.reg_id, s.portfolio_id ORDER BY round(risk_score, 9) DESC, rank, symbol) AS position,
   CASE WHEN risk_score < 0.75 THEN 'REDUCE' ELSE 'SELL' END AS action, symbol AS ticker, company, weight AS current_weight,
   risk_score, loss / 1e9 AS estimated_loss_billions, risk_drivers AS reason,
   CASE WHEN risk_score > 0.75 THEN 'HIGH' ELSE 'MEDIUM' END AS urgency, coalesce(x.dates[1], {lit(C.NO_DEADLINE)}) AS timeline,

@@ -90,11 +90,11 @@ def base_drivers(x: dict[str, Column]) -> Column:
 
 
 def full_drivers(direct: Column, supply: Column, geographic: Column,
-                 suppliers: Column, exposure: Column) -> Column:
+                 n_suppliers: Column, exposure: Column) -> Column:
     regions = F.array_join(F.slice(F.transform(exposure, lambda e: e["region"]), 1, 3), ", ")
     return fired(
         (direct > 0.3, F.lit(C.DRIVER_DIRECT)),
-        (supply > 0.2, template(C.DRIVER_SUPPLY, F.size(suppliers).cast("string"))),
+        (supply > 0.2, template(C.DRIVER_SUPPLY, n_suppliers.cast("string"))),
         (geographic > 0.2, template(C.DRIVER_GEOGRAPHIC, regions)),
         default=C.DRIVER_DEFAULT)
 

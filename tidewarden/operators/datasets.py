@@ -43,9 +43,11 @@ def components_chart(scored: DataFrame, n: int = 10) -> DataFrame:
               "component", "value")
 
 
-def geography_chart(scored: DataFrame, tickers: int = 10) -> DataFrame:
+def geography_chart(scored: DataFrame, facts: DataFrame, tickers: int = 10) -> DataFrame:
     """Exposure rows of the riskiest holdings (at most 15 of them are charted)."""
-    return (unnest_fields(top_risks(scored, min(tickers, 15)), "geographic_exposure", "region", *BOOK, "symbol")
+    top = top_risks(scored, min(tickers, 15)).select(*BOOK, "symbol")
+    held = top.join(facts.select(F.col("ticker").alias("symbol"), "geographic_exposure"), "symbol")
+    return (unnest_fields(held, "geographic_exposure", "region", *BOOK, "symbol")
             .withColumnRenamed("share", "exposure"))
 
 
@@ -56,7 +58,8 @@ def timeline_chart(extracted: DataFrame, n: int = 10) -> DataFrame:
                         S.template(C.TIMELINE_LABEL, (F.col("i") + 1).cast("string")).alias("event"))
 
 
-def all_datasets(scored: DataFrame, concentration: DataFrame, extracted: DataFrame) -> dict[str, DataFrame]:
+def all_datasets(scored: DataFrame, concentration: DataFrame, extracted: DataFrame,
+                 facts: DataFrame | None = None) -> dict[str, DataFrame]:
     """Every dataset as a lazy frame; the optional ones only if their columns exist."""
     out = {
         "risk_weight": risk_weight(scored), "concentration": concentration_chart(concentration),
@@ -66,6 +69,6 @@ def all_datasets(scored: DataFrame, concentration: DataFrame, extracted: DataFra
     }
     if {"direct_risk", "supply_chain_risk", "geographic_risk"} <= set(scored.columns):
         out["components"] = components_chart(scored)
-    if "geographic_exposure" in scored.columns:
-        out["geography"] = geography_chart(scored)
+    if facts is not None:
+        out["geography"] = geography_chart(scored, facts)
     return out

@@ -15,7 +15,7 @@ from ..functions.text import extract_all
 from .rows import unnest
 
 WORD = r"(?U)\w+"
-SHORT_KEY, LONG_KEY = 4, 8
+KEY = 4
 
 
 def name_surface(name: Column) -> Column:
@@ -98,34 +98,43 @@ def _char_runs(text: Column, sizes: list[int]) -> Column:
         F.array(*[runs(n) for n in sizes]), lambda r: r.isNotNull())))
 
 
-def _key(needle: Column) -> Column:
-    return F.when(F.length(needle) >= LONG_KEY, F.left(needle, F.lit(LONG_KEY))).otherwise(
-        F.left(needle, F.lit(SHORT_KEY)))
-
-
 def holding_suppliers(holdings: DataFrame) -> DataFrame:
     """One row per (portfolio, symbol, supplier); needs the ``suppliers`` column."""
     return unnest(holdings, "suppliers", "supplier", "portfolio_id", "symbol")
 
 
+def _anchor(words: Column) -> Column:
+    """The longest word of a name (the first of equal ones)."""
+    return F.reduce(words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+
+
 def supplier_mentions(regs: DataFrame, suppliers: DataFrame) -> DataFrame:
     """(portfolio_id, reg_id, supplier) where the name is a substring of the text.
 
-    Supplier names have at least four characters.  Their first eight characters
-    (four for short names) find candidate documents by a hash join on character
-    runs; the full name is then checked against the text inside the join.
+    A name inside a text puts its longest word inside one word of that text.
+    That relation is found on the distinct vocabulary, through character runs;
+    documents then meet it by their distinct words, and the full name is
+    checked against the text inside the last join.  So the shuffled rows are
+    distinct words per document, not character positions.
     """
     texts = regs.select("portfolio_id", "reg_id", F.lower("text").alias("low"))
     wanted = (suppliers.select("portfolio_id", "supplier").distinct()
-              .withColumn("needle", F.lower("supplier")).withColumn("run", _key(F.col("needle"))))
-    runs = unnest(texts, _char_runs(F.col("low"), [SHORT_KEY, LONG_KEY]), "run", "portfolio_id", "reg_id")
-    candidates = (runs.join(wanted, ["portfolio_id", "run"])
-                  .select("portfolio_id", "reg_id", "supplier", "needle"))
-    found = candidates.join(texts.withColumnRenamed("portfolio_id", "_p"),
-                            (candidates.reg_id == texts.reg_id)
-                            & (F.col("portfolio_id") == F.col("_p"))
-                            & F.contains("low", "needle"))
-    return found.select("portfolio_id", candidates.reg_id, "supplier")
+              .withColumn("needle", F.lower("supplier"))
+              .withColumn("anchor", _anchor(extract_all(F.col("needle"), WORD))))
+    doc_words = unnest(texts, F.array_distinct(extract_all(F.col("low"), WORD)), "word",
+                       "portfolio_id", "reg_id")
+    sizes = list(range(1, KEY + 1))
+    vocabulary = doc_words.select("word").distinct()
+    runs = unnest(vocabulary, _char_runs(F.col("word"), sizes), "run", "word")
+    anchors = wanted.select("anchor").distinct().withColumn("run", F.left("anchor", F.lit(KEY)))
+    holds = (runs.join(anchors, "run").filter(F.contains("word", "anchor")).select("word", "anchor"))
+    candidates = (doc_words.join(holds, "word").join(wanted, ["portfolio_id", "anchor"])
+                  .select("portfolio_id", "reg_id", "supplier", "needle").distinct())
+    found = candidates.join(
+        texts.select(F.col("portfolio_id").alias("_p"), F.col("reg_id").alias("_r"), "low"),
+        (F.col("portfolio_id") == F.col("_p")) & (F.col("reg_id") == F.col("_r"))
+        & F.contains("low", "needle"))
+    return found.select("portfolio_id", "reg_id", "supplier")
 
 
 def places(regs: DataFrame, countries: list[str]) -> DataFrame:
@@ -140,9 +149,9 @@ def supplier_places(suppliers: DataFrame, entities: DataFrame) -> DataFrame:
     key; the whole place string is checked in the same row.
     """
     names = suppliers.select("supplier").distinct().withColumn("low", F.lower("supplier"))
-    runs = unnest(names, _char_runs(F.col("low"), list(range(1, SHORT_KEY + 1))), "run", "supplier", "low")
+    runs = unnest(names, _char_runs(F.col("low"), list(range(1, KEY + 1))), "run", "supplier", "low")
     wanted = (entities.select(F.lower("entity").alias("entity_low")).distinct()
-              .withColumn("run", F.left("entity_low", F.lit(SHORT_KEY))))
+              .withColumn("run", F.left("entity_low", F.lit(KEY))))
     return (runs.join(wanted, "run").filter(F.contains("low", "entity_low"))
             .select("supplier", "entity_low"))
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..sources.stage import stage
 from .mentions import WORD, _word_runs, name_surface, name_words
 from .ranking import top_k
 from .rows import unnest, unnest_numbered
@@ -31,27 +32,29 @@ def attribute_filter(filters: dict | None) -> Column:
     return out
 
 
+def with_word_counts(passage_rows: DataFrame) -> DataFrame:
+    return passage_rows.withColumn("n_words", F.size(T.extract_all(F.col("passage"), WORD)))
+
+
 def theme_scores(passage_rows: DataFrame, themes: DataFrame) -> DataFrame:
     """BM25 score of every passage that holds a theme phrase.
 
-    passage_rows: passage_id, passage.  themes: theme (distinct).  The phrase is
+    passage_rows: passage_id, passage, n_words.  themes: theme.  The phrase is
     the query term.  Passages are cut into word runs of the lengths that themes
     have and meet the themes in a hash join, so only passages with a phrase go
-    on; length statistics come from the same word counts.
+    on.  The hits are written once, because the document frequency and the
+    score both read them.
     """
     wanted = (themes.select("theme").distinct()
               .withColumn("surface", name_surface(F.col("theme")))
               .filter(F.col("surface") != "").withColumn("_n", name_words(F.col("surface"))))
     lengths = wanted.agg(F.sort_array(F.collect_set("_n")).alias("l")).scalar()
-    sized = passage_rows.withColumn("n_words", F.size(T.extract_all(F.col("passage"), WORD)))
-    stats = sized.agg(F.struct(F.avg("n_words").alias("avg_words"), F.count("*").alias("n")).alias("s")).scalar()
-    runs = unnest(sized.withColumn("_lengths", lengths), _word_runs(F.col("passage"), F.col("_lengths")),
+    stats = passage_rows.agg(F.struct(F.avg("n_words").alias("avg_words"), F.count("*").alias("n")).alias("s")).scalar()
+    runs = unnest(passage_rows.withColumn("_lengths", lengths), _word_runs(F.col("passage"), F.col("_lengths")),
                   "surface", "passage_id", "n_words", F.lower("passage").alias("_low"))
-    # How often a phrase occurs: boundaries hold on both sides, so removing the
-    # phrase and comparing lengths would miscount; the pattern is literal.
     pattern = F.concat(F.lit(r"(?U)\b\Q"), F.col("surface"), F.lit(r"\E\b"))
-    hits = (runs.join(wanted.select("theme", "surface"), "surface")
-            .select("theme", "passage_id", "n_words", F.regexp_count(F.col("_low"), pattern).alias("tf")))
+    hits = stage(runs.join(wanted.select("theme", "surface"), "surface")
+                 .select("theme", "passage_id", "n_words", F.regexp_count(F.col("_low"), pattern).alias("tf")))
     df = hits.groupBy("theme").agg(F.count("*").alias("df"))
     scored = hits.join(df, "theme").withColumn("_s", stats)
     n, avg = F.col("_s.n"), F.col("_s.avg_words")

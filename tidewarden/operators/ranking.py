@@ -15,8 +15,11 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, position:
 
 
 def by_risk() -> list[Column]:
-    """Highest risk first; ties keep the order of the holdings file."""
-    return [F.col("risk_score").desc(), F.col("rank").asc(), F.col("symbol").asc()]
+    """Highest risk first; ties keep the order of the holdings file.
+
+    Scores that differ only in the last bits of a sum count as tied.
+    """
+    return [F.round("risk_score", 9).desc(), F.col("rank").asc(), F.col("symbol").asc()]
 
 
 def top_risks(scored: DataFrame, k: int = 15, keys: list[str] = BOOK) -> DataFrame:

@@ -29,10 +29,11 @@ def portfolio_advice(scored: DataFrame, extracted: DataFrame, targeted: DataFram
     return facts.select(*BOOK, F.posexplode(lines).alias("pos", "advice"))
 
 
-def reduce_rows(scored: DataFrame, extracted: DataFrame) -> DataFrame:
+def reduce_rows(scored: DataFrame, extracted: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """SELL or REDUCE for the ten riskiest holdings above the high mark.
 
     At exactly the sell mark the action is SELL and the urgency stays MEDIUM.
+    Suppliers and exposure are joined to these few rows only.
     """
     top = top_k(scored.filter(F.col("risk_score") > C.HIGH_RISK), BOOK, by_risk(), 10)
     risk = F.col("risk_score")
@@ -43,10 +44,11 @@ def reduce_rows(scored: DataFrame, extracted: DataFrame) -> DataFrame:
         "risk_score", (F.col("loss") / 1e9).alias("estimated_loss_billions"),
         F.col("risk_drivers").alias("reason"),
         F.when(risk > C.SELL_RISK, F.lit("HIGH")).otherwise(F.lit("MEDIUM")).alias("urgency"),
-        F.coalesce("timeline", F.lit(C.NO_DEADLINE)).alias("timeline"),
-        *([F.slice("suppliers", 1, 3).alias("suppliers_at_risk"), "geographic_exposure"]
-          if "suppliers" in scored.columns else []))
-    return out
+        F.coalesce("timeline", F.lit(C.NO_DEADLINE)).alias("timeline"))
+    if facts is None:
+        return out
+    return out.join(facts.select("ticker", F.slice("suppliers", 1, 3).alias("suppliers_at_risk"),
+                                 "geographic_exposure"), "ticker", "left")
 
 
 def hedge_rows(scored: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def safe_themes(concentration: DataFrame, k: int = 3) -> DataFrame:
     are cut by a top-k and attached by book; no theme meets every other.
     """
     safe = top_k(concentration.filter(F.col("avg_risk") < C.SAFE_RISK), BOOK,
-                 [F.col("avg_risk").asc(), F.col("risk_theme").asc()], k + 1, "_p")
+                 [F.round("avg_risk", 9).asc(), F.col("risk_theme").asc()], k + 1, "_p")
     lists = safe.groupBy(*BOOK).agg(F.sort_array(F.collect_list(F.struct("_p", "risk_theme"))).alias("_safe"))
     others = F.transform(F.filter("_safe", lambda s: s["risk_theme"] != F.col("risk_theme")),
                          lambda s: s["risk_theme"])
@@ -97,9 +99,9 @@ def monitor_rows(scored: DataFrame) -> DataFrame:
                        F.lit(C.MONITOR_REVIEW).alias("next_review"), F.lit("LOW").alias("urgency"))
 
 
-def rule_recommendations(scored: DataFrame, extracted: DataFrame) -> DataFrame:
+def rule_recommendations(scored: DataFrame, extracted: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """All rule rows in one nullable layout; one column ``urgency`` for every action."""
-    out = reduce_rows(scored, extracted)
+    out = reduce_rows(scored, extracted, facts)
     for part in (hedge_rows(scored), rotation_rows(scored), monitor_rows(scored)):
         out = out.unionByName(part, allowMissingColumns=True)
     return out

@@ -1,5 +1,7 @@
 """Score the holdings of a portfolio against the regulations that concern it.
 
+``assess`` is the whole chain; the other functions are its steps.
+
 Input frames
   holdings   portfolio_id, symbol, company, weight, rank, market_cap, ...
              optional risk_theme (kept when present)
@@ -8,12 +10,16 @@ Input frames
   findings   reg_id, symbol, finding (JSON)
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
 from ..functions import lexicon as L, numbers as N, overrides as O, replies as R, scoring as S
-from ..operators import filings as FI, mentions as M
+from ..operators import extract as E, filings as FI, mentions as M
 from ..operators.rows import unnest
+from ..sources.documents import pick_filings
+from ..sources.stage import stage
 
 PAIR = ["reg_id", "portfolio_id", "symbol"]
 SCORE_COLUMNS = {"weight": 0.0, "market_cap": 0.0}
@@ -108,8 +114,8 @@ def base_impact(holdings: DataFrame, regs: DataFrame, include_measure_themes: bo
 def full_impact(holdings: DataFrame, regs: DataFrame, facts: DataFrame,
                 findings: DataFrame | None = None, include_measure_themes: bool = False) -> DataFrame:
     """Blended scoring: direct, supply-chain and geographic risk, and findings if given."""
-    ready = FI.attach_facts(
-        prepare_holdings(holdings), facts.select("ticker", "suppliers", "geographic_exposure"))
+    ready = FI.attach_facts(prepare_holdings(holdings), facts.select(
+        "ticker", F.size("suppliers").alias("n_suppliers"), "geographic_exposure"))
     suppliers = unnest(facts, "suppliers", "supplier", F.col("ticker").alias("symbol")).join(
         holdings.select("portfolio_id", "symbol"), "symbol")
     pairs = assessment_pairs(ready, regulation_features(regs, include_measure_themes))
@@ -128,10 +134,10 @@ def full_impact(holdings: DataFrame, regs: DataFrame, facts: DataFrame,
     }).withColumn("risk_score", S.blended_risk(
         F.col("direct_risk"), F.col("supply_chain_risk"), F.col("geographic_risk"), F.col("finding_risk")))
     drivers = S.full_drivers(F.col("direct_risk"), F.col("supply_chain_risk"), F.col("geographic_risk"),
-                             F.col("suppliers"), F.col("geographic_exposure"))
+                             F.coalesce("n_suppliers", zero), F.col("geographic_exposure"))
     return _losses(scored).select(
         *KEYS, "direct_risk", "supply_chain_risk", "geographic_risk", "finding_risk", "risk_score",
-        "loss_pct", "loss", drivers.alias("risk_drivers"), "suppliers", "geographic_exposure")
+        "loss_pct", "loss", drivers.alias("risk_drivers"))
 
 
 def join_findings(scored: DataFrame, findings: DataFrame) -> DataFrame:
@@ -149,3 +155,37 @@ def join_findings(scored: DataFrame, findings: DataFrame) -> DataFrame:
 def targeted_by_regulation(regs: DataFrame, include_measure_themes: bool = False) -> DataFrame:
     return regulation_features(regs, include_measure_themes).select(
         "reg_id", "portfolio_id", "targeted_themes")
+
+
+@dataclass
+class Assessment:
+    """Tables of one assessment; ``scored`` is lazy until staged."""
+    holdings: DataFrame
+    regulations: DataFrame
+    facts: DataFrame
+    scored: DataFrame
+
+    def staged(self) -> "Assessment":
+        """The same with the scores written once, for several consumers."""
+        return Assessment(self.holdings, self.regulations, self.facts, stage(self.scored))
+
+
+def chosen_facts(filings: DataFrame) -> DataFrame:
+    """Facts of the one chosen filing per ticker (columns ticker, name, text)."""
+    best = pick_filings(filings.select("ticker", "name"))
+    return FI.filing_facts(filings.join(best, ["ticker", "name"], "left_semi"), ["ticker"])
+
+
+def assess(holdings: DataFrame, documents: DataFrame, filings: DataFrame,
+           company_findings: DataFrame | None = None,
+           regulation_findings: DataFrame | None = None) -> Assessment:
+    """Extract, read filings, merge supplied findings and score.
+
+    Extraction and facts are each read by several joins, so they are written as
+    tables first; an empty portfolio simply gives empty results.
+    """
+    regs = E.extract_documents(documents)
+    if regulation_findings is not None:
+        regs = E.merge_findings(regs, regulation_findings)
+    held, regs, facts = stage(holdings), stage(regs), stage(chosen_facts(filings))
+    return Assessment(held, regs, facts, full_impact(held, regs, facts, company_findings))

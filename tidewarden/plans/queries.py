@@ -57,13 +57,8 @@ def extracted(x: Inputs) -> DataFrame:
     return E.extract(cleaned(x))
 
 
-def chosen_filings(x: Inputs) -> DataFrame:
-    filings = x["filings"]
-    return filings.join(SD.pick_filings(filings.select("ticker", "name")), ["ticker", "name"], "left_semi")
-
-
 def facts(x: Inputs) -> DataFrame:
-    return FI.filing_facts(chosen_filings(x), ["ticker"])
+    return I.chosen_facts(x["filings"])
 
 
 def all_facts(x: Inputs) -> DataFrame:
@@ -71,12 +66,15 @@ def all_facts(x: Inputs) -> DataFrame:
 
 
 def base(x: Inputs) -> DataFrame:
-    return I.base_impact(portfolio(x), stage(extracted(x)))
+    return I.base_impact(stage(portfolio(x)), stage(extracted(x)))
+
+
+def assessed(x: Inputs) -> I.Assessment:
+    return I.assess(portfolio(x), x["regulation_docs"], x["filings"], x["company_findings"])
 
 
-def full(x: Inputs, regs: DataFrame | None = None) -> DataFrame:
-    regs = stage(extracted(x)) if regs is None else regs
-    return I.full_impact(portfolio(x), regs, stage(facts(x)), x["company_findings"])
+def full(x: Inputs) -> DataFrame:
+    return assessed(x).scored
 
 
 # ---------------------------------------------------------------- sources
@@ -224,7 +222,7 @@ def inline_config(x):
 def config_overlay(x):
     # Themes of the holdings and targets under the dictionaries of each document.
     regs = stage(extracted(x))
-    scored = I.base_impact(portfolio(x), regs)
+    scored = I.base_impact(stage(portfolio(x)), regs)
     return scored.select("reg_id", "symbol", "risk_theme").join(
         I.targeted_by_regulation(regs, True).select(
             "reg_id", joined("targeted_themes").alias("targeted_themes")), "reg_id")
@@ -396,18 +394,18 @@ def theme_hits(x):
 
 
 def book_suppliers(x):
-    return M.holding_suppliers(x["holdings"].join(
-        facts(x).select(F.col("ticker").alias("symbol"), "suppliers"), "symbol"))
+    return stage(M.holding_suppliers(x["holdings"].join(
+        facts(x).select(F.col("ticker").alias("symbol"), "suppliers"), "symbol")))
 
 
 @query
 def supplier_mentions(x):
-    return M.supplier_counts(stage(cleaned(x)), stage(book_suppliers(x))).select("reg_id", "symbol", "supplier_hits")
+    return M.supplier_counts(stage(cleaned(x)), book_suppliers(x)).select("reg_id", "symbol", "supplier_hits")
 
 
 @query
 def supplier_geo_pairs(x):
-    return M.supplier_geo_pairs(stage(extracted(x)), stage(book_suppliers(x))).select("reg_id", "symbol", "geo_pairs")
+    return M.supplier_geo_pairs(stage(extracted(x)), book_suppliers(x)).select("reg_id", "symbol", "geo_pairs")
 
 
 @query
@@ -583,8 +581,8 @@ def next_deadline(x):
 
 @query
 def recommendations(x):
-    regs = stage(extracted(x))
-    rows = RC.rule_recommendations(stage(full(x, regs)), regs)
+    a = assessed(x).staged()
+    rows = RC.rule_recommendations(a.scored, a.regulations)
     return rows.select("reg_id", "action", "position", "ticker", "from_sector", "urgency",
                        r6("risk_score").alias("risk_score"))
 
@@ -592,15 +590,15 @@ def recommendations(x):
 @query
 def portfolio_advice(x):
     regs = stage(extracted(x))
-    scored = stage(I.base_impact(portfolio(x), regs))
+    scored = stage(I.base_impact(stage(portfolio(x)), regs))
     return RC.portfolio_advice(scored, regs, I.targeted_by_regulation(regs, True)).select(
         "reg_id", "pos", "advice")
 
 
 @query
 def reco_reduce(x):
-    regs = stage(extracted(x))
-    rows = RC.reduce_rows(full(x, regs), regs)
+    a = assessed(x)
+    rows = RC.reduce_rows(a.scored, a.regulations, a.facts)
     return rounded(rows.withColumn("suppliers_at_risk", joined("suppliers_at_risk")).drop("geographic_exposure"),
                    "risk_score", "estimated_loss_billions")
 
@@ -623,8 +621,8 @@ def reco_monitor(x):
 
 @query
 def reco_override(x):
-    regs = stage(extracted(x))
-    rules = RC.rule_recommendations(stage(full(x, regs)), regs)
+    a = assessed(x).staged()
+    rules = RC.rule_recommendations(a.scored, a.regulations)
     rows = RC.override_rules(rules, x["recommendation_replies"])
     return rows.select("reg_id", "action", "position", "ticker", joined("tickers").alias("tickers"), "reason",
                        "timeline", "estimated_impact", "urgency")
@@ -632,10 +630,9 @@ def reco_override(x):
 
 @query
 def reco_display(x):
-    regs = stage(extracted(x))
-    scored = stage(full(x, regs))
-    rows = RC.display(RC.reduce_rows(scored, regs).unionByName(
-        RC.hedge_rows(scored), allowMissingColumns=True))
+    a = assessed(x).staged()
+    rows = RC.display(RC.reduce_rows(a.scored, a.regulations).unionByName(
+        RC.hedge_rows(a.scored), allowMissingColumns=True))
     return rounded(rows, "risk_score", "estimated_loss_billions")
 
 
@@ -673,7 +670,8 @@ def chart_components(x):
 
 @query
 def chart_geography(x):
-    return D.geography_chart(full(x), 15)
+    a = assessed(x)
+    return D.geography_chart(a.scored, a.facts, 15)
 
 
 @query
@@ -686,13 +684,13 @@ def chart_timeline(x):
 def reply_themes(x) -> DataFrame:
     parsed = x["model_replies"].select(
         "reg_id", F.from_json(R.reply_record(F.col("reply"))["json"], "themes array<string>")["themes"].alias("given"))
-    return cleaned(x).join(parsed, "reg_id").select(
-        "reg_id", "text", RP.report_themes(F.col("given"), F.col("text")).alias("themes"))
+    return stage(cleaned(x).join(parsed, "reg_id").select(
+        "reg_id", RP.report_themes(F.col("given"), F.col("text")).alias("themes")))
 
 
 def filing_passages(x) -> DataFrame:
     rows = P.passages(x["filings"], ["filing_id", "ticker", "filing_type", "fiscal_year", "title", "url"], 300, 100)
-    return stage(rows.withColumn("passage_id", F.col("filing_id") * 1000 + F.col("passage_no")))
+    return stage(P.with_word_counts(rows).withColumn("passage_id", F.col("filing_id") * 1000 + F.col("passage_no")))
 
 
 @query
@@ -714,7 +712,7 @@ def passage_topk(x):
 
 def reg_snippets(x) -> DataFrame:
     wanted = unnest(reply_themes(x), "themes", "theme", "reg_id")
-    return wanted.join(RP.theme_snippets(filing_passages(x), wanted), "theme")
+    return stage(wanted.join(RP.theme_snippets(filing_passages(x), wanted), "theme"))
 
 
 @query
