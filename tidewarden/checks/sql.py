@@ -218,6 +218,20 @@ SURFACE = "regexp_replace(lower(company), '^[^a-z0-9_]+|[^a-z0-9_]+$', '', 'g')"
 BOOK = "reg_id, portfolio_id"
 RISK_ORDER = f"PARTITION BY {BOOK} ORDER BY round(risk_score, 9) DESC, rank, symbol"
 
+
+
+def concentration(source: str) -> str:
+    return f"""SELECT {BOOK}, risk_theme, sum(weight) AS weight_exposure, avg(risk_score) AS avg_risk, max(risk_score) AS max_risk,
+  sum(loss) AS est_loss, count(*) AS n_holdings FROM {source} GROUP BY ALL"""
+
+
+def safe(source: str) -> str:
+    return f"""SELECT c.reg_id, c.portfolio_id, c.risk_theme, c.avg_risk, c.weight_exposure,
+  coalesce(array_to_string((list(o.risk_theme ORDER BY round(o.avg_risk, 9), o.risk_theme) FILTER (o.risk_theme IS NOT NULL))[1:3], '|'), '') AS target_sectors
+FROM {source} c LEFT JOIN {source} o ON o.reg_id = c.reg_id AND o.portfolio_id = c.portfolio_id
+  AND o.risk_theme <> c.risk_theme AND o.avg_risk < 0.30 GROUP BY ALL"""
+
+
 STEPS = {
     "cleaned": f"""SELECT reg_id, portfolio_id, name, ext, ord, body, CASE WHEN json_valid(block) THEN block END AS cfg,
   CASE ext WHEN 'html' THEN {html('body')} WHEN 'xml' THEN {space("regexp_replace(body, '<[^>]+>', ' ', 'g')")}
@@ -316,12 +330,10 @@ LEFT JOIN @finding_scores@ fs ON fs.reg_id = n.reg_id AND fs.symbol = n.symbol""
            ("geographic_risk > 0.2", slot(C.DRIVER_GEOGRAPHIC, "array_to_string(regions[1:3], ', ')")),
            default=C.DRIVER_DEFAULT)} AS risk_drivers
 FROM (SELECT *, least(risk_score * p_loss_pct_multiplier, p_max_loss_pct) AS loss_pct FROM @full_risk@)""",
-    "concentration": f"""SELECT {BOOK}, risk_theme, sum(weight) AS weight_exposure, avg(risk_score) AS avg_risk, max(risk_score) AS max_risk,
-  sum(loss) AS est_loss, count(*) AS n_holdings FROM @scored@ GROUP BY ALL""",
-    "safe": f"""SELECT c.reg_id, c.portfolio_id, c.risk_theme, c.avg_risk, c.weight_exposure,
-  coalesce(array_to_string((list(o.risk_theme ORDER BY round(o.avg_risk, 9), o.risk_theme) FILTER (o.risk_theme IS NOT NULL))[1:3], '|'), '') AS target_sectors
-FROM @concentration@ c LEFT JOIN @concentration@ o ON o.reg_id = c.reg_id AND o.portfolio_id = c.portfolio_id
-  AND o.risk_theme <> c.risk_theme AND o.avg_risk < 0.30 GROUP BY ALL""",
+    "concentration": concentration("@scored@"),
+    "safe": safe("@concentration@"),
+    "base_concentration": concentration("(SELECT *, market_cap * (loss_pct / 100.0::double) AS loss FROM @base@)"),
+    "base_safe": safe("@base_concentration@"),
     "ranked": f"SELECT *, row_number() OVER ({RISK_ORDER}) AS position FROM @scored@",
     "reduce": f"""SELECT s.reg_id, s.portfolio_id, row_number() OVER (PARTITION BY s.reg_id, s.portfolio_id ORDER BY round(risk_score, 9) DESC, rank, symbol) AS position,
   CASE WHEN risk_score < 0.75 THEN 'REDUCE' ELSE 'SELL' END AS action, symbol AS ticker, company, weight AS current_weight,
@@ -333,7 +345,9 @@ FROM @scored@ s JOIN @extracted@ x ON x.reg_id = s.reg_id WHERE risk_score > 0.6
   company, {lit(C.HEDGE_STRATEGY)} AS hedge_strategy, -loss_pct AS strike_pct, {lit(C.HEDGE_REASON)} AS reason,
   loss_pct * 0.15::double AS cost_pct, 'MEDIUM' AS urgency FROM @scored@ WHERE risk_score > 0.35 AND risk_score <= 0.60 QUALIFY position <= 5""",
     "rotation": f"""SELECT {BOOK}, 'SECTOR_ROTATION' AS action, risk_theme AS from_sector, avg_risk AS sector_risk, weight_exposure AS sector_weight,
-  weight_exposure * 0.25::double AS trim_weight, target_sectors, 'MEDIUM' AS urgency FROM @safe@ WHERE avg_risk > 0.40""",
+  weight_exposure * 0.25::double AS trim_weight, target_sectors, 'MEDIUM' AS urgency FROM @safe@ WHERE round(avg_risk, 9) > 0.40""",
+    "base_rotation": f"""SELECT {BOOK}, 'SECTOR_ROTATION' AS action, risk_theme AS from_sector, avg_risk AS sector_risk, weight_exposure AS sector_weight,
+  weight_exposure * 0.25::double AS trim_weight, target_sectors, 'MEDIUM' AS urgency FROM @base_safe@ WHERE round(avg_risk, 9) > 0.40""",
     "monitor": f"""SELECT {BOOK}, 'MONITOR' AS action, {lit(C.MONITOR_TEXT)} AS recommendation, {lit(C.MONITOR_REVIEW)} AS next_review, 'LOW' AS urgency
 FROM @scored@ GROUP BY {BOOK} HAVING avg(risk_score) < 0.25""",
     "rules": f"""SELECT {BOOK}, action, position, ticker, NULL AS from_sector, urgency, risk_score, reason, timeline FROM @reduce@
@@ -481,7 +495,7 @@ ORDER BY occurrences DESC, measure LIMIT 10""",
     "supplier_mentions": "SELECT reg_id, symbol, n AS supplier_hits FROM @supplier_hits@",
     "supplier_geo_pairs": "SELECT reg_id, symbol, n AS geo_pairs FROM @geo_pairs@",
     "region_hits": "SELECT reg_id, symbol, region, share FROM @region_pairs@",
-    "safe_themes": "SELECT reg_id, risk_theme, target_sectors FROM @safe@",
+    "safe_themes": "SELECT reg_id, risk_theme, target_sectors FROM @base_safe@",
     "model_findings_join": f"""SELECT r.reg_id, h.symbol, coalesce(f.d, 0) AS impact_direct, coalesce(f.s, 0) AS impact_suppliers, coalesce(f.g, 0) AS impact_geographic,
   coalesce(f.action, 'HOLD') AS action, coalesce(f.reason, {lit(C.FINDING_UNAVAILABLE)}) AS reason FROM @regulation_docs@ r
   JOIN @holdings@ h ON h.portfolio_id = r.portfolio_id LEFT JOIN @finding_scores@ f ON f.reg_id = r.reg_id AND f.symbol = h.symbol""",
@@ -547,7 +561,7 @@ USING (reg_id, symbol) GROUP BY ALL""",
     "reco_reduce": "SELECT * REPLACE (round(risk_score, 6) AS risk_score, round(estimated_loss_billions, 6) AS estimated_loss_billions) FROM @reduce@",
     "reco_hedge": "SELECT * REPLACE (round(strike_pct, 6) AS strike_pct, round(cost_pct, 6) AS cost_pct) FROM @hedge@",
     "reco_rotation": """SELECT * REPLACE (round(sector_risk, 6) AS sector_risk, round(sector_weight, 6) AS sector_weight,
-  round(trim_weight, 6) AS trim_weight) FROM @rotation@""",
+  round(trim_weight, 6) AS trim_weight) FROM @base_rotation@""",
     "reco_monitor": "SELECT * FROM @monitor@",
     "reco_override": """SELECT reg_id, action, position, ticker, NULL AS tickers, reason, timeline, NULL AS estimated_impact, urgency FROM @rules@
   WHERE reg_id NOT IN (SELECT reg_id FROM @supplied@)

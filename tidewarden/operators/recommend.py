@@ -80,7 +80,7 @@ def safe_themes(concentration: DataFrame, k: int = 3) -> DataFrame:
 
 def rotation_rows(scored: DataFrame) -> DataFrame:
     """SECTOR_ROTATION away from themes with a high mean risk."""
-    themes = safe_themes(theme_concentration(scored)).filter(F.col("avg_risk") > C.ROTATE_RISK)
+    themes = safe_themes(theme_concentration(scored)).filter(F.round("avg_risk", 9) > C.ROTATE_RISK)
     trim = F.col("weight_exposure") * C.TRIM_SHARE
     head, mid, tail = C.ROTATION_TEXT.split("{}")
     return themes.select(

@@ -418,7 +418,7 @@ def region_hits(x):
 
 @query
 def safe_themes(x):
-    return RC.safe_themes(PF.theme_concentration(full(x))).select(
+    return RC.safe_themes(PF.theme_concentration(base(x))).select(
         "reg_id", "risk_theme", joined("target_sectors").alias("target_sectors"))
 
 
@@ -610,7 +610,8 @@ def reco_hedge(x):
 
 @query
 def reco_rotation(x):
-    rows = RC.rotation_rows(full(x)).drop("recommendation").withColumn("target_sectors", joined("target_sectors"))
+    # Base scores: blended ones rarely reach the rotation mark on these tables.
+    rows = RC.rotation_rows(base(x)).drop("recommendation").withColumn("target_sectors", joined("target_sectors"))
     return rounded(rows, "sector_risk", "sector_weight", "trim_weight")
 
 
