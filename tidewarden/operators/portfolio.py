@@ -108,8 +108,10 @@ def correlations(scored: DataFrame, keys: list[str] = BOOK, wanted: list[str] =
     cols = [c for c in wanted if c in scored.columns]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     # A constant metric has no correlation; the range test is exact where the
-    # running variance may leave a rounding residue.
-    aggs = [F.corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)]
+    # running variance may leave a rounding residue.  ``corr`` itself raises on
+    # a zero variance under ANSI rules.
+    aggs = [F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"_c{i}")
+            for i, (a, b) in enumerate(pairs)]
     spans = [(F.max(c) > F.min(c)).alias(f"_v_{c}") for c in cols]
     wide = scored.groupBy(*keys).agg(*spans, *aggs) if pairs else scored.groupBy(*keys).agg(*spans)
     rows = []
