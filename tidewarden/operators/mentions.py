@@ -103,7 +103,7 @@ def holding_suppliers(holdings: DataFrame) -> DataFrame:
     return unnest(holdings, "suppliers", "supplier", "portfolio_id", "symbol")
 
 
-def _anchor(words: Column) -> Column:
+def anchor_word(words: Column) -> Column:
     """The longest word of a name (the first of equal ones)."""
     return F.reduce(words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
 
@@ -120,7 +120,7 @@ def supplier_mentions(regs: DataFrame, suppliers: DataFrame) -> DataFrame:
     texts = regs.select("portfolio_id", "reg_id", F.lower("text").alias("low"))
     wanted = (suppliers.select("portfolio_id", "supplier").distinct()
               .withColumn("needle", F.lower("supplier"))
-              .withColumn("anchor", _anchor(extract_all(F.col("needle"), WORD))))
+              .withColumn("anchor", anchor_word(extract_all(F.col("needle"), WORD))))
     doc_words = unnest(texts, F.array_distinct(extract_all(F.col("low"), WORD)), "word",
                        "portfolio_id", "reg_id")
     sizes = list(range(1, KEY + 1))

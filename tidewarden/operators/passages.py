@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..sources.stage import stage
-from .mentions import WORD, _word_runs, name_surface, name_words
+from .mentions import WORD, anchor_word, name_surface
 from .ranking import top_k
 from .rows import unnest, unnest_numbered
 
@@ -40,21 +40,21 @@ def theme_scores(passage_rows: DataFrame, themes: DataFrame) -> DataFrame:
     """BM25 score of every passage that holds a theme phrase.
 
     passage_rows: passage_id, passage, n_words.  themes: theme.  The phrase is
-    the query term.  Passages are cut into word runs of the lengths that themes
-    have and meet the themes in a hash join, so only passages with a phrase go
-    on.  The hits are written once, because the document frequency and the
-    score both read them.
+    the query term.  The distinct words of each passage meet the longest word
+    of each phrase in a hash join that moves ids only; the candidates are then
+    joined to their passages, where the phrase is counted.  The hits are written
+    once, because the document frequency and the score both read them.
     """
     wanted = (themes.select("theme").distinct()
-              .withColumn("surface", name_surface(F.col("theme")))
-              .filter(F.col("surface") != "").withColumn("_n", name_words(F.col("surface"))))
-    lengths = wanted.agg(F.sort_array(F.collect_set("_n")).alias("l")).scalar()
+              .withColumn("surface", name_surface(F.col("theme"))).filter(F.col("surface") != "")
+              .withColumn("word", anchor_word(T.extract_all(F.col("surface"), WORD))))
     stats = passage_rows.agg(F.struct(F.avg("n_words").alias("avg_words"), F.count("*").alias("n")).alias("s")).scalar()
-    runs = unnest(passage_rows.withColumn("_lengths", lengths), _word_runs(F.col("passage"), F.col("_lengths")),
-                  "surface", "passage_id", "n_words", F.lower("passage").alias("_low"))
+    vocabulary = unnest(passage_rows, F.array_distinct(T.extract_all(F.lower("passage"), WORD)), "word", "passage_id")
+    candidates = vocabulary.join(wanted, "word").select("theme", "surface", "passage_id")
     pattern = F.concat(F.lit(r"(?U)\b\Q"), F.col("surface"), F.lit(r"\E\b"))
-    hits = stage(runs.join(wanted.select("theme", "surface"), "surface")
-                 .select("theme", "passage_id", "n_words", F.regexp_count(F.col("_low"), pattern).alias("tf")))
+    counted = candidates.join(passage_rows.select("passage_id", "n_words", "passage"), "passage_id").select(
+        "theme", "passage_id", "n_words", F.regexp_count(F.lower("passage"), pattern).alias("tf"))
+    hits = stage(counted.filter(F.col("tf") > 0))
     df = hits.groupBy("theme").agg(F.count("*").alias("df"))
     scored = hits.join(df, "theme").withColumn("_s", stats)
     n, avg = F.col("_s.n"), F.col("_s.avg_words")
