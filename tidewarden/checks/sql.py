@@ -422,7 +422,7 @@ ORACLES = {
     "reg_docs_load": f"""SELECT name, ext, {space('text')} AS text FROM @regulation_docs@
 UNION ALL SELECT 'Manual Input', 'txt', {space('reply')} FROM @model_replies@ WHERE trim(reply) <> ''""",
     "reg_concat": """SELECT portfolio_id, reg_id, length(text) AS n_chars,
-  coalesce(sum(length(text) + 1) OVER (PARTITION BY portfolio_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_pos
+  coalesce(sum(length(text) + 1) OVER (PARTITION BY portfolio_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_pos
 FROM @regulation_docs@""",
     "reg_corpus": f"""SELECT x.portfolio_id, {reg_type("lower(string_agg(text, ' ' ORDER BY ord))")} AS type_reg,
   bool_or(penalty_hit) AS penalty_hit, bool_or(compliance_hit) AS compliance_hit, count(*) AS n_docs,
@@ -499,6 +499,11 @@ ORDER BY occurrences DESC, measure LIMIT 10""",
     "model_findings_join": f"""SELECT r.reg_id, h.symbol, coalesce(f.d, 0) AS impact_direct, coalesce(f.s, 0) AS impact_suppliers, coalesce(f.g, 0) AS impact_geographic,
   coalesce(f.action, 'HOLD') AS action, coalesce(f.reason, {lit(C.FINDING_UNAVAILABLE)}) AS reason FROM @regulation_docs@ r
   JOIN @holdings@ h ON h.portfolio_id = r.portfolio_id LEFT JOIN @finding_scores@ f ON f.reg_id = r.reg_id AND f.symbol = h.symbol""",
+    "supply_findings": """SELECT symbol, coalesce(json_extract_string(j, '$.risk_level'), 'unknown') AS risk_level,
+  json_extract_string(j, '$.risk_score')::int AS risk_score,
+  coalesce(array_to_string(from_json(json_extract(j, '$.affected_suppliers'), '["VARCHAR"]'), '|'), '') AS suppliers,
+  json_extract_string(j, '$.geographic_risks.China') AS china_risk
+FROM (SELECT symbol, CASE WHEN json_valid(finding) THEN finding END AS j FROM @supply_findings@)""",
     "measure_intensity": """SELECT x.reg_id, round(least(p_measure_intensity_scale * len(measures), p_measure_intensity_cap), 6) AS intensity
 FROM @extracted@ x JOIN @params@ p ON p.reg_id = x.reg_id""",
     "base_risk": "SELECT reg_id, symbol, risk_theme, round(risk_score, 6) AS risk_score FROM @base@",

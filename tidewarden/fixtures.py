@@ -191,6 +191,11 @@ SELECT reg_id, CASE ord % 4 WHEN 0 THEN '{"type_regulation": "Customs", "entrepr
        WHEN 1 THEN '{"entreprises_a_risque": ["SEC"]}' ELSE 'broken {' END AS finding,
        CASE WHEN ord % 4 = 3 THEN 'timeout' END AS error
 FROM @regulation_docs@ WHERE ord % 5 <> 2""",
+    "supply_findings": """
+SELECT symbol, CASE rank % 4 WHEN 0 THEN '{"risk_level": "HIGH", "risk_score": ' || cast(rank as string)
+         || ', "affected_suppliers": ["Omega Ltd", "Beta"], "geographic_risks": {"China": "export ban"}}'
+       WHEN 1 THEN '{"affected_suppliers": []}' WHEN 2 THEN '{"risk_level": ' ELSE NULL END AS finding
+FROM @holdings@""",
     "recommendation_replies": """
 SELECT reg_id, portfolio_id, CASE ord % 3
          WHEN 0 THEN '{"action": "SELL", "tickers_concernes": ["A", "B"], "justification": "one object", "timeline": "now", "urgence": "HIGH"}'

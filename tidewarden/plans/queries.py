@@ -434,6 +434,13 @@ def model_findings_join(x):
         F.coalesce("finding.reason", F.lit(C.FINDING_UNAVAILABLE)).alias("reason"))
 
 
+@query
+def supply_findings(x):
+    parsed = x["supply_findings"].select("symbol", R.supply_finding(F.col("finding")).alias("f"))
+    return parsed.select("symbol", "f.risk_level", "f.risk_score", joined("f.affected_suppliers").alias("suppliers"),
+                         F.col("f.geographic_risks")["China"].alias("china_risk"))
+
+
 # ---------------------------------------------------------------- scores
 
 @query
