@@ -72,3 +72,24 @@ def test_geo_pairs_count_every_place_and_supplier(spark):
     got = {x.symbol: x.geo_pairs for x in M.supplier_geo_pairs(r, sup).collect()}
     # "Industry Plus" holds "us" twice, which is one containment.
     assert got == {"S": 2}
+
+
+def test_region_aliases_are_optional(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(["US", "European Union", "japan"],)], "e array<string>")
+    assert df.select(M.hit_regions(F.col("e")).alias("r")).first().r == ["Europe"]
+    alias = {"United States": ["US", "USA"]}
+    assert df.select(M.hit_regions(F.col("e"), alias).alias("r")).first().r == ["United States", "Europe"]
+
+
+def test_a_hot_book_and_a_hot_supplier_give_every_pair(spark):
+    from tidewarden.plans import impact as I
+    held = spark.createDataFrame([("P" if i % 3 else "Q", f"S{i}") for i in range(90)], "portfolio_id string, symbol string")
+    held = held.selectExpr("*", "symbol company", "false _own_theme", "'x' risk_theme")
+    feats = spark.createDataFrame([(f"R{i}", "P") for i in range(7)], "reg_id string, portfolio_id string")
+    feats = feats.selectExpr("*", "cast(null as array<struct<theme: string, words: array<string>>>) company_rules")
+    for salts in (1, 8):
+        assert I.assessment_pairs(held, feats, salts).select("reg_id", "symbol").distinct().count() == 7 * 60
+    sup = spark.createDataFrame([("P", f"S{i}", "Acme Corp") for i in range(60)],
+                                "portfolio_id string, symbol string, supplier string")
+    assert M.supplier_counts(regs(spark, ["by acme corp"] * 20), sup).count() == 20 * 60

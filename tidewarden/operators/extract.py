@@ -12,8 +12,8 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     """Split the inline configuration off and clean each text by its extension.
 
     Input: ext, text and any key columns.  Adds ``cfg``; ``text`` becomes the
-    cleaned text.  XML documents take their own branch, so all others stay
-    inside generated JVM code and never pass a Python worker.
+    cleaned text.  Documents are read once; only the bodies of XML documents
+    are handed to the Arrow-batched parser, all others pass it as nulls.
 
     Deviation: every document is cleaned by its own extension, and all later
     rules read the cleaned text.
@@ -22,11 +22,9 @@ def clean_documents(docs: DataFrame) -> DataFrame:
         "cfg": O.parse_config(O.config_json(F.col("text"))),
         "text": O.without_config(F.coalesce("text", F.lit(""))),
     })
-    is_xml = F.lower("ext") == "xml"
-    xml = split.filter(is_xml).withColumn("text", T.xml_text(F.col("text")))
-    rest = (split.filter(~F.coalesce(is_xml, F.lit(False)))
-            .withColumn("text", T.clean_text(F.col("text"), F.col("ext"))))
-    return rest.unionByName(xml)
+    is_xml = F.coalesce(F.lower("ext") == "xml", F.lit(False))
+    return split.withColumn("text", F.when(is_xml, T.xml_text(F.when(is_xml, F.col("text")))).otherwise(
+        T.clean_text(F.col("text"), F.col("ext"))))
 
 
 def extract(docs: DataFrame, *, fold_case: bool = False, whole_word_years: bool = False,

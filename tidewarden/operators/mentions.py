@@ -179,8 +179,18 @@ def supplier_counts(regs: DataFrame, suppliers: DataFrame) -> DataFrame:
             .groupBy("reg_id", "portfolio_id", "symbol").agg(F.count("*").alias("supplier_hits")))
 
 
-def hit_regions(entities: Column) -> Column:
-    """Exposure regions whose name lies inside a place string of a document."""
-    spots = F.array_join(F.transform(L.mentions_places(entities, C.EXPOSURE_COUNTRIES), F.lower), "\n")
-    return F.array_compact(F.array(*[
-        F.when(F.contains(spots, F.lit(region.lower())), F.lit(region)) for region in C.REGION_PATTERNS]))
+def hit_regions(entities: Column, aliases: dict[str, list[str]] | None = None) -> Column:
+    """Exposure regions whose name lies inside a place string of a document.
+
+    "US" does not hold "United States"; ``aliases`` may name further place
+    strings that stand for a region, such as {"United States": ["US", "USA"]}.
+    """
+    named = L.mentions_places(entities, C.EXPOSURE_COUNTRIES)
+    spots = F.array_join(F.transform(named, F.lower), "\n")
+
+    def hit(region):
+        found = F.contains(spots, F.lit(region.lower()))
+        other = (aliases or {}).get(region)
+        return found | F.arrays_overlap(named, F.array(*map(F.lit, other))) if other else found
+
+    return F.array_compact(F.array(*[F.when(hit(r), F.lit(r)) for r in C.REGION_PATTERNS]))

@@ -33,7 +33,8 @@ def prepare_holdings(holdings: DataFrame) -> DataFrame:
     return df.withColumns({"risk_theme": L.company_theme(F.col("company")), "_own_theme": F.lit(False)})
 
 
-def regulation_features(regs: DataFrame, include_measure_themes: bool) -> DataFrame:
+def regulation_features(regs: DataFrame, include_measure_themes: bool,
+                        region_aliases: dict[str, list[str]] | None = None) -> DataFrame:
     """Everything about a regulation that is the same for all holdings, text left out."""
     cfg, low = F.col("cfg"), F.lower("text")
 
@@ -55,7 +56,7 @@ def regulation_features(regs: DataFrame, include_measure_themes: bool) -> DataFr
                 S.flag(F.col("penalty_hit"), F.col("p_penalty_boost")).alias("penalty"),
                 S.flag(F.col("compliance_hit"), C.COMPLIANCE_BOOST).alias("compliance"),
                 F.greatest(F.lit(1), F.col("p_ticker_min_len").cast("int")).alias("ticker_min_len"),
-                M.hit_regions(F.col("entities")).alias("hit_regions"),
+                M.hit_regions(F.col("entities"), region_aliases).alias("hit_regions"),
                 F.when(cfg["company_theme_keywords"].isNotNull(), O.company_rules(cfg)).alias("company_rules")))
 
 
@@ -112,13 +113,17 @@ def base_impact(holdings: DataFrame, regs: DataFrame, include_measure_themes: bo
 
 
 def full_impact(holdings: DataFrame, regs: DataFrame, facts: DataFrame,
-                findings: DataFrame | None = None, include_measure_themes: bool = False) -> DataFrame:
-    """Blended scoring: direct, supply-chain and geographic risk, and findings if given."""
+                findings: DataFrame | None = None, include_measure_themes: bool = False,
+                region_aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """Blended scoring: direct, supply-chain and geographic risk, and findings if given.
+
+    The suppliers of each book feed four joins and are written once.
+    """
     ready = FI.attach_facts(prepare_holdings(holdings), facts.select(
         "ticker", F.size("suppliers").alias("n_suppliers"), "geographic_exposure"))
-    suppliers = unnest(facts, "suppliers", "supplier", F.col("ticker").alias("symbol")).join(
-        holdings.select("portfolio_id", "symbol"), "symbol")
-    pairs = assessment_pairs(ready, regulation_features(regs, include_measure_themes))
+    suppliers = stage(unnest(facts, "suppliers", "supplier", F.col("ticker").alias("symbol")).join(
+        holdings.select("portfolio_id", "symbol"), "symbol"))
+    pairs = assessment_pairs(ready, regulation_features(regs, include_measure_themes, region_aliases))
     scored = (_with_mentions(pairs, regs, holdings)
               .join(M.supplier_counts(regs, suppliers), PAIR, "left")
               .join(M.supplier_geo_pairs(regs, suppliers), PAIR, "left"))
