@@ -63,7 +63,8 @@ def crowd(n, seed):
 
 @pytest.mark.parametrize("limit", [2, 256])
 @pytest.mark.parametrize("bits", [0, 1, 2])
-def test_links_connect_what_all_pairs_connect(spark, limit, bits):
+def test_links_connect_what_all_pairs_connect(spark, limit, bits, monkeypatch):
+    monkeypatch.setattr(op, "SMALL", limit)  # both ways to join
     fps = crowd(40, bits)
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
     links = op.near_links(df, bits, limit)

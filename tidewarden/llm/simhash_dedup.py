@@ -22,6 +22,8 @@ from tidewarden.sources.stage import stage
 BITS, SEGMENT = 64, 32
 #: Members of a one-wildcard variant from which two wildcards are used.
 CROWD = 256
+#: Shared variants (two longs each) up to which they are broadcast; beyond it both sides are shuffled.
+SMALL = 1 << 18
 _SLICE = 1 << 15
 
 
@@ -95,11 +97,11 @@ def near_links(fps: DataFrame, max_bits: int = 2, crowd: int = CROWD) -> DataFra
     if not 0 <= max_bits <= 2:
         raise ValueError("two segments with one wildcard find at most two differing bits")
     rows = _variants(fps)
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-    shared = stage(counts.filter("n > 1"))
+    shared = stage(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    # Few keys are shared where fingerprints are few; the join then needs no second shuffle of all variants.
+    wanted = F.broadcast(shared) if shared.count() <= SMALL else shared
+    more = stage(rows.join(wanted, "key"))
     close = _close(max_bits) & (F.expr(_FIRST_KEY) == F.shiftright("key", SEGMENT))
-    twos = shared.filter("n = 2").filter(close).select("a", "b")
-    more = stage(rows.join(shared.filter("n > 2").select("key", "n"), "key"))
     light = more.filter(F.col("n") <= crowd)
     some = (light.select("key", F.col("fp").alias("a")).join(light.select("key", F.col("fp").alias("b")), "key")
             .filter(F.col("a") < F.col("b")).filter(close).select("a", "b"))
@@ -108,7 +110,7 @@ def near_links(fps: DataFrame, max_bits: int = 2, crowd: int = CROWD) -> DataFra
     met = _whole_variants(crowded).groupBy("at", "rest").agg(F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
     dense = (met.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b"))
              .filter("a < b").filter(_close(max_bits)))
-    return twos.unionByName(some).unionByName(dense).distinct()
+    return some.unionByName(dense).distinct()
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, crowd: int = CROWD,
