@@ -1,7 +1,7 @@
 """Queries of the operators over whole tables, and their SQL where SQL can say it."""
 
-from tidewarden.llm import (language_spans, lattice_dedup, license_scan, packing, quality_ledger, secret_scan,
-                            simhash_dedup, source_mixing, url_filter)
+from tidewarden.llm import (language_spans, lattice_dedup, license_scan, packing, quality_ledger, quality_perplexity,
+                            secret_scan, simhash_dedup, source_mixing, url_filter)
 
 QUERIES = {
     "op1_embedding_near_dedup": lattice_dedup.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_language_id": language_spans.query,
     "op8_quality_rules": quality_ledger.query,
     "op9_mixing_sources": source_mixing.query,
+    "op10_quality_classifier": quality_perplexity.query,
 }
 SQL = {
     "op5_license_scans": license_scan.oracle(),
