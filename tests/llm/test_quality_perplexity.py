@@ -137,3 +137,16 @@ def test_counts_above_a_byte(spark):
     docs = spark.createDataFrame([(1, "en", "a" * 3000), (2, "en", "b")], SCHEMA)
     got = {r.doc_id: r for r in op.judged(docs, spark.createDataFrame([(1, 1, 0), (2, 1, 0)], LABELS)).collect()}
     assert np.isfinite(got[1].perplexity) and got[1].perplexity < got[2].perplexity
+
+
+def test_packed_lists_round_trip():
+    rnd = random.Random(5)
+    want = {(rnd.randrange(50), rnd.choice([rnd.randrange(40), rnd.randrange(1 << 15)])): rnd.choice([1, 2, 7, 8, 14, 300]) for _ in range(4000)}
+    want |= {(60, 0): 1, (61, 992): 7, (61, 993): 8, (61, 32): 1, (62, (1 << 15) - 1): 15}
+    rows = sorted(want, key=lambda x: (x[1], x[0]))  # by document, as a scan gives them
+    grams, docs, counts = (np.array(x) for x in ([g for g, _ in rows], [d for _, d in rows], [want[r] for r in rows]))
+    keys, packed = op.packed_lists(grams, docs, counts)
+    got = Counter()
+    for at, doc, n in zip(*op.unpacked(packed)):
+        got[int(keys[at]), int(doc)] += int(n)
+    assert +got == Counter(want)

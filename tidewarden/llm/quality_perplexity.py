@@ -126,12 +126,49 @@ def probabilities(grams: DataFrame) -> DataFrame:
     return scored.select("gram", F.ln("p").alias("logp"))
 
 
+def packed_lists(grams: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The distinct ``grams`` and, for each, its documents and counts as bytes.
+
+    A byte holds five bits of a step from the document before and three bits of a count
+    less one.  Three bits of 7 mean no count, and a step of 32 times the five bits.  A
+    count above 7 takes more bytes with steps of 0.
+    """
+    order = np.argsort(grams, kind="stable")
+    grams, doc, count = grams[order], doc[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    step = np.diff(doc, prepend=0)
+    step[first] = doc[first]
+    leaps, sevens = -(-(step >> 5) // 31), -(-count // 7)
+    size = leaps + sevens
+    end = np.cumsum(size)
+    out = np.full(end[-1], 6, np.uint8)
+    if leaps.any():
+        k = np.repeat(np.arange(len(step)), leaps)
+        place = np.arange(len(k)) - np.repeat(np.cumsum(leaps) - leaps, leaps)
+        out[(end - size)[k] + place] = np.minimum((step >> 5)[k] - 31 * place, 31) << 3 | 7
+    out[end - sevens] = (step & 31) << 3 | 6
+    out[end - 1] = out[end - 1] & 0xF8 | (count - 7 * (sevens - 1) - 1)
+    data, ends = out.tobytes(), [0, *end[np.append(first[1:], len(grams)) - 1].tolist()]
+    return grams[first], [data[s:e] for s, e in zip(ends, ends[1:])]
+
+
+def unpacked(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every byte: the list it is in, the document reached, and the count."""
+    n = np.array([len(x) for x in lists])
+    flat = np.frombuffer(b"".join(lists), np.uint8)
+    low, high = flat & 7, (flat >> 3).astype(np.int64)
+    leap = low == 7
+    doc = np.cumsum(np.where(leap, high << 5, high))
+    last = np.cumsum(n)
+    before = np.concatenate([[0], doc[last[:-1] - 1]])
+    return np.repeat(np.arange(len(n)), n), doc - np.repeat(before, n), np.where(leap, 0, low + 1)
+
+
 def _lists(docs: DataFrame) -> DataFrame:
     """(gram, base, packed, doc_id, lang, size): documents by n-gram, and a row for each document.
 
-    ``packed``: steps between the documents' numbers (low bytes, high bytes) and counts,
-    in a block whose first number is ``base``.  Rows of documents have a null ``packed``
-    and their number as ``base``.
+    ``packed``: see :func:`packed_lists`, numbers in a block whose first one is ``base``.
+    Rows of documents have a null ``packed`` and their number as ``base``.
     """
     schema = "gram long, base long, packed binary, doc_id long, lang string, size long"
     names = [f.split()[0] for f in schema.split(", ")]
@@ -148,23 +185,7 @@ def _lists(docs: DataFrame) -> DataFrame:
             each = [np.unique(g, return_counts=True) for g in parts]
             grams = np.concatenate([g for g, _ in each])
             doc = np.repeat(np.arange(n), [len(g) for g, _ in each])
-            count = np.concatenate([c for _, c in each])
-            more = -(-count // 255)  # a large count takes several entries
-            if (more > 1).any():
-                grams, doc = np.repeat(grams, more), np.repeat(doc, more)
-                last = np.cumsum(more) - 1
-                rest = count - 255 * (more - 1)
-                count = np.full(len(grams), 255)
-                count[last] = rest
-            order = np.argsort(grams, kind="stable")
-            grams, doc, count = grams[order], doc[order], count[order].astype(np.uint8)
-            first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-            step = np.diff(doc, prepend=0)
-            step[first] = doc[first]
-            low, high = (step & 255).astype(np.uint8).tobytes(), (step >> 8).astype(np.uint8).tobytes()
-            count, ends = count.tobytes(), [*first[1:].tolist(), len(grams)]
-            packed = [low[s:e] + high[s:e] + count[s:e] for s, e in zip(first.tolist(), ends)]
-            keys = grams[first]
+            keys, packed = packed_lists(grams, doc, np.concatenate([c for _, c in each]))
             for at in range(0, len(keys), 20_000):
                 m = len(keys[at:at + 20_000])
                 none = [pa.nulls(m, k) for k in kinds[3:]]
@@ -211,16 +232,11 @@ def _sums(met: DataFrame) -> DataFrame:
                 yield out(plain.column(1), np.zeros(plain.num_rows), *[plain.column(k) for k in (3, 4, 5)])
             for at in range(0, lists.num_rows, 2000):
                 part = lists.slice(at, 2000)
-                packed = part.column(2).to_pylist()
-                n = np.array([len(x) // 3 for x in packed])
-                flat = np.frombuffer(b"".join(packed), np.uint8)
-                start = np.repeat(3 * (np.cumsum(n) - n), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                wide = np.repeat(n, n)
-                step = flat[start].astype(np.int64) + 256 * flat[start + wide].astype(np.int64)
-                run_ = np.cumsum(step)
-                before = run_[np.cumsum(n) - n] - step[np.cumsum(n) - n]
-                uid = run_ + np.repeat(part.column(1).to_numpy() - before, n)
-                held.append((uid, flat[start + 2 * wide] * np.repeat(part.column(6).to_numpy(), n)))
+                at_list, doc, count = unpacked(part.column(2).to_pylist())
+                real = count > 0
+                at_list = at_list[real]
+                uid = doc[real] + part.column(1).to_numpy()[at_list]
+                held.append((uid, count[real] * part.column(6).to_numpy()[at_list]))
                 size += len(uid)
                 if size > 4_000_000:
                     held = [summed(held)]
