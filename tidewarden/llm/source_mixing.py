@@ -164,7 +164,7 @@ def oracle() -> str:
                              (SELECT min(k) FROM trial WHERE passes <= {MAX_EPOCHS})) / {GRID}.0 AS a),
     w AS (SELECT src, held, pow(p, a) / (SELECT sum(pow(p, a)) FROM p, best) AS weight FROM p, best),
     q AS (SELECT *, floor(weight * (SELECT sum(held) FROM s)::DOUBLE + 0.5)::BIGINT AS quota FROM w),
-    e AS (SELECT src, weight, quota, unnest(range(quota // held + 1)) AS epoch, quota // held AS passes, quota % held AS rest FROM q),
+    e AS (SELECT src, weight, quota, unnest(range((quota // held + 1)::BIGINT)) AS epoch, quota // held AS passes, quota % held AS rest FROM q),
     b AS (SELECT src, substr(h, 1, {_DIGITS}) AS block, sum(tokens) AS tokens FROM d GROUP BY ALL),
     t AS (SELECT e.*, block, row_number() OVER o - 1 AS turn FROM e JOIN b USING (src)
           WINDOW o AS (PARTITION BY src, epoch ORDER BY md5('{SEED}:' || src || ':' || epoch || ':' || block), block)),
