@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.sql.functions import col
 
 from tidewarden.llm import license_scan as op
 
@@ -44,3 +45,11 @@ def test_sql_says_the_same(spark):
     mine = sorted(map(repr, map(tuple, op.query(spark, sf).collect())))
     want = sorted(map(repr, duckdb.sql(op.oracle()).fetchall()))
     assert mine == want and any("CC-BY" in r for r in mine)
+
+
+def test_each_spelling_becomes_its_equivalent(spark):
+    said = {"Licence": "license", "organised": "organized", "favour": "favor",
+            "sub-licensing": "sublicensing", "acknowledgement": "acknowledgment", "5 per cent": "5 percent",
+            "https://a": "http a", "behaviour colour honour": "behavior color honor"}
+    rows = spark.createDataFrame([(k, v) for k, v in said.items()], "text string, form string")
+    assert {r.text: r.got for r in rows.withColumn("got", op.canonical(col("text"))).collect()} == said

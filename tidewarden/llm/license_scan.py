@@ -16,8 +16,8 @@ COPYRIGHT_LINE = r"(?m)^[ \t]*[/*#;-]*[ \t]*(?:(?:copyright|\(c\)|©)[ \t][^\n]*
 #: Equivalent spellings, as patterns on lower-case text and what they become.
 SPELLINGS = [
     (r"licenc", "licens"),
-    (r"(authori|organi|recogni|utili|initiali|reali|summari|sublicens)s(e|ed|ing|ation)\b", "${1}z$2"),
-    (r"(fav|behavi|col|hon)our", "${1}or"),
+    (r"(authori|organi|recogni|utili|initiali|reali|summari|sublicens)s(e|ed|ing|ation)\b", "$1z$2"),
+    (r"(fav|behavi|col|hon)our", "$1or"),
     (r"\b(sub|non) ?- ?(licens|commercial|infring)", "$1$2"),
     (r"acknowledgement", "acknowledgment"),
     (r"per cent\b", "percent"),
@@ -140,7 +140,7 @@ def oracle() -> str:
     def form(column):
         out = f"regexp_replace(translate({column}, '{_UPPER}', '{_LOWER}'), {quoted(COPYRIGHT_LINE)}, '', 'g')"
         for pattern, become in SPELLINGS:
-            become = become.replace("${1}", "\\1").replace("$1", "\\1").replace("$2", "\\2")
+            become = become.replace("$", "\\")
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(become)}, 'g')"
         return f"trim(regexp_replace({out}, {quoted(NO_WORD)}, ' ', 'g'), ' ')"
     values = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in KNOWN)
