@@ -110,6 +110,19 @@ def test_quantiles_are_exact(spark, buckets):
             assert got[k][name] == pytest.approx(float(np.quantile(vs, p)), abs=1e-12)
 
 
+def test_quantiles_leave_out_nan_and_null(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", None), ("a", 3.0)], "k string, v double")
+    assert ranges.quantiles(df, ["k"], "v", {"q50": 0.5}).collect()[0].q50 == 2.0
+
+
+def test_hedge_takes_the_heaviest(spark):
+    rows = [("r", "p", f"S{i}", 10 - i, float(i), 0.5, 5.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "reg_id string, portfolio_id string, symbol string, rank int, weight double, "
+                                     "risk_score double, loss_pct double").withColumn("company", F.col("symbol"))
+    got = RC.hedge_rows(df).orderBy("position").collect()
+    assert [r.ticker for r in got] == ["S7", "S6", "S5", "S4", "S3"]
+
+
 def test_deadline(spark):
     from datetime import date
     df = dates(spark, ["09/30/2031", "2040", "Sept. 1, 2028", "Sep. 2, 2027", "through December 31, 2029"])

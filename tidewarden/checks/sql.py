@@ -216,7 +216,7 @@ def boundary(name: str) -> str:
 
 SURFACE = "regexp_replace(lower(company), '^[^a-z0-9_]+|[^a-z0-9_]+$', '', 'g')"
 BOOK = "reg_id, portfolio_id"
-RISK_ORDER = f"PARTITION BY {BOOK} ORDER BY round(risk_score, 9) DESC, rank, symbol"
+RISK_ORDER = f"PARTITION BY {BOOK} ORDER BY round(risk_score, 9) DESC, weight DESC, rank, symbol"
 
 
 
@@ -335,13 +335,13 @@ FROM (SELECT *, least(risk_score * p_loss_pct_multiplier, p_max_loss_pct) AS los
     "base_concentration": concentration("(SELECT *, market_cap * (loss_pct / 100.0::double) AS loss FROM @base@)"),
     "base_safe": safe("@base_concentration@"),
     "ranked": f"SELECT *, row_number() OVER ({RISK_ORDER}) AS position FROM @scored@",
-    "reduce": f"""SELECT s.reg_id, s.portfolio_id, row_number() OVER (PARTITION BY s.reg_id, s.portfolio_id ORDER BY round(risk_score, 9) DESC, rank, symbol) AS position,
+    "reduce": f"""SELECT s.reg_id, s.portfolio_id, row_number() OVER (PARTITION BY s.reg_id, s.portfolio_id ORDER BY round(risk_score, 9) DESC, weight DESC, rank, symbol) AS position,
   CASE WHEN risk_score < 0.75 THEN 'REDUCE' ELSE 'SELL' END AS action, symbol AS ticker, company, weight AS current_weight,
   risk_score, loss / 1e9 AS estimated_loss_billions, risk_drivers AS reason,
   CASE WHEN risk_score > 0.75 THEN 'HIGH' ELSE 'MEDIUM' END AS urgency, coalesce(x.dates[1], {lit(C.NO_DEADLINE)}) AS timeline,
   coalesce(array_to_string(suppliers[1:3], '|'), '') AS suppliers_at_risk
 FROM @scored@ s JOIN @extracted@ x ON x.reg_id = s.reg_id WHERE risk_score > 0.60 QUALIFY position <= 10""",
-    "hedge": f"""SELECT {BOOK}, row_number() OVER (PARTITION BY {BOOK} ORDER BY rank, symbol) AS position, 'HEDGE' AS action, symbol AS ticker,
+    "hedge": f"""SELECT {BOOK}, row_number() OVER (PARTITION BY {BOOK} ORDER BY weight DESC, rank, symbol) AS position, 'HEDGE' AS action, symbol AS ticker,
   company, {lit(C.HEDGE_STRATEGY)} AS hedge_strategy, -loss_pct AS strike_pct, {lit(C.HEDGE_REASON)} AS reason,
   loss_pct * 0.15::double AS cost_pct, 'MEDIUM' AS urgency FROM @scored@ WHERE risk_score > 0.35 AND risk_score <= 0.60 QUALIFY position <= 5""",
     "rotation": f"""SELECT {BOOK}, 'SECTOR_ROTATION' AS action, risk_theme AS from_sector, avg_risk AS sector_risk, weight_exposure AS sector_weight,
@@ -583,7 +583,7 @@ UNION ALL SELECT {BOOK}, company, ticker, NULL, action, reason, NULL FROM @hedge
     "chart_top_risks": f"""SELECT {BOOK}, position, symbol, company, round(risk_score, 6) AS risk_score, risk_drivers,
   CASE WHEN risk_score > 0.7 THEN 'critical' WHEN risk_score > 0.5 THEN 'elevated' ELSE 'moderate' END AS tier, 0.60::double AS critical_line
 FROM @ranked@ WHERE position <= 20""",
-    "chart_losses": f"""SELECT {BOOK}, row_number() OVER (PARTITION BY {BOOK} ORDER BY loss DESC, rank, symbol) AS position, symbol, company,
+    "chart_losses": f"""SELECT {BOOK}, row_number() OVER (PARTITION BY {BOOK} ORDER BY loss DESC, weight DESC, rank, symbol) AS position, symbol, company,
   round(loss / 1e9, 6) AS loss_billions, round(loss_pct, 6) AS loss_pct FROM @scored@ QUALIFY position <= 15""",
     "chart_components": " UNION ALL ".join(
         f"SELECT {BOOK}, position, symbol, '{c}' AS component, round({c}, 6) AS value FROM @ranked@ WHERE position <= 10"

@@ -38,9 +38,11 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
 
     Equal values collapse to one counted row in a partial aggregation.  A
     histogram of at most ``buckets`` rows per group locates the bucket of each
-    wanted rank, and only those buckets are ordered row by row.
+    wanted rank, and only those buckets are ordered row by row.  Nulls and NaN are
+    no values.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    counted = df.filter(known).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     cut = counted.join(_bounds(counted, keys, value), keys).withColumn("_b", _bucket(value, buckets))
     hist = cut.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
     per_key = Window.partitionBy(*keys)

@@ -15,11 +15,16 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, position:
 
 
 def by_risk() -> list[Column]:
-    """Highest risk first; ties keep the order of the holdings file.
+    """Highest risk first; ties go to the heavier holding.
 
     Scores that differ only in the last bits of a sum count as tied.
     """
-    return [F.round("risk_score", 9).desc(), F.col("rank").asc(), F.col("symbol").asc()]
+    return [F.round("risk_score", 9).desc(), *heaviest()]
+
+
+def heaviest() -> list[Column]:
+    """Order of the holdings as loaded: by weight, then by the file's rank, then by symbol."""
+    return [F.col("weight").desc(), F.col("rank").asc(), F.col("symbol").asc()]
 
 
 def top_risks(scored: DataFrame, k: int = 15, keys: list[str] = BOOK) -> DataFrame:
@@ -27,7 +32,7 @@ def top_risks(scored: DataFrame, k: int = 15, keys: list[str] = BOOK) -> DataFra
 
 
 def top_losses(scored: DataFrame, k: int = 15, keys: list[str] = BOOK) -> DataFrame:
-    return top_k(scored, keys, [F.col("loss").desc(), F.col("rank").asc(), F.col("symbol").asc()], k)
+    return top_k(scored, keys, [F.col("loss").desc(), *heaviest()], k)
 
 
 def top_impacted(scored: DataFrame, k: int = 10, keys: list[str] = BOOK) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import config as C
 from ..functions import replies as R, scoring as S
 from .portfolio import BOOK, dominant_theme, portfolio_risk, theme_concentration
-from .ranking import by_risk, top_k
+from .ranking import by_risk, heaviest, top_k
 
 
 def _deadlines(extracted: DataFrame) -> DataFrame:
@@ -52,9 +52,9 @@ def reduce_rows(scored: DataFrame, extracted: DataFrame, facts: DataFrame | None
 
 
 def hedge_rows(scored: DataFrame) -> DataFrame:
-    """HEDGE for the first five holdings, in file order, with moderate risk."""
+    """HEDGE for the five heaviest holdings with moderate risk."""
     medium = scored.filter((F.col("risk_score") > C.MEDIUM_RISK) & (F.col("risk_score") <= C.HIGH_RISK))
-    first = top_k(medium, BOOK, [F.col("rank").asc(), F.col("symbol").asc()], 5)
+    first = top_k(medium, BOOK, heaviest(), 5)
     return first.select(
         *BOOK, "position", F.lit("HEDGE").alias("action"), F.col("symbol").alias("ticker"), "company",
         F.lit(C.HEDGE_STRATEGY).alias("hedge_strategy"), (-F.col("loss_pct")).alias("strike_pct"),
