@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 from pyspark.sql.functions import col
 
@@ -53,3 +55,36 @@ def test_each_spelling_becomes_its_equivalent(spark):
             "https://a": "http a", "behaviour colour honour": "behavior color honor"}
     rows = spark.createDataFrame([(k, v) for k, v in said.items()], "text string, form string")
     assert {r.text: r.got for r in rows.withColumn("got", op.canonical(col("text"))).collect()} == said
+
+
+STANDARD_MIT = [  # a paragraph each
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+    "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+    "Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+    "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."]
+NOTICES = ["Copyright (c) 2020 A. Person", "Copyright 1999-2001 X, Inc.", "(c) 2020 X", "© A. Person", "Copyright A. Person and others",
+           "Copyright (c) <year> <copyright holders>", "Copyright [yyyy] [name of copyright owner]", "(C) Jane Doe",
+           "Copyright (C) 2001, 2002 The Regents. All rights reserved.", " * Copyright: 2014 X", "Copyright The Project Authors"]
+
+
+def wraps(paragraphs, widths):
+    return ["\n\n".join(paragraphs), *["\n\n".join(textwrap.fill(p, w, break_long_words=False) for p in paragraphs) for w in widths]]
+
+
+def test_a_licence_is_found_in_any_wrap(spark):
+    texts = wraps(STANDARD_MIT, range(12, 160))
+    assert any("\nCOPYRIGHT HOLDERS" in t for t in texts) and any("\ncopyright notice" in t for t in texts)
+    got = scan(spark, texts + [f"MIT License\n\n{n}\n\n{texts[0]}" for n in NOTICES])
+    assert {k: v[:2] for k, v in got.items()} == dict.fromkeys(got, ("MIT", "MIT"))
+
+
+def test_notices_go_and_prose_stays(spark):
+    prose = ["copyright holders be liable for", "copyright holders", "copyright notice", "COPYRIGHT OWNER OR CONTRIBUTORS BE LIABLE",
+             "copyright license to reproduce", "(c) You must retain, in the Source form", "(c) You must", "copyright law.", "copyright"]
+    rows = spark.createDataFrame([(t,) for t in NOTICES + prose], "text string").withColumn("got", op.canonical(col("text"))).collect()
+    assert {r.text for r in rows if not r.got} == set(NOTICES)

@@ -11,8 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Lines that name holders and years, and say nothing else; they are dropped.
+#: The rule of the reference SQL, which also drops licence prose that a wrap begins with "copyright".
 COPYRIGHT_LINE = r"(?m)^[ \t]*[/*#;-]*[ \t]*(?:(?:copyright|\(c\)|©)[ \t][^\n]*|all rights reserved[. \t]*)$"
+#: Words that follow "copyright" in the prose of licences, and words that no holder's name has.
+_PROSE_NEXT = r"(?:and|or|in|on|by|of|the (?:software|program|work)|to|treaty|doctrines?|interests?|disclaimers?|permissions?|statements?|holders?)\b"
+_PROSE = r"\b(?:holders?|owners?|ownership|notices?|licens\w*|laws?|patents?|trademarks?|rights|be|is|are|shall|must|may|you|your|that|which|if|under|from|any)\b"
+#: Lines that name holders and years, and say nothing else; they are dropped.  A sign or a
+#: year makes a notice, or a name up to the line's end; licence prose does neither, whatever
+#: its wrap.  "(c)" alone also numbers clauses.
+NOTICE_LINE = (
+    r"(?m)^[ \t]*[/*#;-]*[ \t]*(?:"
+    r"(?:copyright[ \t:]*(?:\(c\)|©)|©)[^\n]*"
+    r"|(?:copyright|\(c\))(?:[ \t:,]|by\b|\(c\)|copyright)*(?:(?:19|20)\d\d\b|[\[<{]|yyyy\b|year\b)[^\n]*"
+    rf"|(?:copyright|\(c\))[ \t]+(?:by[ \t]+)?(?!{_PROSE_NEXT})(?![^\n]*{_PROSE})[\w\x{{80}}-\x{{10FFFF}}][^\n;]{{0,80}}"
+    r"|all rights reserved[. \t]*)$")
 #: Equivalent spellings, as patterns on lower-case text and what they become.
 SPELLINGS = [
     (r"licenc", "licens"),
@@ -76,7 +88,7 @@ KNOWN = [
 
 def canonical(text: Column) -> Column:
     """The canonical form; "" for a text without a word."""
-    out = F.regexp_replace(F.translate(text, _UPPER, _LOWER), COPYRIGHT_LINE, "")
+    out = F.regexp_replace(F.translate(text, _UPPER, _LOWER), NOTICE_LINE, "")
     # Line ends inside a phrase are blanks before spellings are compared.
     for pattern, become in SPELLINGS:
         out = F.regexp_replace(out, pattern, become)
