@@ -1,4 +1,6 @@
+import re
 import textwrap
+from pathlib import Path
 
 import duckdb
 from pyspark.sql.functions import col
@@ -88,3 +90,43 @@ def test_notices_go_and_prose_stays(spark):
              "copyright license to reproduce", "(c) You must retain, in the Source form", "(c) You must", "copyright law.", "copyright"]
     rows = spark.createDataFrame([(t,) for t in NOTICES + prose], "text string").withColumn("got", op.canonical(col("text"))).collect()
     assert {r.text for r in rows if not r.got} == set(NOTICES)
+
+
+def paragraphs(text):
+    return [" ".join(p.split()) for p in re.split(r"\n\s*\n", text) if p.strip()]
+
+
+ENTIRE = {p.stem: p.read_text() for p in Path(op.__file__).with_name("licenses").glob("*.txt")}
+
+
+def test_entire_texts_are_found_in_any_wrap(spark):
+    texts = [(k, t) for k, whole in ENTIRE.items() for t in [whole, whole.replace("\n", "\r\n"), *wraps(paragraphs(whole), (60, 65, 72, 76, 80, 100))]]
+    got = scan(spark, [t for _, t in texts])
+    assert {i: (k, got[i][:2]) for i, (k, _) in enumerate(texts)} == {i: (k, (k, k)) for i, (k, _) in enumerate(texts)}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "Unlicense"} <= set(ENTIRE)
+
+
+def test_copies_name_holders_and_leave_out(spark):
+    bsd3, apache, gpl2 = ENTIRE["BSD-3-Clause"], ENTIRE["Apache-2.0"], ENTIRE["GPL-2.0"]
+    mine = (bsd3.replace("the University", "Example Ltd.").replace("THE REGENTS AND CONTRIBUTORS", "THE COPYRIGHT HOLDERS AND CONTRIBUTORS")
+            .replace("THE REGENTS OR CONTRIBUTORS", "THE COPYRIGHT OWNER OR CONTRIBUTORS").replace("The Regents of the University of California", "2019 E"))
+    texts = [("BSD-3-Clause", "BSD 3-Clause License\n\n" + mine), ("BSD-3-Clause", re.sub(r"(?m)^\d\.", "*", mine)),
+             ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 Example Ltd.")),
+             ("Apache-2.0", apache[:apache.index("   APPENDIX")]), ("GPL-2.0", gpl2[:gpl2.index("            How to Apply")]),
+             ("GPL-2.0", gpl2.replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA")),
+             ("CC0-1.0", ENTIRE["CC0-1.0"].replace("Creative Commons Legal Code\n", ""))]
+    got = scan(spark, [t for _, t in texts])
+    assert [got[i][0] for i in range(len(texts))] == [k for k, _ in texts]
+    other = scan(spark, [mine.replace("with or without\nmodification", "without modification"), apache[:5000], gpl2 + "\nMore."])
+    assert all(v[0] is None for v in other.values())
+
+
+def test_header_notices(spark):
+    apache = ENTIRE["Apache-2.0"]
+    header = apache[apache.index("   Licensed under"):]
+    commented = "# Copyright 2020 X\n#\n" + "".join(f"# {line}\n" for line in header.split("\n")) + "\nimport os\n"
+    gpl = ENTIRE["GPL-3.0"]
+    gpl = gpl[gpl.index("    This program is free software: you can"):gpl.index("Also add information")]
+    got = scan(spark, [header + "\n\nimport os", commented, "Copyright (C) 2020 X\n\n" + gpl, gpl + "\nimport os"])
+    assert [got[i][:2] for i in range(4)] == [(None, "Apache-2.0"), (None, "Apache-2.0"),
+                                              ("GPL-3.0-or-later",) * 2, (None, "GPL-3.0-or-later")]
