@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewarden.functions import replies as R
 from tidewarden.operators import passages as P, portfolio as PF
-from tidewarden.plans import report as RP
+from tidewarden.plans import queries as Q, report as RP
 from tidewarden.sources import documents as SD, facts as SF, tables as ST
 from tidewarden.sources.stage import scratch, stage
 from tidewarden.streaming.extraction import extract_stream
@@ -124,6 +124,25 @@ def test_a_theme_without_passages_does_not_fail_the_rest(spark):
     assert got == {"tax": ("tax law", None), "zzz": (None, "no passage found")}
 
 
+def test_passages_of_a_long_filing_keep_their_own_text(spark):
+    long = "".join(f"{'a' * 299} taxone{i} " for i in range(1300)) + "levy " * 70
+    filings = spark.createDataFrame(
+        [(1, "A", "10-K", 2020, "one", "u1", long), (2, "B", "10-K", 2020, "two", "u2", "word " * 12000 + "levy " * 10)],
+        "filing_id bigint, ticker string, filing_type string, fiscal_year int, title string, url string, text string")
+    rows = Q.filing_passages({"filings": filings})
+    assert rows.count() == rows.select("passage_id").distinct().count() > 1400
+    themes = spark.createDataFrame([("levy",)] + [(f"taxone{i}",) for i in range(1000, 1300, 50)], "theme string")
+    got = RP.theme_snippets(rows, themes).collect()
+    assert all(r.theme in r.excerpt for r in got)
+    assert {(r.theme, r.title) for r in got} == {("levy", "one"), ("levy", "two")} | {(f"taxone{i}", "one") for i in range(1000, 1300, 50)}
+    assert len(got) == len({(r.theme, r.title, r.position) for r in got})
+
+
+def test_as_many_passages_as_asked_for(spark):
+    rows = P.with_word_counts(spark.createDataFrame([(i, f"tax {i}") for i in range(40)], "passage_id bigint, passage string"))
+    assert P.top_passages(rows, spark.createDataFrame([("tax",)], "theme string"), 25).count() == 25
+
+
 def test_extraction_runs_on_a_stream(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "reg_id string, ext string, text string"

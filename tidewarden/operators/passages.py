@@ -17,6 +17,11 @@ def passages(docs: DataFrame, keys: list[str], size: int = 500_000, overrun: int
     return unnest_numbered(docs, T.chunks(F.col("text"), size, overrun), "passage_no", "passage", *keys)
 
 
+def identified(passage_rows: DataFrame, doc: str) -> DataFrame:
+    """``passage_id``: the document and the number in it, which orders like them and is unique however many there are."""
+    return passage_rows.withColumn("passage_id", F.struct(doc, "passage_no"))
+
+
 def attribute_filter(filters: dict | None) -> Column:
     """AND of equality tests on filing_type, ticker and fiscal_year.
 
@@ -64,16 +69,13 @@ def theme_scores(passage_rows: DataFrame, themes: DataFrame) -> DataFrame:
     return scored.select("theme", "passage_id", "tf", score.alias("score"))
 
 
-def top_passages(passage_rows: DataFrame, themes: DataFrame, k: int = 5, candidates: int = 10) -> DataFrame:
-    """Best passages per theme: of ``candidates`` hits the first ``k`` with a non-blank excerpt.
+def top_passages(passage_rows: DataFrame, themes: DataFrame, k: int = 5) -> DataFrame:
+    """Best ``k`` passages per theme; a hit holds a word, so no passage is blank.
 
     Only ids and scores are ranked; titles and texts are joined to the winners.
     """
-    scores = theme_scores(passage_rows, themes)
     order = [F.round("score", 9).desc(), F.col("passage_id").asc()]
-    best = top_k(scores, ["theme"], order, candidates, "_c")
-    rows = best.join(passage_rows, "passage_id").filter(F.btrim("passage") != "")
-    return top_k(rows, ["theme"], order, k).drop("_c")
+    return top_k(theme_scores(passage_rows, themes), ["theme"], order, k).join(passage_rows, "passage_id")
 
 
 def snippets(top: DataFrame, excerpt: int = 1500) -> DataFrame:

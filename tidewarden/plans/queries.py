@@ -698,7 +698,7 @@ def reply_themes(x) -> DataFrame:
 
 def filing_passages(x) -> DataFrame:
     rows = P.passages(x["filings"], ["filing_id", "ticker", "filing_type", "fiscal_year", "title", "url"], 300, 100)
-    return stage(P.with_word_counts(rows).withColumn("passage_id", F.col("filing_id") * 1000 + F.col("passage_no")))
+    return stage(P.identified(P.with_word_counts(rows), "filing_id"))
 
 
 @query
