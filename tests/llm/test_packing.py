@@ -90,3 +90,21 @@ def test_edge_cases(spark):
     check_rows(op.pack_documents(df).collect(), texts)
     none = spark.createDataFrame([], "doc_id long, text string")
     assert op.pack_documents(none).count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 150])
+def test_pieces_that_nothing_fits_do_not_meet_in_one_task(spark, monkeypatch, small):
+    rounds, plain = [], op._round
+
+    def noted(items, tasks, *rest):
+        rounds.append((items.count(), tasks))
+        return plain(items, tasks, *rest)
+
+    monkeypatch.setattr(op, "_round", noted)
+    found = op.stage(spark.range(600 + small).selectExpr("id AS uid", "CAST(IF(id < 600, 513 + id % 400, 5 + id % 100) AS long) AS length"))
+    rows = op.pack(found, per_task=25).collect()
+    assert all(n <= 25 * tasks for n, tasks in rounds) and len(rounds) < 40
+    loads = defaultdict(int)
+    for r in rows:
+        loads[r.sequence_id] += r.length
+    assert len(rows) == 600 + small and max(loads.values()) <= 1024 and len(loads) <= 600 + small // 10

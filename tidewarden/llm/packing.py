@@ -3,9 +3,10 @@
 Documents are tokenised where they are read and leave that scan as pieces: ids never
 travel, only lengths and checksums.  Pieces are dealt to tasks, each of which packs
 its own by best fit in decreasing order.  Bins that are nearly full are done; the
-others become items of the next, smaller round, until one task holds all that are
-left.  A task never gets more than a set number of items, so the tree grows with the
-input while its tasks do not.
+others become items of the next, smaller round, dealt anew, until one task holds all
+that are left or a round merges hardly any (bins that no other fits into).  A task never
+packs more than a set number of items at once and gets about as many, so the number of
+tasks grows with the input while the tasks do not.
 """
 
 import re
@@ -22,8 +23,10 @@ from pyspark.sql import DataFrame, functions as F
 from tidewarden.sources.stage import stage
 
 VOCABULARY, END_ID, CAPACITY = "byte_bpe_50k.json", 2, 1024
-#: Items of one packing task; rounds end when one task takes all.
+#: Items of one packing task; rounds end when one task takes all, or
 PER_TASK = 50_000
+#: when a round leaves more than this share of its items as bins.
+HARDLY_MERGED = 31 / 32
 #: A bin with at most this share of its room left is done.
 NEARLY_FULL = 1 / 64
 
@@ -150,17 +153,30 @@ def best_fit(ids: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndar
     return np.array(names, np.int64)[where], offset, np.array(loads, np.int64)[where]
 
 
-def _round(items: DataFrame, tasks: int, capacity: int) -> DataFrame:
-    """``items`` (uid, length, ...) with bin, offset and load, packed within each of ``tasks`` tasks."""
+def _round(items: DataFrame, tasks: int, capacity: int, per_task: int, number: int) -> DataFrame:
+    """``items`` (uid, length, ...) with bin, offset and load, packed within each of ``tasks`` tasks.
+
+    ``number`` of the round: each deals the items differently.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = list(frames)  # of one task: about PER_TASK items
-        if frames:
-            all_ = pd.concat(frames, ignore_index=True)
+        def packed(held: list[pd.DataFrame]) -> pd.DataFrame:
+            all_ = pd.concat(held, ignore_index=True)
             bins, offset, load = best_fit(all_["uid"].to_numpy(), all_["length"].to_numpy(), capacity)
-            yield all_.assign(bin=bins, offset=offset, load=load)
+            return all_.assign(bin=bins, offset=offset, load=load)
+
+        held, n = [], 0
+        for frame in frames:
+            while len(frame):
+                held.append(frame.iloc[:per_task - n])
+                n, frame = n + len(held[-1]), frame.iloc[per_task - n:]
+                if n == per_task:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields)
-    return items.repartition(tasks, "uid").mapInPandas(run, f"{fields}, bin long, offset long, load long")
+    return items.repartition(tasks, F.xxhash64("uid", F.lit(number))).mapInPandas(run, f"{fields}, bin long, offset long, load long")
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK,
@@ -173,21 +189,22 @@ def pack(found: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK,
     enough = capacity - int(capacity * nearly_full)
     whole = found.filter(F.col("length") == capacity).withColumns({"bin": F.col("uid"), "offset": F.lit(0).cast("long")})
     items = found.filter(F.col("length") < capacity)
-    tasks = -(-items.count() // per_task)
+    n_items = items.count()
     placed, levels = None, []
-    while tasks:
-        level = stage(_round(items, tasks, capacity))
+    while n_items:
+        level = stage(_round(items, -(-n_items // per_task), capacity, per_task, len(levels) + (placed is not None)))
         if placed is None:
             placed = level.drop("load")
         else:
             levels.append(level.select(F.col("uid").alias("bin"), F.col("bin").alias("up"), F.col("offset").alias("more")))
-        if tasks == 1:
+        if n_items <= per_task:
             break
         items = level.filter((F.col("offset") == 0) & (F.col("load") < enough)).select(
             F.col("bin").alias("uid"), F.col("load").alias("length"))
-        left = items.count()
+        before, n_items = n_items, items.count()
         # Where hardly anything merges, more rounds over as many items would not help either.
-        tasks = min(-(-left // per_task), tasks // 2)
+        if n_items > before * HARDLY_MERGED:
+            break
     if placed is None:
         placed = whole.limit(0)
     placed = reduce(_lifted, levels, placed)
