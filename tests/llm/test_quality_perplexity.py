@@ -150,3 +150,33 @@ def test_packed_lists_round_trip():
     for at, doc, n in zip(*op.unpacked(packed)):
         got[int(keys[at]), int(doc)] += int(n)
     assert +got == Counter(want)
+
+
+@pytest.mark.parametrize("n_trusted", [0, 1, 10, 40])
+def test_clean_documents_of_a_small_language_stay(spark, n_trusted):
+    """Beside a large language; the small one has few trusted rows, or none."""
+    rnd = random.Random(7)
+    large = ["the", "and", "of", "a", "in", "time", "house", "water", "day", "people", "work", "small"]
+    small = ["жизнь", "город", "вода", "работа", "день", "народ", "время", "дом", "рука", "слово", "мир", "дело"]
+    rows = [(i, "en", " ".join(rnd.choice(large) for _ in range(60))) for i in range(400)]
+    rows += [(1000 + i, lang, " ".join(rnd.choice(small) for _ in range(60))) for i in range(100) for lang in [["ru", None][i % 2]]]
+    labels = [(i, 1, 0) for i in range(300)] + [(1000 + i, 1, 0) for i in range(2 * n_trusted)]
+    got = op.judged(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)).collect()
+    for lang in ("ru", None):
+        kept = [r.kept for r in got if r.lang == lang]
+        assert len(kept) == 50 and sum(kept) >= 45, (lang, n_trusted, sum(kept))
+        assert all((r.most is None) == (n_trusted == 0) for r in got if r.lang == lang)
+    assert sum(r.kept for r in got if r.lang == "en") >= 390
+
+
+def test_other_folds_are_scored_by_models_that_did_not_learn_them(spark):
+    rows = [(i, "en", t) for i, t in enumerate(texts(30, seed=9))]
+    docs, trusted = spark.createDataFrame(rows, SCHEMA), spark.range(30).select(F.col("id").alias("doc_id"))
+    fold = {r.doc_id: r.f for r in trusted.select("doc_id", F.expr(f"pmod(xxhash64(doc_id), {op.FOLDS})").alias("f")).collect()}
+    want = []
+    for i, _, t in rows:
+        want.append(slow_model([u for j, _, u in rows if fold[j] != fold[i]], [t])[t])
+    got = [r.perplexity for r in op.cross_fitted(docs, trusted, op.stage(op.perplexities(docs, trusted))).collect()]
+    assert len(got) == 30
+    order = lambda xs: sorted(-1.0 if x is None else x for x in xs)
+    assert order(got) == pytest.approx(order(want), rel=1e-9)

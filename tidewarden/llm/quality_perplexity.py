@@ -6,7 +6,9 @@ are joined by n-gram, and an order is computed from the one below.  Documents do
 travel either: a scan emits, per n-gram and block of documents, the list of documents
 that hold it.  Those lists meet the probabilities in one equi-join, and sums per
 document come back.  A document is kept where its perplexity is at most the threshold
-of its language: a quantile over trusted documents held out, times a margin.
+of its language: a quantile over trusted documents held out, times a margin.  A
+language with few of those takes all its trusted documents, each scored by a model that
+did not learn from its fold; a language without any has no threshold and is kept.
 
 Characters are 16-bit codes (rarer planes share codes, digits are one, white space is
 one blank); case is kept.  A text starts after three marks 0 and ends with a mark 1.
@@ -25,7 +27,7 @@ ORDER, CODE, CODES = 4, 16, 1 << 16
 #: Every so many-th trusted document sets thresholds and is not learned from.
 FOLDS = 5
 QUANTILE, MARGIN = 0.99, 1.05
-#: Held-out documents below which a language uses the threshold of all languages.
+#: Held-out documents below which a language's threshold is from all its trusted documents, over all folds.
 ENOUGH = 20
 #: Trusted ids up to which they are broadcast (some tens of MB); beyond it they are joined by shuffling.
 SMALL = 1 << 20
@@ -250,50 +252,73 @@ def _sums(met: DataFrame) -> DataFrame:
     return met.select("gram", "base", "packed", "doc_id", "lang", "size", "logp").mapInArrow(run, schema)
 
 
-def _held(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)) == 0
+def _held(doc_id: Column, fold: int = 0) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)) == fold
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, fold: int = 0, scored: DataFrame | None = None) -> DataFrame:
     """doc_id, lang, perplexity of every row of ``docs``; null for a text without a character.
 
-    ``trusted`` (doc_id): the rows learned from, but for the held-out fifth.
+    ``trusted`` (doc_id): the rows learned from, but for the held-out fifth, ``fold``.
+    ``scored``: rows to score instead, some of ``docs``.
     """
-    ids = trusted.select("doc_id").dropna().distinct().filter(~_held(F.col("doc_id"))).withColumn("learn", F.lit(True))
+    ids = trusted.select("doc_id").dropna().distinct().filter(~_held(F.col("doc_id"), fold)).withColumn("learn", F.lit(True))
     ids = F.broadcast(ids) if ids.count() <= SMALL else ids
     flagged = docs.select("doc_id", "text").join(ids, "doc_id", "left").withColumn("learn", F.coalesce("learn", F.lit(False)))
     table = probabilities(stage(_counts(flagged)))
-    met = _lists(docs).join(table, "gram", "left")
+    met = _lists(docs if scored is None else scored).join(table, "gram", "left")
     return (_sums(met).groupBy("uid").agg(F.sum("logp").alias("logp"), F.max("doc_id").alias("doc_id"),
                                           F.max("lang").alias("lang"), F.max("size").alias("size"))
             .select("doc_id", "lang", F.when(F.col("size") > 0, F.exp(-F.col("logp") / F.col("size"))).alias("perplexity")))
 
 
-def thresholds(scores: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """(lang, most) by language; the row with a null ``lang`` is for all that have few held-out documents."""
-    held = scores.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").filter(_held(F.col("doc_id")))
+def _same_lang(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """``a`` with what ``b`` (lang, ...) has of its language; a null one is a language too."""
+    b = b.withColumnRenamed("lang", "_lang")
+    return a.join(b, F.col("lang").eqNullSafe(F.col("_lang")), how).drop("_lang")
+
+
+def cross_fitted(docs: DataFrame, trusted: DataFrame, scores: DataFrame) -> DataFrame:
+    """(lang, perplexity) of trusted documents by models that did not learn from them.
+
+    ``scores``: of the model without fold 0.  The other folds are scored only in languages
+    with fewer than ENOUGH documents in that one, each by a model of all trusted documents
+    but the fold's.
+    """
+    ids = trusted.select("doc_id").dropna().distinct()
+    ids = F.broadcast(ids) if ids.count() <= SMALL else ids
+    own = scores.join(ids, "doc_id", "left_semi").withColumn("held", _held(F.col("doc_id")))
+    held = own.filter("held").select("lang", "perplexity")
+    few = stage(own.groupBy("lang").agg(F.count(F.when(F.col("held"), F.col("perplexity"))).alias("n"), F.count(F.when(~F.col("held"), 1)).alias("others"))
+                .filter((F.col("n") < ENOUGH) & (F.col("others") > 0)).select("lang"))
+    if few.isEmpty():
+        return held
+    mine = stage(docs.join(ids, "doc_id", "left_semi"))
+    few = stage(_same_lang(mine, few, "left_semi"))
+    for fold in range(1, FOLDS):
+        some = few.filter(_held(F.col("doc_id"), fold))
+        held = held.unionByName(perplexities(mine, trusted, fold, some).select("lang", "perplexity"))
+    return held
+
+
+def thresholds(held: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    """(lang, most) by language, from perplexities of trusted documents (lang, perplexity); a null ``lang`` is one too."""
     each = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * margin
-    by_lang = held.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("perplexity").alias("n"), each.alias("most"))
-    return by_lang.filter(F.col("n") >= ENOUGH).select("lang", "most").unionByName(
-        held.agg(each.alias("most")).select(F.lit(None).cast("string").alias("lang"), "most"))
+    return held.groupBy("lang").agg(each.alias("most"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, perplexity, most (the threshold), kept: one row per row of ``docs``.
 
     Trusted: quality 1 and toxic 0 in ``labels``.  A text without a character is not
-    kept.  Without trusted rows there is no threshold, and every text with a character
-    is kept.  Repeated rows get a row each; null ids are scored and never trusted.
+    kept.  A language without trusted rows has no threshold, and its texts with a character
+    are kept.  Repeated rows get a row each; null ids are scored and never trusted.
     """
     trusted = labels.filter("quality = 1 AND toxic = 0").select("doc_id")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     scores = stage(perplexities(plain, trusted))
-    most = stage(thresholds(scores, trusted, quantile, margin))
-    rest = most.filter("lang IS NULL").select(F.col("most").alias("any_most"))
-    fallback = rest.first()  # one number
-    joined = scores.join(most.filter("lang IS NOT NULL"), "lang", "left")
-    limit = F.coalesce("most", F.lit(fallback.any_most if fallback else None).cast("double"))
-    return (joined.withColumn("most", limit)
+    most = stage(thresholds(cross_fitted(plain, trusted, scores), quantile, margin))
+    return (_same_lang(scores, F.broadcast(most) if most.count() <= SMALL else most, "left")
             .select("doc_id", "lang", "perplexity", "most",
                     (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("most"), F.lit(True))).alias("kept")))
 
