@@ -20,14 +20,20 @@ def ids(text):
 
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=" \n\t\r\x0b\x1c\x85\xa0ab.,'s1é中<|", max_size=24))
-def test_chunks_have_the_ids_of_the_whole(text):
-    assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == ids(text)[:-1]
+def test_encoder_has_the_ids_of_the_tokenizer(text):
+    assert ENCODER.fast and ENCODER.ids(text).tolist() == ids(text)[:-1]
 
 
 def test_special_and_long_texts():
-    for text in ("<|endoftext|>", "a <|endoftext|> b", "x" * 5000, "a b " * 3000, "   a", "a   b\n\n  c ", "\n\t\n"):
-        assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == ids(text)[:-1]
-    assert not [c for c in ENCODER.after if len(c) > op._LONG]
+    for text in ("<|endoftext|>", "a <|endoftext|> b", "x" * 5000, "a b " * 3000, "   a", "a   b\n\n  c ", "\n\t\n",
+                 " " * 70_000, "\n" * 70_000, "xyz" * 30_000, "é!" * 20_000, "1" * 9_000, "\x1c" * 3_000, "日本語テキスト" * 400):
+        assert ENCODER.ids(text).tolist() == ids(text)[:-1]
+
+
+def test_other_vocabularies_go_by_their_own_tokenizer():
+    other = op.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert not other.fast
+    assert other.ids("A small test").tolist() == other.tokenizer.encode("A small test", add_special_tokens=False).ids
 
 
 def test_cut():

@@ -30,61 +30,59 @@ HARDLY_MERGED = 31 / 32
 #: A bin with at most this share of its room left is done.
 NEARLY_FULL = 1 / 64
 
-_MEMO, _LONG, _ROWS = 300_000, 48, 1000
-# White space other than single blanks and single line ends.
-_UNUSUAL = re.compile(r"[^\S \n]|[ \n][ \n]")
-_BREAK = re.compile(r"(?<=\S)(?= )")
+#: Texts handed on at once.
+_ROWS = 256
+# The splitter of byte-level vocabularies.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Runs without a place to cut; merging them takes the square of their length in the fast encoder.
+_LONG_RUN = re.compile(r"\S{500}|\s{500}")
+
+
+def _byte_characters() -> dict[str, int]:
+    """The character that byte-level vocabularies write for each byte: itself if printable, else from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
+def byte_ranks(model: dict) -> dict[bytes, int] | None:
+    """Ids by bytes, where a tokenizer file's ids are its merge order (plain byte-level); else None."""
+    splitter = model.get("pre_tokenizer") or {}
+    if (model["model"].get("type") != "BPE" or model.get("normalizer") or splitter.get("type") != "ByteLevel"
+            or splitter.get("add_prefix_space") or not splitter.get("use_regex", True)):
+        return None
+    of, vocab = _byte_characters(), model["model"]["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
+    if any(vocab.get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+        return None
+    return {bytes(of[c] for c in token): i for token, i in vocab.items() if i < 256 + len(merges)}
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit words, with a memo of short chunks.
+    """Token ids of whole texts as arrays of unsigned 32-bit numbers.
 
-    The vocabulary's own splitter always starts a token at a blank that follows
-    something else than white space, whatever comes before or after.  A text may
-    therefore be cut there, and equal chunks are encoded once.  Where each white
-    space is a single blank or line end, it is also cut around line ends.
+    Ids are the tokenizer file's own.  Plain byte-level vocabularies are encoded by ranks;
+    the file's tokenizer itself takes other vocabularies, texts with the name of a special
+    token and texts with very long runs of one kind.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}  # chunks as they are
-        self.after: dict[str, bytes] = {}  # chunks after a blank
-        self.line_end = self._encode(["\n"])[0]
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _learn(self, memo: dict[str, bytes], chunks: set[str], prefix: str) -> None:
-        chunks = list(chunks)
-        memo.update(zip(chunks, self._encode([prefix + c for c in chunks])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut, first, after = [], set(), set()
-        for text in texts:
-            if _UNUSUAL.search(text):
-                chunks = _BREAK.split(text)
-                lines = [[chunks[0], *[c[1:] for c in chunks[1:]]]]
-            else:
-                lines = [line.split(" ") for line in text.split("\n")]
-            cut.append(lines)
-            for line in lines:
-                first.add(line[0])
-                after.update(line[1:])
-        if len(self.first) + len(self.after) > _MEMO:
-            self.first, self.after = {}, {}
-        self._learn(self.first, first - self.first.keys(), "")
-        self._learn(self.after, after - self.after.keys(), " ")
-        head, tail = self.first.__getitem__, self.after.__getitem__
-        out = [self.line_end.join([b"".join([head(line[0]), *map(tail, line[1:])]) for line in lines])
-               for lines in cut]
-        for memo, used in ((self.first, first), (self.after, after)):
-            for c in used:
-                if len(c) > _LONG:
-                    del memo[c]
-        return out
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)
+        ranks = byte_ranks(model)
+        self.named = [t["content"] for t in model.get("added_tokens") or []]
+        self.fast = ranks and tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.fast and not any(t in text for t in self.named) and not _LONG_RUN.search(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -110,17 +108,17 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder(vocabulary or public_tokenizers.path(VOCABULARY))
-        end, uid = np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId() << 40
+        uid = TaskContext.get().partitionId() << 40
         names = [f.split()[0] for f in schema.split(", ")]
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
                 ids = part.column(0).to_pylist()
                 rows = []
-                for doc, data in zip(ids, encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    data = memoryview(data + end)
-                    for k, (start, length) in enumerate(cut(len(data) // 4, capacity)):
-                        rows.append((uid, doc, k, start, length, zlib.crc32(data[4 * start:4 * (start + length)])))
+                for doc, text in zip(ids, part.column(1)):
+                    data = np.append(encoder.ids(text.as_py() or ""), end_id).astype("<u4")
+                    for k, (start, length) in enumerate(cut(len(data), capacity)):
+                        rows.append((uid, doc, k, start, length, zlib.crc32(data[start:start + length])))
                         uid += 1
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
