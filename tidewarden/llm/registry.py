@@ -1,6 +1,6 @@
 """Queries of the operators over whole tables, and their SQL where SQL can say it."""
 
-from tidewarden.llm import (language_spans, lattice_dedup, license_scan, packing, quality_ledger, quality_perplexity,
+from tidewarden.llm import (first_fit_packing, language_spans, lattice_dedup, license_scan, packing, quality_ledger, quality_perplexity,
                             secret_scan, simhash_dedup, source_mixing, url_filter)
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_quality_rules": quality_ledger.query,
     "op9_mixing_sources": source_mixing.query,
     "op10_quality_classifier": quality_perplexity.query,
+    "op13_first_fit_packing": first_fit_packing.query,
 }
 SQL = {
     "op5_license_scans": license_scan.oracle(),
