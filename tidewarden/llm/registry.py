@@ -1,7 +1,8 @@
 """Queries of the operators over whole tables, and their SQL where SQL can say it."""
 
-from tidewarden.llm import (first_fit_packing, language_spans, lattice_dedup, license_scan, packing, quality_ledger, quality_perplexity,
-                            secret_scan, simhash_dedup, source_mixing, url_filter)
+from tidewarden.llm import (first_fit_packing, lanczos_whitening, language_spans, lattice_dedup, license_scan, packing,
+                            pivotal_spelling, quality_ledger, quality_perplexity, secret_scan, simhash_dedup,
+                            source_mixing, url_filter)
 
 QUERIES = {
     "op1_embedding_near_dedup": lattice_dedup.query,
@@ -14,6 +15,8 @@ QUERIES = {
     "op8_quality_rules": quality_ledger.query,
     "op9_mixing_sources": source_mixing.query,
     "op10_quality_classifier": quality_perplexity.query,
+    "op11_embedding_whitening": lanczos_whitening.query,
+    "op12_spelling_variants": pivotal_spelling.query,
     "op13_first_fit_packing": first_fit_packing.query,
 }
 SQL = {
