@@ -1,14 +1,18 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
-
-The model counts runs of four characters (whole texts, all trusted rows but a held-out
-fifth).  Nothing of it is gathered: counts, contexts and probabilities are tables that
-are joined by n-gram, and an order is computed from the one below.  Documents do not
-travel either: a scan emits, per n-gram and block of documents, the list of documents
-that hold it.  Those lists meet the probabilities in one equi-join, and sums per
-document come back.  A document is kept where its perplexity is at most the threshold
-of its language: a quantile over trusted documents held out, times a margin.  A
-language with few of those takes all its trusted documents, each scored by a model that
-did not learn from its fold; a language without any has no threshold and is kept.
+"""Quality by perplexity under interpolated modified Kneser-Ney models of trusted text.
+
+Documents are dealt to folds by their ids.  There is one model for each fold, learned
+from the whole texts of the trusted rows of all other folds, and every document is
+scored by the model of its own fold.  So no trusted document is scored by a model that
+learned from it, all are scored by models of the same size, and one rule serves large
+and small languages: a document is kept where its perplexity is at most the threshold
+of its language, a quantile over all its trusted documents times a margin.  A language
+without any has no threshold and is kept.
+
+A model counts runs of four characters.  Nothing of it is gathered: counts, contexts and
+probabilities are tables with a column for each model, joined by n-gram, and an order is
+computed from the one below.  A scan asks for each n-gram once per unit of some tens of
+millions of characters; the probabilities go back to the unit, where they meet its
+compressed texts, and one row comes of each document.
 
 Characters are 16-bit codes (rarer planes share codes, digits are one, white space is
 one blank); case is kept.  A text starts after three marks 0 and ends with a mark 1.
@@ -17,6 +21,7 @@ one blank); case is kept.  A text starts after three marks 0 and ends with a mar
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -24,15 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidewarden.sources.stage import stage
 
 ORDER, CODE, CODES = 4, 16, 1 << 16
-#: Every so many-th trusted document sets thresholds and is not learned from.
 FOLDS = 5
 QUANTILE, MARGIN = 0.99, 1.05
-#: Held-out documents below which a language's threshold is from all its trusted documents, over all folds.
-ENOUGH = 20
-#: Trusted ids up to which they are broadcast (some tens of MB); beyond it they are joined by shuffling.
+#: Ids up to which they are broadcast (some tens of MB); beyond it they are joined by shuffling.
 SMALL = 1 << 20
-#: Characters and documents of a block.
-_BLOCK, _DOCS = 3 << 20, 1 << 15
+#: Characters of a unit, which gets each probability once, and of the parts it is worked on in.
+_UNIT, _PART = 32 << 20, 1 << 20
+#: Documents of a part.
+_DOCS = 1 << 15
 
 _BLANKS = np.zeros(CODES, bool)
 _BLANKS[[9, 10, 11, 12, 13, 32, 133, 160, 0x2028, 0x2029, 0x3000, 0, 1]] = True
@@ -58,218 +62,216 @@ def grams_of(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _counts(frame: DataFrame) -> DataFrame:
-    """(gram, n): every n-gram of ``frame`` (learn, text), with its count over rows to learn from."""
+def _count_columns() -> list[str]:
+    return [f"c{f}" for f in range(FOLDS)]
+
+
+def _counts(trusted: DataFrame) -> DataFrame:
+    """(gram, c0, c1, ...): n-grams of ``trusted`` (fold, text), counted outside each fold; not yet added up."""
+    names = ["gram", *_count_columns()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(parts: list[tuple[np.ndarray, bool]]) -> pa.RecordBatch:
-            grams = np.concatenate([g for g, _ in parts])
-            learn = np.concatenate([np.full(len(g), x) for g, x in parts])
-            found, at = np.unique(grams, return_inverse=True)
-            n = np.bincount(at, weights=learn, minlength=len(found)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["gram", "n"])
+        def done(parts: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+            found, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            fold = np.concatenate([np.full(len(g), f) for g, f in parts])
+            n = np.bincount(at * FOLDS + fold, minlength=len(found) * FOLDS).reshape(-1, FOLDS)
+            outside = n.sum(axis=1, keepdims=True) - n
+            return pa.RecordBatch.from_arrays([pa.array(found), *[pa.array(outside[:, f]) for f in range(FOLDS)]], names=names)
 
         held, size = [], 0
         for batch in batches:
-            for learn, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for fold, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 grams = grams_of(codes_of(text.as_py() or ""))
-                held.append((grams, learn))
+                held.append((grams, fold))
                 size += len(grams)
-                if size >= _BLOCK:
+                if size >= _PART:
                     yield done(held)
                     held, size = [], 0
         if size:
             yield done(held)
 
-    return (frame.select("learn", "text").mapInArrow(run, "gram long, n long")
-            .groupBy("gram").agg(F.sum("n").alias("c")))
+    return trusted.select("fold", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _suffix(gram: Column, order: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << CODE * (order - 1)) - 1))
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """Discounts of counts 1, 2 and above, from the numbers of n-grams seen 1 to 4 times."""
-    row = counts.agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in range(1, 5)]).first()
-    n = [row.n1, row.n2, row.n3, row.n4]
-    if not n[0]:
-        return [0.5, 0.5, 0.5]
-    y = n[0] / (n[0] + 2 * n[1])
-    return [min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.1), i + 0.9) if n[i] and n[i + 1] else 0.5 for i in range(3)]
+def _discounts(counts: DataFrame, columns: list[str]) -> dict[str, list[float]]:
+    """By count column, discounts of counts 1, 2 and above, from the numbers of n-grams seen 1 to 4 times."""
+    row = counts.agg(*[F.count(F.when(F.col(c) == i, 1)).alias(f"{c}_{i}") for c in columns for i in range(1, 5)]).first()
+
+    def of(n: list[int]) -> list[float]:
+        if not n[0]:
+            return [0.5, 0.5, 0.5]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.1), i + 0.9) if n[i] and n[i + 1] else 0.5 for i in range(3)]
+
+    return {c: of([row[f"{c}_{i}"] for i in range(1, 5)]) for c in columns}
 
 
 def probabilities(grams: DataFrame) -> DataFrame:
-    """(gram, logp) of every row of ``grams`` (gram, c: count learned, 0 if unseen).
+    """(gram, logp...) of every row of ``grams`` (gram, c...: count learned, 0 if unseen), by model.
 
+    Each column beside ``gram`` is a model; what follows its ``c`` also follows ``logp``.
     Highest order by counts, lower ones by the number of distinct n-grams they end;
     the lowest is interpolated with all codes alike.
     """
+    columns = [c for c in grams.columns if c != "gram"]
     tables = {ORDER: grams}
     for k in range(ORDER - 1, 0, -1):
         above = tables[k + 1]
         tables[k] = stage(above.groupBy(_suffix(F.col("gram"), k + 1).alias("gram"))
-                          .agg(F.count(F.when(F.col("c") > 0, 1)).alias("c")))
+                          .agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in columns]))
     lower: DataFrame | None = None
     for k in range(1, ORDER + 1):
         now = tables[k].withColumns({"h": F.shiftrightunsigned("gram", CODE), "low": _suffix(F.col("gram"), k)})
-        d = _discounts(tables[k])
-        off = F.when(F.col("c") == 0, 0.0).when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        contexts = now.filter("c > 0").groupBy("h").agg(F.sum("c").alias("total"), F.sum(off).alias("freed"))
+        cuts = _discounts(tables[k], columns)
+        off = {c: F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
+               for c, d in cuts.items()}
+        contexts = now.filter(F.greatest(F.lit(0), *columns) > 0).groupBy("h").agg(
+            *[F.sum(c).alias(f"total_{c}") for c in columns], *[F.sum(off[c]).alias(f"freed_{c}") for c in columns])
         # One code makes at most CODES contexts, or n-grams of the first order.
         contexts = F.broadcast(contexts) if k <= 2 else contexts
         joined = now.join(contexts, "h", "left")
         if lower is None:
-            joined = joined.withColumn("below", F.lit(1.0 / CODES))
+            joined = joined.withColumns({f"below_{c}": F.lit(1.0 / CODES) for c in columns})
         else:
             joined = joined.join(F.broadcast(lower) if k == 2 else lower, "low")
-        p = F.coalesce((F.col("c") - off + F.col("freed") * F.col("below")) / F.col("total"), F.col("below"))
-        scored = stage(joined.select("gram", p.alias("p")))
-        lower = scored.select(F.col("gram").alias("low"), F.col("p").alias("below"))
-    return scored.select("gram", F.ln("p").alias("logp"))
 
+        def p(c: str) -> Column:
+            total, below = F.nullif(F.col(f"total_{c}"), F.lit(0)), F.col(f"below_{c}")
+            return F.coalesce((F.col(c) - off[c] + F.col(f"freed_{c}") * below) / total, below)
 
-def packed_lists(grams: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The distinct ``grams`` and, for each, its documents and counts as bytes.
+        scored = stage(joined.select("gram", *[p(c).alias(c) for c in columns]))
+        lower = scored.select(F.col("gram").alias("low"), *[F.col(c).alias(f"below_{c}") for c in columns])
+    return scored.select("gram", *[F.ln(c).alias("logp" + c[1:]) for c in columns])
 
-    A byte holds five bits of a step from the document before and three bits of a count
-    less one.  Three bits of 7 mean no count, and a step of 32 times the five bits.  A
-    count above 7 takes more bytes with steps of 0.
-    """
-    order = np.argsort(grams, kind="stable")
-    grams, doc, count = grams[order], doc[order], count[order]
-    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-    step = np.diff(doc, prepend=0)
-    step[first] = doc[first]
-    leaps, sevens = -(-(step >> 5) // 31), -(-count // 7)
-    size = leaps + sevens
-    end = np.cumsum(size)
-    out = np.full(end[-1], 6, np.uint8)
-    if leaps.any():
-        k = np.repeat(np.arange(len(step)), leaps)
-        place = np.arange(len(k)) - np.repeat(np.cumsum(leaps) - leaps, leaps)
-        out[(end - size)[k] + place] = np.minimum((step >> 5)[k] - 31 * place, 31) << 3 | 7
-    out[end - sevens] = (step & 31) << 3 | 6
-    out[end - 1] = out[end - 1] & 0xF8 | (count - 7 * (sevens - 1) - 1)
-    data, ends = out.tobytes(), [0, *end[np.append(first[1:], len(grams)) - 1].tolist()]
-    return grams[first], [data[s:e] for s, e in zip(ends, ends[1:])]
-
-
-def unpacked(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every byte: the list it is in, the document reached, and the count."""
-    n = np.array([len(x) for x in lists])
-    flat = np.frombuffer(b"".join(lists), np.uint8)
-    low, high = flat & 7, (flat >> 3).astype(np.int64)
-    leap = low == 7
-    doc = np.cumsum(np.where(leap, high << 5, high))
-    last = np.cumsum(n)
-    before = np.concatenate([[0], doc[last[:-1] - 1]])
-    return np.repeat(np.arange(len(n)), n), doc - np.repeat(before, n), np.where(leap, 0, low + 1)
-
-
-def _lists(docs: DataFrame) -> DataFrame:
-    """(gram, base, packed, doc_id, lang, size): documents by n-gram, and a row for each document.
-
-    ``packed``: see :func:`packed_lists`, numbers in a block whose first one is ``base``.
-    Rows of documents have a null ``packed`` and their number as ``base``.
-    """
-    schema = "gram long, base long, packed binary, doc_id long, lang string, size long"
-    names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
 
+class _Units:
+    """Numbers of the units of one partition: a unit ends once it holds _UNIT characters."""
+
+    def __init__(self):
+        self.unit, self.size = TaskContext.get().partitionId() << 24, 0
+
+    def after(self, size: int) -> bool:
+        """Count a document; whether the unit ends with it."""
+        self.size += size
+        if self.size < _UNIT:
+            return False
+        self.unit, self.size = self.unit + 1, 0
+        return True
+
+
+def _asked(docs: DataFrame) -> DataFrame:
+    """(unit, gram): the distinct n-grams of every unit of ``docs`` (text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple], parts: list[np.ndarray], base: int) -> Iterator[pa.RecordBatch]:
-            n = len(rows)
-            numbers = list(range(base, base + n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip([[-1 - u for u in numbers], numbers, [None] * n, *zip(*rows)], kinds)], names=names)
-            if not sum(map(len, parts)):
-                return
-            each = [np.unique(g, return_counts=True) for g in parts]
-            grams = np.concatenate([g for g, _ in each])
-            doc = np.repeat(np.arange(n), [len(g) for g, _ in each])
-            keys, packed = packed_lists(grams, doc, np.concatenate([c for _, c in each]))
-            for at in range(0, len(keys), 20_000):
-                m = len(keys[at:at + 20_000])
-                none = [pa.nulls(m, k) for k in kinds[3:]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at:at + m]), pa.array(np.full(m, base)),
-                                                  pa.array(packed[at:at + m], pa.binary()), *none], names=names)
-
-        base = TaskContext.get().partitionId() << 40
-        rows, parts, size = [], [], 0
+        def done(unit: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            grams = np.sort(pd.unique(np.concatenate(parts))) if parts else np.zeros(0, np.int64)
+            for at in range(0, len(grams), 50_000):
+                some = grams[at:at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), unit)), pa.array(some)], names=["unit", "gram"])
+
+        units, parts, held, size = _Units(), [], [], 0
         for batch in batches:
-            for doc, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                grams = grams_of(codes_of(text.as_py() or ""))
-                rows.append((doc, lang, len(grams)))
-                parts.append(grams)
+            for text in batch.column(0):
+                grams, unit = grams_of(codes_of(text.as_py() or "")), units.unit
+                held.append(grams)
                 size += len(grams)
-                if size >= _BLOCK or len(rows) >= _DOCS:
-                    yield from done(rows, parts, base)
-                    base += len(rows)
-                    rows, parts, size = [], [], 0
-        if rows:
-            yield from done(rows, parts, base)
+                ends = units.after(len(grams))
+                if ends or size >= _PART:
+                    parts = [pd.unique(np.concatenate([*parts, *held]))]
+                    held, size = [], 0
+                if ends:
+                    yield from done(unit, parts)
+                    parts = []
+        yield from done(units.unit, parts + held)
+
+    return docs.select("text").mapInArrow(run, "unit long, gram long")
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, schema)
 
+_PARTS = "unit long, doc_id array<long>, lang array<string>, fold array<int>, bytes array<long>, texts binary"
 
-def _sums(met: DataFrame) -> DataFrame:
-    """(uid, logp, doc_id, lang, size): what a task knows of each document."""
-    schema = "uid long, logp double, doc_id long, lang string, size long"
-    names = [f.split()[0] for f in schema.split(", ")]
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """Parts of the units of ``docs`` (doc_id, lang, fold, text), the same units as of :func:`_asked`; texts compressed."""
+    names = [f.split()[0] for f in _PARTS.split(", ")]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def summed(held):
-            uid, at = np.unique(np.concatenate([u for u, _ in held]), return_inverse=True)
-            return uid, np.bincount(at, weights=np.concatenate([v for _, v in held]))
+        import zstandard
 
-        def out(uid, logp, *rest):
-            rest = rest or [pa.nulls(len(uid), k) for k in (pa.int64(), pa.string(), pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(logp, pa.float64()), *rest], names=names)
+        packer = zstandard.ZstdCompressor(level=3)
 
-        held, size = [], 0
+        def done(unit: int, rows: list[tuple]) -> pa.RecordBatch:
+            ids, langs, folds, texts = zip(*rows)
+            row = [unit, ids, langs, folds, [len(t) for t in texts], packer.compress(b"".join(texts))]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+
+        units, rows, size = _Units(), [], 0
         for batch in batches:
-            lists = batch.filter(batch.column(2).is_valid())
-            plain = batch.filter(batch.column(2).is_null())
-            if plain.num_rows:
-                yield out(plain.column(1), np.zeros(plain.num_rows), *[plain.column(k) for k in (3, 4, 5)])
-            for at in range(0, lists.num_rows, 2000):
-                part = lists.slice(at, 2000)
-                at_list, doc, count = unpacked(part.column(2).to_pylist())
-                real = count > 0
-                at_list = at_list[real]
-                uid = doc[real] + part.column(1).to_numpy()[at_list]
-                held.append((uid, count[real] * part.column(6).to_numpy()[at_list]))
-                size += len(uid)
-                if size > 4_000_000:
-                    held = [summed(held)]
-                    size = len(held[0][0])
-                    if size > 2_000_000:  # many documents: hand on what there is
-                        yield out(*held[0])
-                        held, size = [], 0
-        if held:
-            yield out(*summed(held))
-
-    return met.select("gram", "base", "packed", "doc_id", "lang", "size", "logp").mapInArrow(run, schema)
-
-
-def _held(doc_id: Column, fold: int = 0) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)) == fold
-
-
-def perplexities(docs: DataFrame, trusted: DataFrame, fold: int = 0, scored: DataFrame | None = None) -> DataFrame:
+            for doc, lang, fold, text in zip(*[batch.column(k).to_pylist() for k in range(3)], batch.column(3)):
+                text = text.as_py() or ""
+                codes, unit = len(codes_of(text)), units.unit
+                rows.append((doc, lang, fold, text.encode("utf-8", "surrogatepass")))
+                size += len(text)
+                if units.after(codes) or size >= _PART or len(rows) >= _DOCS:
+                    yield done(unit, rows)
+                    rows, size = [], 0
+        if rows:
+            yield done(units.unit, rows)
+
+    return docs.select("doc_id", "lang", "fold", "text").mapInArrow(run, _PARTS)
+
+
+def _summed(key: tuple, parts: pa.Table, known: pa.Table) -> pa.Table:
+    """doc_id, lang, fold, size, logp of a unit's documents, from its texts and its n-grams' probabilities."""
+    import zstandard
+
+    unpacker, out = zstandard.ZstdDecompressor(), []
+    place = pd.Index(known.column("gram").to_numpy())
+    logp = np.column_stack([known.column(f"logp{f}").to_numpy() for f in range(FOLDS)])
+    for part in parts.to_pylist():
+        data, at, each = unpacker.decompress(part["texts"]), 0, []
+        for n in part["bytes"]:
+            each.append(grams_of(codes_of(data[at:at + n].decode("utf-8", "surrogatepass"))))
+            at += n
+        size, fold = np.array([len(g) for g in each]), np.array(part["fold"])
+        where = place.get_indexer(np.concatenate(each))
+        if len(where) and where.min() < 0:
+            raise RuntimeError("the documents came in another order when read again; write them to a table first")
+        total = np.bincount(np.repeat(np.arange(len(each)), size), weights=logp[where, np.repeat(fold, size)], minlength=len(each)).astype(float)
+        out.append(pa.table({"doc_id": pa.array(part["doc_id"], pa.int64()), "lang": pa.array(part["lang"], pa.string()),
+                             "size": pa.array(size), "logp": pa.array(total)}))
+    return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()),
+                                                       "size": pa.array([], pa.int64()), "logp": pa.array([], pa.float64())})
+
+
+def _fold(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)).cast("int")
+
+
+def _ids(trusted: DataFrame) -> DataFrame:
+    ids = trusted.select("doc_id").dropna().distinct()
+    return F.broadcast(ids) if ids.count() <= SMALL else ids
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, perplexity of every row of ``docs``; null for a text without a character.
 
-    ``trusted`` (doc_id): the rows learned from, but for the held-out fifth, ``fold``.
-    ``scored``: rows to score instead, some of ``docs``.
+    ``trusted`` (doc_id): the rows to learn from.  ``docs`` is read twice and must give
+    the same rows in the same partitions and order, as a table does; an error otherwise.
     """
-    ids = trusted.select("doc_id").dropna().distinct().filter(~_held(F.col("doc_id"), fold)).withColumn("learn", F.lit(True))
-    ids = F.broadcast(ids) if ids.count() <= SMALL else ids
-    flagged = docs.select("doc_id", "text").join(ids, "doc_id", "left").withColumn("learn", F.coalesce("learn", F.lit(False)))
-    table = probabilities(stage(_counts(flagged)))
-    met = _lists(docs if scored is None else scored).join(table, "gram", "left")
-    return (_sums(met).groupBy("uid").agg(F.sum("logp").alias("logp"), F.max("doc_id").alias("doc_id"),
-                                          F.max("lang").alias("lang"), F.max("size").alias("size"))
-            .select("doc_id", "lang", F.when(F.col("size") > 0, F.exp(-F.col("logp") / F.col("size"))).alias("perplexity")))
+    flat = docs.select("doc_id", "lang", _fold(F.col("doc_id")).alias("fold"), "text")
+    asked = stage(_asked(flat))
+    columns = _count_columns()
+    unseen = asked.select("gram", *[F.lit(0).cast("long").alias(c) for c in columns])
+    learned = _counts(flat.join(_ids(trusted), "doc_id", "left_semi"))
+    grams = stage(unseen.unionByName(learned).groupBy("gram").agg(*[F.sum(c).alias(c) for c in columns]))
+    answers = asked.join(probabilities(grams), "gram")
+    scored = (_texts(flat).groupBy("unit").cogroup(answers.groupBy("unit"))
+              .applyInArrow(_summed, "doc_id long, lang string, size long, logp double"))
+    return scored.select("doc_id", "lang", F.when(F.col("size") > 0, F.exp(-F.col("logp") / F.col("size"))).alias("perplexity"))
 
 
 def _same_lang(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
@@ -278,29 +280,6 @@ def _same_lang(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return a.join(b, F.col("lang").eqNullSafe(F.col("_lang")), how).drop("_lang")
 
 
-def cross_fitted(docs: DataFrame, trusted: DataFrame, scores: DataFrame) -> DataFrame:
-    """(lang, perplexity) of trusted documents by models that did not learn from them.
-
-    ``scores``: of the model without fold 0.  The other folds are scored only in languages
-    with fewer than ENOUGH documents in that one, each by a model of all trusted documents
-    but the fold's.
-    """
-    ids = trusted.select("doc_id").dropna().distinct()
-    ids = F.broadcast(ids) if ids.count() <= SMALL else ids
-    own = scores.join(ids, "doc_id", "left_semi").withColumn("held", _held(F.col("doc_id")))
-    held = own.filter("held").select("lang", "perplexity")
-    few = stage(own.groupBy("lang").agg(F.count(F.when(F.col("held"), F.col("perplexity"))).alias("n"), F.count(F.when(~F.col("held"), 1)).alias("others"))
-                .filter((F.col("n") < ENOUGH) & (F.col("others") > 0)).select("lang"))
-    if few.isEmpty():
-        return held
-    mine = stage(docs.join(ids, "doc_id", "left_semi"))
-    few = stage(_same_lang(mine, few, "left_semi"))
-    for fold in range(1, FOLDS):
-        some = few.filter(_held(F.col("doc_id"), fold))
-        held = held.unionByName(perplexities(mine, trusted, fold, some).select("lang", "perplexity"))
-    return held
-
-
 def thresholds(held: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """(lang, most) by language, from perplexities of trusted documents (lang, perplexity); a null ``lang`` is one too."""
     each = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * margin
@@ -310,14 +289,16 @@ def thresholds(held: DataFrame, quantile: float = QUANTILE, margin: float = MARG
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, perplexity, most (the threshold), kept: one row per row of ``docs``.
 
-    Trusted: quality 1 and toxic 0 in ``labels``.  A text without a character is not
+    Trusted: ids with rows in ``labels`` of which each has quality 1 and toxic 0.  A text without a character is not
     kept.  A language without trusted rows has no threshold, and its texts with a character
     are kept.  Repeated rows get a row each; null ids are scored and never trusted.
     """
-    trusted = labels.filter("quality = 1 AND toxic = 0").select("doc_id")
+    # An id that is labelled both good and bad is not trusted.
+    trusted = (labels.groupBy("doc_id").agg(F.min((F.expr("quality = 1 AND toxic = 0")).cast("int")).alias("good"))
+               .filter("good = 1").select("doc_id"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     scores = stage(perplexities(plain, trusted))
-    most = stage(thresholds(cross_fitted(plain, trusted, scores), quantile, margin))
+    most = stage(thresholds(scores.join(_ids(trusted), "doc_id", "left_semi"), quantile, margin))
     return (_same_lang(scores, F.broadcast(most) if most.count() <= SMALL else most, "left")
             .select("doc_id", "lang", "perplexity", "most",
                     (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("most"), F.lit(True))).alias("kept")))
