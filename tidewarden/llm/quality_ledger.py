@@ -17,7 +17,7 @@ RULES = [
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 20 * n_words"),
     ("symbols", "100 * n_symbols > 10 * n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "n_dup_lines > 1 AND 100 * n_dup_lines > 30 * n_lines"),
     ("capitals", "100 * n_capitals > 40 * word_chars"),
     ("exclamations", "100 * n_exclamations > 20 * n_words"),
 ]
@@ -53,7 +53,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per row of ``docs``: doc_id and the measurements, all long.
 
     A null text has no words and no lines.  Repeated word windows are found by 64-bit
-    hashes of words; texts without a repeated window never sort.
+    hashes of words, so windows with equal hashes count as equal; texts without a repeated
+    window never sort.
     """
     whole = F.coalesce(F.col(text_col), F.lit(""))
     first = docs.select(F.col(id_col).alias("doc_id"), whole.alias("whole"), F.btrim(whole, F.lit(_BLANKS)).alias("body"))
@@ -85,7 +86,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     covered = F.aggregate(
         F.transform("p", lambda x, i: F.least(F.lit(_WINDOW), F.coalesce(F.get("p", i + 1) - x, F.lit(_WINDOW)))),
         F.lit(0).cast("long"), lambda a, x: a + x)
-    return places.select(*kept, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # Rows of a one-element array: no filter on what follows is pushed below the measurements, which would
+    # write them out again in every condition.
+    one = F.array(F.struct(*kept, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")))
+    return places.select(F.inline_outer(one))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +136,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = judged(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     base = Policy("base", 1, BASE)
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       fails(base).alias("base_failed"), "kept", "failed", "n_lines", "n_capitals", "n_exclamations")
+                       fails(base).alias("base_failed"), "kept", "failed", "n_lines", "n_capitals", "n_exclamations",
+                       "policy", "version")
+
+
+def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy removes, and what it alone removes."""
+    return ablation(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+
+
+def ablation_oracle() -> str:
+    rules = ", ".join(f"('{name}', {1 << k})" for k, (name, _) in enumerate(RULES))
+    return f"""
+    SELECT rule, CAST(count(*) FILTER (failed & b <> 0) AS BIGINT) AS failing,
+           CAST(count(*) FILTER (failed = b) AS BIGINT) AS only_this,
+           CAST(count(*) FILTER (failed = 0 OR failed = b) AS BIGINT) AS kept_without
+    FROM (SELECT failed FROM ({oracle()})) AS book, (VALUES {rules}) AS r(rule, b) GROUP BY rule"""
 
 
 def oracle() -> str:
@@ -154,4 +173,5 @@ def oracle() -> str:
             coalesce(n, 0) AS n_repeat_words FROM cut LEFT JOIN covered USING (k)),
     b AS (SELECT *, {bits} AS failed FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {base}) <> 0 AS base_failed,
-           failed = 0 AS kept, failed, n_lines, n_capitals, n_exclamations FROM b"""
+           failed = 0 AS kept, failed, n_lines, n_capitals, n_exclamations,
+           '{POLICY.name}' AS policy, {POLICY.version} AS version FROM b"""

@@ -13,6 +13,7 @@ QUERIES = {
     "op6_url_filters": url_filter.query,
     "op7_language_id": language_spans.query,
     "op8_quality_rules": quality_ledger.query,
+    "quality_ablation": quality_ledger.ablation_query,
     "op9_mixing_sources": source_mixing.query,
     "op10_quality_classifier": quality_perplexity.query,
     "op11_embedding_whitening": lanczos_whitening.query,
@@ -23,5 +24,6 @@ SQL = {
     "op5_license_scans": license_scan.oracle(),
     "op6_url_filters": url_filter.oracle(),
     "op8_quality_rules": quality_ledger.oracle(),
+    "quality_ablation": quality_ledger.ablation_oracle(),
     "op9_mixing_sources": source_mixing.oracle(),
 }
