@@ -91,3 +91,63 @@ def test_exposure_rank(spark):
         named_struct('region', 'China', 'share', 40d), named_struct('region', 'India', 'share', 5d)) AS geographic_exposure""")
     got = [(r["rank"], r.region, r.share) for r in FI.exposure_rank(df, "ticker").orderBy("rank").collect()]
     assert got == [(1, "China", 40.0), (2, "India", 5.0), (3, "Japan", 5.0)]
+
+
+LINES = ["PART I", "Item 1. Business", "The group makes things.", "Much depends on Ore and", "others, sold abroad. ", "Customers",
+         "Big Store Inc buys.", "", "Risk Factors (continued)", "A law may change!", "Geographic areas\r", "China had 5% of sales.",
+         "Supply chain", "lower case goes on.", "Supply chain"]
+
+
+def index(spark, text):
+    df = spark.createDataFrame([(1, text, "x")], "filing_id long, text string, heading string")
+    return [(r.number, r.heading, text[r.start:r.end]) for r in FI.section_index(df, ["filing_id"]).orderBy("number").collect()]
+
+
+def test_section_index(spark):
+    text = "\n".join(LINES)
+    got = index(spark, text)
+    assert [h for _, h, _ in got] == ["PART I", "Customers", "Risk Factors (continued)", "Geographic areas", "Supply chain"]
+    assert "\n".join(part for _, _, part in got) == text and [n for n, _, _ in got] == list(range(5))
+    assert index(spark, "") == [(0, None, "")] and index(spark, "no heading, one line.") == [(0, None, "no heading, one line.")]
+    assert [h for _, h, _ in index(spark, "😀 x.\nÉtats financiers\n2 Notes to the accounts\nEnd.")] == [None, "États financiers"]
+    none = spark.createDataFrame([(1, None)], "filing_id long, text string")
+    assert FI.section_index(none, ["filing_id"]).count() == 0
+
+
+def test_a_section_is_every_heading_with_its_name_and_ends_at_the_next(spark):
+    filler = "Nothing of note happened. " * 900  # beyond every window
+    text = (f"Customers\n{filler}\nOthers are Far Away Stores Inc.\nOther matters\nHidden Name Ltd is no buyer.\n"
+            f"Customers (continued)\nLate Buyer Inc came.\nManufacturing\n{filler}\nIt is in Taiwan.\nOther sites\nAnd in Mexico.")
+    got = facts(spark, text)
+    assert {"Far Away Stores Inc", "Late Buyer Inc"} <= set(got.key_customers) and "Hidden Name Ltd" not in got.key_customers
+    assert got.manufacturing_locations == ["Taiwan"]
+
+
+def test_limits_cut_and_default_does_not(spark):
+    names = [f"Maker{chr(97 + i // 26)}{chr(97 + i % 26)} Corp" for i in range(45)]
+    text = "Supply chain\n" + "".join(f"Key suppliers include {a}, {b} and {c} for parts.\n" for a, b, c in zip(names[::3], names[1::3], names[2::3]))
+    text += "Risk factors\n" + "A new law on trade and " + "many other things, " * 30 + "may come."
+    df = spark.createDataFrame([("T", text)], "ticker string, text string")
+    whole, short = FI.filing_facts(df, ["ticker"]).first(), FI.filing_facts(df, ["ticker"], S.SHORT).first()
+    assert set(names) <= set(whole.suppliers) and len(short.suppliers) == 30 and short.suppliers == whole.suppliers[:30]
+    assert len(whole.risk_factors[0]) > 500 and len(short.risk_factors[0]) < 250
+    window = FI.filing_facts(df, ["ticker"], S.Limits(windows={"supply chain": 60, "suppliers": 60})).first()
+    assert len(window.suppliers) <= 4
+
+
+def test_sentences_of_a_long_text_without_a_stop(spark, one):
+    assert one(S.sentences, "One. Two! " + "x y " * 100_000) == ["One.", " Two!"]
+
+
+def test_composed_filings_exceed_every_short_list(spark):
+    from tidewarden.fixtures import Inputs
+
+    filings = Inputs(spark, "/root/testdata/sf0.001")["filings"]
+    long = filings.filter("length(text) > 30000").limit(3)
+    whole, short = FI.filing_facts(long, ["filing_id"]).collect(), FI.filing_facts(long, ["filing_id"], S.SHORT).collect()
+    assert whole
+    for a, b in zip(sorted(whole, key=lambda r: r.filing_id), sorted(short, key=lambda r: r.filing_id)):
+        for name, n in (("suppliers", 30), ("main_products", 20), ("dependencies", 15), ("key_customers", 10)):
+            assert len(a[name]) > n >= len(b[name]), name
+        assert max(map(len, a.risk_factors)) > 250
+        assert {"Taiwan", "Singapore"} <= {e.region for e in a.geographic_exposure}

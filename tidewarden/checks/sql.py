@@ -99,6 +99,22 @@ def section(name: str, chars: int = 3000) -> str:
     return f"CASE WHEN {line} = '' THEN '' ELSE substr(text, instr(text, {line}), {chars}) END"
 
 
+HEADED = ([f"sup{i}" for i in range(5)], C.SUPPLIER_SECTIONS), ([f"geo{i}" for i in range(3)], C.GEOGRAPHY_SECTIONS), \
+    ([f"pro{i}" for i in range(3)], C.PRODUCT_SECTIONS), (["cust", "site", "risk"], [C.CUSTOMER_SECTION, C.MANUFACTURING_SECTION, C.RISK_SECTION])
+HEADING = "'^[ \\t]*[\\p{Lu}\\p{N}].{0,77}[\\p{L}\\p{N})][ \\t\\r]*$'"
+
+
+def text_lines(source: str, key: str) -> str:
+    """Numbered lines of every text with the number of their segment."""
+    return f"""SELECT doc, i, line, h, len(line) AS n, sum(CASE WHEN i > 1 AND h AND ended AND NOT run_on THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY i) AS seg
+FROM (SELECT doc, i, line, regexp_matches(line, {HEADING}) AS h,
+        regexp_matches(prev, '[.!?:;][ \\t\\r]{{0,3}}$') OR (i > 2 AND regexp_matches(prev, '^[ \\t\\r]{{0,3}}$')) AS ended,
+        coalesce(regexp_matches(next, '^[ \\t]*\\p{{Ll}}'), false) AS run_on
+      FROM (SELECT *, lag(line) OVER w AS prev, lead(line) OVER w AS next FROM (
+        SELECT {key} AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {source})
+      WINDOW w AS (PARTITION BY doc ORDER BY i)))"""
+
+
 def captures(column: str, patterns) -> str:
     return concat(every(column, "(?i)" + p, 1) for p in patterns)
 
@@ -125,7 +141,7 @@ def risk_lines() -> str:
         hits = f"list_filter(sentences, lambda s: regexp_matches(s, {lit('(?i)' + pattern)}))"
         parts.append(f"""SELECT doc, {i} AS ord, (SELECT s FROM (SELECT unnest({hits}) AS s,
           generate_subscripts({hits}, 1) AS p) ORDER BY length(s) DESC, p LIMIT 1) AS best, {lit(theme)} AS theme FROM @slices@""")
-    return ("SELECT doc, ord, theme || ': ' || substr(best, 1, 200) || '...' AS line FROM ("
+    return ("SELECT doc, ord, theme || ': ' || best || '...' AS line FROM ("
             + " UNION ALL ".join(parts) + ") WHERE length(best) > 50")
 
 
@@ -137,26 +153,27 @@ SUP_SLICES = "list_distinct(list_filter([sup0, sup1, sup2, sup3, sup4], lambda s
 PRO_SLICES = "list_distinct(list_filter([pro0, pro1, pro2], lambda s: s <> ''))"
 SUPPLIERS = f"""list_sort(list_distinct(list_filter({name_runs(
     f"flatten(list_transform({SUP_SLICES}, lambda s: {captures('s', C.SUPPLIER_PHRASES)}))", C.SUPPLIER_NAME)},
-    lambda n: length(n) > 3 AND NOT list_contains({words(C.SUPPLIER_STOP)}, n))))[1:30]"""
+    lambda n: length(n) > 3 AND NOT list_contains({words(C.SUPPLIER_STOP)}, n))))"""
 PRODUCTS = f"""list_sort(list_distinct(list_filter(flatten(list_transform(
     flatten(list_transform({PRO_SLICES}, lambda s: {captures('s', C.PRODUCT_PHRASES)})),
     lambda m: list_transform(string_split_regex(m, ',\\s*(?:and\\s+)?|\\band\\s+'), lambda i: {trimmed('i')}))),
-    lambda i: length(i) > 5 AND length(i) < 100)))[1:20]"""
+    lambda i: length(i) > 5 AND length(i) < 100)))"""
 DEPENDENCIES = f"""list_sort(list_distinct(list_filter(list_transform({captures('text', C.DEPENDENCY_PHRASES)},
-    lambda m: {trimmed('m')}), lambda m: length(m) > 15)))[1:15]"""
-CUSTOMERS = f"""list_sort(list_distinct(list_filter({every('cust', C.CUSTOMER_NAME, 1)}, lambda n: length(n) > 3)))[1:10]"""
+    lambda m: {trimmed('m')}), lambda m: length(m) > 15)))"""
+CUSTOMERS = f"""list_sort(list_distinct(list_filter({every('cust', C.CUSTOMER_NAME, 1)}, lambda n: length(n) > 3)))"""
 SITES = f"""list_sort(list_filter([{', '.join(
     f"CASE WHEN regexp_matches(site, {lit('(?i)' + p)}) THEN {lit(r)} END" for r, p in C.REGION_PATTERNS.items())}],
     lambda r: r IS NOT NULL))"""
 
 
-def slices(source: str, key: str) -> str:
-    cut = [f"{section(n)} AS sup{i}" for i, n in enumerate(C.SUPPLIER_SECTIONS)]
-    cut += [f"{section(n, k)} AS geo{i}" for i, (n, k) in enumerate(C.GEOGRAPHY_SECTIONS)]
-    cut += [f"{section(n, k)} AS pro{i}" for i, (n, k) in enumerate(C.PRODUCT_SECTIONS)]
-    cut += [f"{section(*C.CUSTOMER_SECTION)} AS cust", f"{section(*C.MANUFACTURING_SECTION)} AS site",
-            f"regexp_extract_all({section(*C.RISK_SECTION)}, '[^.!?]*[.!?]') AS sentences"]
-    return f"SELECT {key} AS doc, ticker, text, {', '.join(cut)} FROM {source}"
+def slices(source: str, key: str, lines: str) -> str:
+    names = ", ".join(f"({lit(n)})" for n in sorted({n for _, group in HEADED for n in group}))
+    cut = [f"coalesce(max(part) FILTER (parts.name = {lit(n)}), '') AS {alias}" for aliases, group in HEADED for alias, n in zip(aliases, group)]
+    return f"""SELECT * EXCLUDE (risk), regexp_extract_all(risk, '[^.!?]*[.!?]') AS sentences FROM (
+SELECT {key} AS doc, any_value(ticker) AS ticker, any_value(text) AS text, {', '.join(cut)} FROM {source} LEFT JOIN (
+  SELECT doc, name, string_agg(line, chr(10) ORDER BY i) AS part FROM (
+    SELECT doc, i, line, name, bool_or(contains(lower(line), name)) OVER (PARTITION BY doc, seg, name ORDER BY i) AS inside
+    FROM @{lines}@, (VALUES {names}) v(name)) WHERE inside GROUP BY ALL) parts ON parts.doc = {key} GROUP BY {key})"""
 
 
 def theme_of(rules: str, name: str) -> str:
@@ -210,6 +227,11 @@ def slot(template: str, value: str) -> str:
     return f"({lit(head)} || {value} || {lit(tail)})"
 
 
+def rotation_text() -> str:
+    head, mid, tail = map(lit, C.ROTATION_TEXT.split("{}"))
+    return f"{head} || from_sector || {mid} || printf('%.2f', trim_weight) || {tail}"
+
+
 def boundary(name: str) -> str:
     return f"'\\b' || regexp_escape({name}) || '\\b'"
 
@@ -251,8 +273,11 @@ FROM (SELECT *, CASE WHEN regexp_matches(text, {lit(CONFIG)}) THEN regexp_extrac
 FROM @holdings@ h LEFT JOIN @fundamentals@ f ON h.symbol = f.symbol""",
     "picked": """SELECT ticker, arg_min(name, (NOT (contains(lower(name), '10-k') OR contains(lower(name), '10k')))::int::varchar || name) AS name
 FROM @filings@ GROUP BY ticker""",
-    "all_slices": slices("@filings@", "filing_id"),
-    "slices": slices("(SELECT f.* FROM @filings@ f JOIN @picked@ p ON f.ticker = p.ticker AND f.name = p.name)", "ticker"),
+    "chosen_filings": "SELECT f.* FROM @filings@ f JOIN @picked@ p ON f.ticker = p.ticker AND f.name = p.name",
+    "all_lines": text_lines("@filings@", "filing_id"),
+    "chosen_lines": text_lines("@chosen_filings@", "ticker"),
+    "all_slices": slices("@filings@", "filing_id", "all_lines"),
+    "slices": slices("@chosen_filings@", "ticker", "chosen_lines"),
     "all_geography": geography_rows().replace("@slices@", "@all_slices@"),
     "geography": geography_rows(),
     "all_risks": risk_lines().replace("@slices@", "@all_slices@"),
@@ -371,7 +396,7 @@ FROM @scored@ GROUP BY ALL""",
     "reply_found": """SELECT *, CASE WHEN reply = '' THEN '{}' WHEN json_valid(raw) AND regexp_matches(ltrim(raw), '^[\\[{]') THEN raw
   WHEN json_valid(regexp_extract(raw, '(?s)\\{.*\\}')) THEN regexp_extract(raw, '(?s)\\{.*\\}') END AS found FROM @reply_parts@""",
     "reg_themes": f"""SELECT reg_id, text, CASE WHEN len(given) > 0 THEN given WHEN len(fallback) > 0 THEN fallback ELSE ['regulatory risk'] END AS themes
-FROM (SELECT c.reg_id, c.text, list_filter(list_transform(coalesce(from_json(json_extract(r.found, '$.themes'), '["VARCHAR"]'), []), lambda t: trim(t)), lambda t: t <> '')[1:3] AS given,
+FROM (SELECT c.reg_id, c.text, list_filter(list_transform(coalesce(from_json(json_extract(r.found, '$.themes'), '["VARCHAR"]'), []), lambda t: trim(t)), lambda t: t <> '') AS given,
   list_filter({words(C.REPORT_THEMES)}, lambda w: contains(lower(c.text), w)) AS fallback FROM @cleaned@ c JOIN @reply_found@ r ON r.reg_id = c.reg_id)""",
     "filing_passages": """SELECT filing_id * 1000 + pos - 1 AS passage_id, title, url, piece AS passage, len(regexp_extract_all(piece, '\\w+')) AS n_words
 FROM (SELECT filing_id, title, url, unnest(ps) AS piece, generate_subscripts(ps, 1) AS pos FROM
@@ -474,6 +499,9 @@ FROM @portfolio@""",
 ORDER BY occurrences DESC, measure LIMIT 10""",
     "section_slice": f"""SELECT filing_id, {section('supply chain', 120)} AS supply, {section('customers', 120)} AS customers,
   {section('form 10-k', 120)} AS "first", {section('no such heading', 120)} AS absent FROM @filings@""",
+    "filing_sections": """SELECT doc AS filing_id, cast(seg AS int) AS number, CASE WHEN arg_min(h, i) THEN trim(arg_min(line, i), chr(32) || chr(9) || chr(13)) END AS heading,
+  cast(min(place) AS int) AS "start", cast(max(place + n) AS int) AS "end"
+FROM (SELECT *, coalesce(sum(n + 1) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM @all_lines@) GROUP BY doc, seg""",
     "filing_suppliers": fact("suppliers", SUPPLIERS),
     "filing_geography": "SELECT doc AS filing_id, region, share FROM @all_geography@",
     "filing_risks": "SELECT doc AS filing_id, line AS risk_factor FROM @all_risks@",
@@ -484,7 +512,7 @@ ORDER BY occurrences DESC, measure LIMIT 10""",
     "filing_facts": f"""SELECT h.symbol, coalesce({bars('suppliers')}, '') AS suppliers, coalesce({bars('risk_factors')}, '') AS risk_factors,
   coalesce({bars('main_products')}, '') AS main_products, coalesce({bars('dependencies')}, '') AS dependencies,
   coalesce({bars('key_customers')}, '') AS key_customers, coalesce({bars('manufacturing_locations')}, '') AS manufacturing_locations,
-  coalesce({EXPOSURE}, '') AS {EXPOSURE} FROM @holdings@ h LEFT JOIN (SELECT * FROM @facts@ WHERE right(ticker, 1) <> '3') f ON f.ticker = h.symbol""",
+  coalesce({EXPOSURE}, '') AS {EXPOSURE} FROM @holdings@ h LEFT JOIN @facts@ f ON f.ticker = h.symbol""",
     "exposure_rank": """SELECT doc AS ticker, row_number() OVER (PARTITION BY doc ORDER BY share DESC, region) AS rank, region, share FROM @geography@""",
     "mention_symbol": f"""SELECT x.reg_id, h.symbol FROM @cleaned@ x JOIN @holdings@ h ON h.portfolio_id = x.portfolio_id
   AND regexp_matches(lower(x.text), {boundary('lower(h.symbol)')})""",
@@ -571,9 +599,13 @@ USING (reg_id, symbol) GROUP BY ALL""",
     "reco_override": """SELECT reg_id, action, position, ticker, NULL AS tickers, reason, timeline, NULL AS estimated_impact, urgency FROM @rules@
   WHERE reg_id NOT IN (SELECT reg_id FROM @supplied@)
 UNION ALL SELECT reg_id, action, pos, NULL, tickers, reason, timeline, estimated_impact, urgency FROM @supplied@""",
-    "reco_display": f"""SELECT {BOOK}, company, ticker, round(risk_score, 6) AS risk_score, action, reason AS comment,
-  round(estimated_loss_billions, 6) AS estimated_loss_billions FROM @reduce@
-UNION ALL SELECT {BOOK}, company, ticker, NULL, action, reason, NULL FROM @hedge@""",
+    "reco_display": f"""SELECT {BOOK}, company, ticker, risk_score, action, coalesce(comment, {lit(C.NO_COMMENT)}) AS comment, estimated_loss_billions FROM (
+  SELECT {BOOK}, company, ticker, round(risk_score, 6) AS risk_score, action, reason AS comment, round(estimated_loss_billions, 6) AS estimated_loss_billions FROM @reduce@
+  UNION ALL SELECT {BOOK}, company, ticker, NULL, action, reason, NULL FROM @hedge@
+  UNION ALL SELECT {BOOK}, NULL, NULL, NULL, action, {rotation_text()}, NULL FROM @rotation@
+  UNION ALL SELECT {BOOK}, NULL, NULL, NULL, action, recommendation, NULL FROM @monitor@)
+WHERE reg_id NOT IN (SELECT reg_id FROM @supplied@)
+UNION ALL SELECT {BOOK}, NULL, NULL, NULL, action, coalesce(reason, {lit(C.NO_COMMENT)}), NULL FROM @supplied@""",
     "scenario_losses": f"""SELECT {BOOK}, scenario, round(sum(loss) / 1e12 * factor, 6) AS loss_trillions FROM @scored@,
   (VALUES {', '.join(f'({lit(n)}, {f}::double)' for n, f in C.SCENARIOS)}) v(scenario, factor) GROUP BY {BOOK}, scenario, factor""",
     "chart_risk_weight": f"""SELECT s.reg_id, s.portfolio_id, symbol, company, risk_theme, round(weight, 6) AS weight, round(risk_score, 6) AS risk_score,
@@ -596,10 +628,10 @@ FROM @ranked@ WHERE position <= 20""",
     "exposed_companies": "SELECT * REPLACE (round(total_score, 6) AS total_score) FROM @exposed@",
     "reply_json": """SELECT reg_id, found AS json, CASE WHEN found IS NULL THEN body END AS raw_response,
   CASE WHEN found IS NULL THEN 'json_parse_failed' END AS error FROM @reply_found@""",
-    "exposure_report": """SELECT c.reg_id, CASE WHEN ord % 11 = 5 THEN 400 ELSE 200 END AS status_code,
-  CASE WHEN ord % 11 = 5 THEN 'Missing regulation_text' END AS error,
-  CASE WHEN ord % 11 <> 5 THEN coalesce((SELECT string_agg(company, '|' ORDER BY position) FROM @exposed@ e WHERE e.reg_id = c.reg_id), '') END AS companies,
-  CASE WHEN ord % 11 <> 5 THEN (SELECT count(*) FROM @portfolio@) END AS n_holdings FROM @cleaned@ c""",
+    "exposure_report": """SELECT c.reg_id, CASE WHEN coalesce(c.text, '') = '' THEN 400 ELSE 200 END AS status_code,
+  CASE WHEN coalesce(c.text, '') = '' THEN 'Missing regulation_text' END AS error,
+  CASE WHEN coalesce(c.text, '') <> '' THEN coalesce((SELECT string_agg(company, '|' ORDER BY position) FROM @exposed@ e WHERE e.reg_id = c.reg_id), '') END AS companies,
+  CASE WHEN coalesce(c.text, '') <> '' THEN (SELECT count(*) FROM @portfolio@) END AS n_holdings FROM @report_requests@ c""",
 }
 
 

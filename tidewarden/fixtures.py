@@ -3,7 +3,8 @@
 Each input is one SELECT that reads other inputs or driver tables as ``@name@``.
 The same text runs on Spark and on the checking database, so both sides start
 from equal rows.  Everything grows with the tables: one holding per customer in
-books of 150, one regulation per supplier, one filing per order.  Document
+books of 150, one regulation per supplier, one filing per order of a company with a
+balance; some filings are many times longer than the others.  Document
 texts are composed from a fixed number of slots, never by collecting a group.
 """
 
@@ -51,6 +52,31 @@ def _region_line(number: int, name: str) -> str:
             "|| '% of net sales.' || chr(10) END")
 
 
+def _long_sections() -> str:
+    """More sections of some filings: longer than any window, with more entries than any short list, under second headings.
+
+    One literal, in which @ stands for letters of the filing and # for those of the book.
+    """
+    pairs = [a + b for a in "aeioub" for b in "aeioub"]
+    letters = "aeioubdgkm"
+
+    def filler(n):
+        return "The weather was mild near the old plant again. " * n + "\n"
+
+    lines = ["Suppliers in other markets\n", filler(70), f"Key suppliers include {', '.join(f'#{c} Corp' for c in letters)} for some parts.\n",
+             *[f"Key suppliers include {', '.join(f'V@{p} Corp' for p in pairs[i:i + 4])} for some parts.\n" for i in range(0, 36, 4)],
+             "Geographic information, continued\n", filler(180), "Taiwan represented 12% of net sales.\nSingapore is a small market.\n",
+             "Principal products\n", filler(110),
+             *[f"Our products include @{p} rods, @{p} tubes and small castings.\n" for p in pairs[:13]],
+             "Sales by customers\n", filler(70), f"Others are {', '.join(f'Q@{p} Stores Inc' for p in pairs[:12])}.\n",
+             "Other dependencies\n", *[f"The group depends on @{p} metal from abroad.\n" for p in pairs[:17]],
+             "Risk factors (continued)\n", filler(330),
+             "The legislation of several governments, and a market share lost to competition with pricing pressure, "
+             "could reduce what is earned, " + "year after year and " * 15 + "for good. "]
+    text = "".join(lines).replace("\n", "' || chr(10) || '")
+    return f"replace(replace('{text}', '@', {_letters('ok', 7)}), '#', 'V' || {_letters('cast(floor(b.k / 150) as bigint)', 5)})"
+
+
 REGION_NAMES = ["India", "United States", "China", "Europe", "Japan"]
 
 FIXTURES = {
@@ -140,8 +166,9 @@ SELECT cast(ok as bigint) AS filing_id, b.symbol AS ticker,
                  ELSE 'Short supply chain note. ' END
             || CASE WHEN ok % 4 = 0 THEN 'A data breach or cyber event could harm ' || b.company || ' and lead to sanctions! ' ELSE '' END
             || CASE WHEN ok % 5 = 2 THEN 'Currency moves and interest rate changes affect the debt we carry each year. ' ELSE '' END
-            || 'Does climate change matter' END AS text
-FROM @filing_slots@ JOIN @orders@ ON ok = o_orderkey JOIN @books@ b ON o_custkey = b.k""",
+            || 'Does climate change matter' END
+       || CASE WHEN ok % 97 = 5 THEN '.' || chr(10) || {_long_sections()} ELSE '' END AS text
+FROM @filing_slots@ JOIN @orders@ ON ok = o_orderkey JOIN @books@ b ON o_custkey = b.k WHERE b.price >= 0""",
     "regulation_bodies": f"""
 SELECT k, 'The ' || CASE k % 4 WHEN 0 THEN 'Inflation Reduction Act' WHEN 1 THEN 'EU AI Act'
          WHEN 2 THEN 'Green Deal' ELSE 'Market Rules Notice' END || ' concerns ' || {_symbol('a.c_custkey')}
@@ -202,6 +229,9 @@ SELECT reg_id, portfolio_id, CASE ord % 3
          WHEN 1 THEN '[{"action": "HEDGE", "justification": "first"}, {"action": "ROTATE", "justification": "second", "impact_estime": "2B"}]'
          ELSE 'garbage' END AS reply
 FROM @regulation_docs@ WHERE ord % 4 = 1""",
+    "report_requests": """
+SELECT reg_id, CASE WHEN s_acctbal < 0 THEN NULL WHEN s_acctbal < 500 THEN '' ELSE text END AS text
+FROM @regulation_docs@ JOIN @supplier@ ON ord = s_suppkey""",
     "model_replies": """
 SELECT reg_id, CASE ord % 7
          WHEN 0 THEN 'Here: ```json' || chr(10) || '{"themes": ["tax", " ", "trade"]}' || chr(10) || '``` done'

@@ -1,4 +1,12 @@
-"""Facts from annual filings as expressions over text sections."""
+"""Facts from annual filings as expressions over text sections.
+
+A filing is cut into segments in one pass: a segment starts at a heading and ends where
+the next one starts.  The section of a name is what every segment holds from its first
+line with that name on, however long.  :class:`Limits` cuts sections and lists; by
+default nothing is cut.
+"""
+
+from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
@@ -8,6 +16,55 @@ from .text import contains_any, extract_all
 
 STRINGS = "array<string>"
 
+# A heading is a line of at most 80 characters that begins with a capital or a digit and ends with a letter, a
+# digit or a bracket, after a line that ends a sentence (or an empty one), and is not continued in lower case.
+HEADING_LINE = r"[ \t]*[\p{Lu}\p{N}][^\n]{0,77}[\p{L}\p{N})][ \t\r]*"
+_BOUNDARY = r"(?<=[.!?:;\n][ \t\r]{0,3})\n(?=" + HEADING_LINE + r"(?:\n(?![ \t]*\p{Ll})|\z))"
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What to read and report of a filing; None is all of it.
+
+    ``windows``: cut sections to so many characters from the first line with their name
+    (:data:`config.SECTION_CHARS`, by section name) instead of by headings.  The others
+    are the most entries of a list (in its order) and the characters of a risk line.
+    """
+
+    windows: dict[str, int] | None = None
+    suppliers: int | None = None
+    products: int | None = None
+    dependencies: int | None = None
+    customers: int | None = None
+    risk_lines: int | None = None
+    risk_chars: int | None = None
+
+
+#: The cuts of a short report.
+SHORT = Limits(C.SECTION_CHARS, 30, 20, 15, 10, 15, 200)
+
+
+def segments(text: Column) -> Column:
+    """The text from heading to heading; joined by line breaks they are the text."""
+    return F.split(text, _BOUNDARY, -1)
+
+
+def heading(segment: Column) -> Column:
+    """The heading that a segment starts with, null if it starts with something else."""
+    line = F.substring_index(segment, "\n", 1)
+    return F.when(line.rlike(f"^{HEADING_LINE}$"), F.btrim(line, F.lit(" \t\r")))
+
+
+def headed(parts: Column, lower_parts: Column, name: str) -> Column:
+    """Every segment from its first line that holds ``name`` on; '' if none does."""
+    def rest(part, i):
+        low = F.get(lower_parts, i)
+        at = F.instr(low, name)
+        before = F.substring_index(F.substring(part, F.lit(1), at - 1), "\n", -1)
+        return F.when(at > 0, F.substring(part, at - F.length(before), F.length(part)))
+
+    return F.array_join(F.array_compact(F.transform(parts, rest)), "\n")
+
 
 def lowered(text: Column) -> Column:
     """Lower-cased text whose character positions equal those of the original.
@@ -36,16 +93,20 @@ def _captures(texts: Column, patterns: list[str]) -> Column:
         texts, lambda s: F.concat(*[extract_all(s, f"(?idU){p}", 1) for p in patterns])))
 
 
-def _prefix(names: Column, n: int) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(names)), 1, n)
+def _prefix(names: Column, n: int | None) -> Column:
+    return _first(F.sort_array(F.array_distinct(names)), n)
+
+
+def _first(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
 
 
 def _present(*slices: Column) -> Column:
     return F.filter(F.array_distinct(F.array(*slices)), lambda s: s != "")
 
 
-def suppliers(*slices: Column) -> Column:
-    """Capitalised name runs inside supplier phrases, first 30 in order.
+def suppliers(*slices: Column, n: int | None = None) -> Column:
+    """Capitalised name runs inside supplier phrases, in order.
 
     The phrase patterns ignore case, so their ``[A-Z]`` takes any letter; the
     names are then matched case-sensitively.
@@ -54,7 +115,7 @@ def suppliers(*slices: Column) -> Column:
     names = F.flatten(F.transform(F.array_distinct(phrases),
                                   lambda m: extract_all(m, f"(?U){C.SUPPLIER_NAME}", 1)))
     kept = F.filter(names, lambda n: (F.length(n) > 3) & ~n.isin(C.SUPPLIER_STOP))
-    return _prefix(kept, 30)
+    return _prefix(kept, n)
 
 
 def _literals(pattern: str) -> list[str]:
@@ -102,10 +163,11 @@ def geography(hits: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return extract_all(text, r"[^.!?]*[.!?]")
+    """Runs up to their stop.  Each starts where the one before ended, so a tail without a stop is read once."""
+    return extract_all(text, r"\G[^.!?]*+[.!?]")
 
 
-def risk_factors(parts: Column) -> Column:
+def risk_factors(parts: Column, n: int | None = None, chars: int | None = None) -> Column:
     """One line per risk theme: its longest sentence, if over 50 characters.
 
     Deviation: the sentence bounds apply to every alternative of a theme.
@@ -119,32 +181,32 @@ def risk_factors(parts: Column) -> Column:
             lambda a, s: F.when(F.length(s) > F.length(a), s).otherwise(a))
         long = F.filter(F.array(best), lambda s: F.length(s) > 50)
         return F.transform(long, lambda s: F.concat(
-            F.lit(f"{theme}: "), F.substring(s, 1, 200), F.lit("...")))
+            F.lit(f"{theme}: "), s if chars is None else F.substring(s, 1, chars), F.lit("...")))
 
-    return F.slice(F.concat(*[line(t, p) for t, p in C.RISK_THEMES.items()]), 1, 15)
+    return _first(F.concat(*[line(t, p) for t, p in C.RISK_THEMES.items()]), n)
 
 
-def products(*slices: Column) -> Column:
-    """Product names listed after a product phrase, first 20 in order.
+def products(*slices: Column, n: int | None = None) -> Column:
+    """Product names listed after a product phrase, in order.
 
     Deviation: "and" separates only as a whole word.
     """
     phrases = _captures(_present(*slices), C.PRODUCT_PHRASES)
     items = F.flatten(F.transform(F.array_distinct(phrases), lambda m: F.transform(
         F.split(m, r"(?U),\s*(?:and\s+)?|\band\s+", -1), strip)))
-    return _prefix(F.filter(items, lambda p: (F.length(p) > 5) & (F.length(p) < 100)), 20)
+    return _prefix(F.filter(items, lambda p: (F.length(p) > 5) & (F.length(p) < 100)), n)
 
 
-def dependencies(text: Column) -> Column:
-    """What the company depends on, from the whole text, first 15 in order."""
+def dependencies(text: Column, n: int | None = None) -> Column:
+    """What the company depends on, from the whole text, in order."""
     found = F.transform(_captures(F.array(text), C.DEPENDENCY_PHRASES), strip)
-    return _prefix(F.filter(found, lambda m: F.length(m) > 15), 15)
+    return _prefix(F.filter(found, lambda m: F.length(m) > 15), n)
 
 
-def customers(slice_: Column) -> Column:
-    """Capitalised name runs of the customer section, first 10 in order."""
+def customers(slice_: Column, n: int | None = None) -> Column:
+    """Capitalised name runs of the customer section, in order."""
     names = extract_all(slice_, f"(?U){C.CUSTOMER_NAME}", 1)
-    return _prefix(F.filter(names, lambda n: F.length(n) > 3), 10)
+    return _prefix(F.filter(names, lambda w: F.length(w) > 3), n)
 
 
 def sites(slice_: Column, low: Column) -> Column:

@@ -44,8 +44,8 @@ def components_chart(scored: DataFrame, n: int = 10) -> DataFrame:
 
 
 def geography_chart(scored: DataFrame, facts: DataFrame, tickers: int = 10) -> DataFrame:
-    """Exposure rows of the riskiest holdings (at most 15 of them are charted)."""
-    top = top_risks(scored, min(tickers, 15)).select(*BOOK, "symbol")
+    """Exposure rows of the riskiest holdings, as many as asked."""
+    top = top_risks(scored, tickers).select(*BOOK, "symbol")
     held = top.join(facts.select(F.col("ticker").alias("symbol"), "geographic_exposure"), "symbol")
     return (unnest_fields(held, "geographic_exposure", "region", *BOOK, "symbol")
             .withColumnRenamed("share", "exposure"))

@@ -86,14 +86,14 @@ def merge_findings(extracted: DataFrame, findings: DataFrame) -> DataFrame:
     }).drop("_given", "_json", "_error", "_f")
 
 
-def digest(extracted: DataFrame) -> DataFrame:
-    """Counts per document and the first 15 entities and 10 dates."""
+def digest(extracted: DataFrame, n_entities: int = 15, n_dates: int = 10) -> DataFrame:
+    """Counts per document and its first entities and dates, as many as asked."""
     return extracted.select(
         "reg_id", "name", "type_reg",
         F.size("entities").alias("n_entities"), F.size("dates").alias("n_dates"),
         F.size("measures").alias("n_measures"),
-        F.slice("entities", 1, 15).alias("top_entities"),
-        F.slice("dates", 1, 10).alias("top_dates"))
+        F.slice("entities", 1, n_entities).alias("top_entities"),
+        F.slice("dates", 1, n_dates).alias("top_dates"))
 
 
 def measure_frequency(extracted: DataFrame, n: int = 10) -> DataFrame:

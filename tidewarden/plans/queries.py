@@ -322,6 +322,11 @@ def section_slice(x):
                             ("absent", "no such heading"))])
 
 
+@query
+def filing_sections(x):
+    return FI.section_index(x["filings"], ["filing_id"])
+
+
 def _fact(x, name):
     return all_facts(x).select("filing_id", joined(name).alias(name))
 
@@ -363,9 +368,7 @@ def filing_sites(x):
 
 @query
 def filing_facts(x):
-    kept = x["holdings"].select("symbol")
-    some = facts(x).filter(F.substring("ticker", -1, 1) != "3")
-    return facts_out(FI.attach_facts(kept, some), "symbol")
+    return facts_out(FI.attach_facts(x["holdings"].select("symbol"), facts(x)), "symbol")
 
 
 @query
@@ -639,8 +642,8 @@ def reco_override(x):
 @query
 def reco_display(x):
     a = assessed(x).staged()
-    rows = RC.display(RC.reduce_rows(a.scored, a.regulations).unionByName(
-        RC.hedge_rows(a.scored), allowMissingColumns=True))
+    rules = RC.rule_recommendations(a.scored, a.regulations, a.facts)
+    rows = RC.display(RC.override_rules(rules, x["recommendation_replies"]))
     return rounded(rows, "risk_score", "estimated_loss_billions")
 
 
@@ -735,9 +738,8 @@ def reply_json(x):
 
 @query
 def exposure_report(x):
-    regs = cleaned(x).select("reg_id", F.when(F.col("ord") % 11 != 5, F.col("text")).alias("text"))
     exposed = RP.exposed_companies(reg_snippets(x), x["holdings"].select("company"))
-    body = RP.exposure_report(regs, exposed, PF.market_snapshot(portfolio(x)))
+    body = RP.exposure_report(x["report_requests"], exposed, PF.market_snapshot(portfolio(x)))
     read = F.from_json("body", "error string, companies array<struct<company: string>>, "
                                "market_data struct<count: bigint>")
     return body.select("reg_id", "status_code", read.alias("b")).select(

@@ -8,10 +8,10 @@ from ..operators import mentions as M, passages as P
 from ..operators.ranking import top_k
 
 
-def report_themes(supplied: Column, text: Column) -> Column:
-    """First three non-blank supplied themes; else the fixed words found in the text."""
-    given = F.slice(F.filter(F.transform(F.coalesce(supplied, F.array().cast("array<string>")), strip),
-                             lambda t: t != ""), 1, 3)
+def report_themes(supplied: Column, text: Column, n: int | None = None) -> Column:
+    """Non-blank supplied themes, the first ``n`` if given; else the fixed words found in the text."""
+    given = F.filter(F.transform(F.coalesce(supplied, F.array().cast("array<string>")), strip), lambda t: t != "")
+    given = given if n is None else F.slice(given, 1, n)
     low = F.lower(text)
     words = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in C.REPORT_THEMES]))
     fallback = F.when(F.size(words) > 0, words).otherwise(F.array(F.lit(C.REPORT_DEFAULT_THEME)))
