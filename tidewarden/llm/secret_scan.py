@@ -1,9 +1,10 @@
 """Secrets in texts: fixed patterns, and random strings by token efficiency.
 
-A vocabulary of byte pairs spends few tokens on words and many on random strings.  A
-long run of key characters with a low count of characters per token is reported
-unless it is a digest, an identifier or a plain number.  Everything happens where the
-text is read; only spans leave the scan.
+A vocabulary of byte pairs spends few tokens on words and many on random strings.  Of a
+long run of key characters, what other spans, UUIDs and digests leave is cut at its
+separators; neighbouring pieces with few characters per token make a span.  Plain
+numbers and strings of a few characters are none.  Everything happens where the text is
+read; only spans leave the scan.
 """
 
 import base64
@@ -20,6 +21,12 @@ KINDS = ("assign", "access", "hex", "random")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Shortest run that is measured, and the characters per token below which it counts as random.
 MIN_RUN, MAX_RATIO = 20, 2.2
+#: The same of a run of letters of one case, which a word is too.
+MAX_RATIO_LETTERS = 2.0
+#: Shortest rest of a run that another span, a UUID or a digest is cut out of.
+MIN_REST = 12
+#: Pieces between separators shorter than this are too short to be measured by themselves.
+MIN_PIECE = 6
 PLACEHOLDER = "[secret]"
 
 # What a secret looks like, by kind.
@@ -32,10 +39,10 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 
 # Strings that look random but are known shapes.
 DIGEST_HEX = (32, 40, 56, 64, 96, 128)  # MD5, SHA-1, SHA-224, -256, -384, -512
-UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
-_HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
+_UPPER_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9A-F]{32,128}(?![0-9A-Za-z])")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
-_WORD = re.compile(r"[A-Z]?[a-z]{4,}|[A-Z]{4,}(?![a-z])")
+_PIECE = re.compile(r"[A-Za-z0-9]+")
 
 Span = tuple[str, int, int]
 
@@ -66,11 +73,55 @@ class Scanner:
         found += [("hex", *m.span()) for m in HEX.finditer(text)]
         return in_order(found)
 
+    def is_random(self, run: str) -> bool:
+        """Letters with few characters per token; of several characters."""
+        if len(set(run)) < 8 or not any(c.isalpha() for c in run):
+            return False
+        one_case = run.isalpha() and (run.islower() or run.isupper())
+        return self.ratio(run) < (min(self.max_ratio, MAX_RATIO_LETTERS) if one_case else self.max_ratio)
+
     def random(self, text: str, taken: list[Span]) -> list[Span]:
-        """Runs of key characters with few characters per token that no span of ``taken`` touches."""
-        return [("random", *m.span()) for m in _RUN.finditer(text)
-                if _may_be_key(m[0]) and all(m.end() <= s or e <= m.start() for _, s, e in taken)
-                and self.ratio(m[0]) < self.max_ratio]
+        """Random parts of runs of key characters that no span of ``taken`` touches."""
+        found, at = [], 0
+        for m in _RUN.finditer(text):
+            while at < len(taken) and taken[at][2] <= m.start():
+                at += 1
+            cuts = []
+            for k in range(at, len(taken)):
+                if taken[k][1] >= m.end():
+                    break
+                cuts.append(taken[k][1:])
+            cuts += [u.span() for u in UUID.finditer(text, m.start(), m.end())]
+            cuts += [d.span() for d in _UPPER_HEX.finditer(text, m.start(), m.end()) if d.end() - d.start() in DIGEST_HEX]
+            least, start = MIN_REST if cuts else MIN_RUN, m.start()
+            for s, e in [*sorted(cuts), (m.end(), m.end())]:
+                if s - start >= least:
+                    found += [("random", *span) for span in self._parts(text, start, s, least)]
+                start = max(start, e)
+        return found
+
+    def _parts(self, text: str, start: int, end: int, least: int) -> Iterator[tuple[int, int]]:
+        """Neighbouring random pieces of a rest of a run; very short ones go with their neighbours unless plain letters."""
+        group: list[tuple[int, int, bool]] = []
+        for p in [*_PIECE.finditer(text, start, end), None]:
+            if p:
+                piece = p[0]
+                short = len(piece) < MIN_PIECE
+                if short and not (piece.isalpha() and (piece.islower() or piece.isupper() or piece.istitle())):
+                    group.append((*p.span(), False))
+                    continue
+                if not short and self._piece_is_random(piece):
+                    group.append((*p.span(), True))
+                    continue
+            if any(sure for _, _, sure in group):
+                s, e = group[0][0], group[-1][1]
+                if e - s >= least and self.is_random(text[s:e]):
+                    yield s, e
+            group = []
+
+    def _piece_is_random(self, piece: str) -> bool:
+        return piece.isdigit() or self.ratio(piece) < (
+            min(self.max_ratio, MAX_RATIO_LETTERS) if piece.isalpha() and (piece.islower() or piece.isupper()) else self.max_ratio)
 
     def spans(self, text: str) -> list[Span]:
         base = self.base(text)
@@ -81,20 +132,6 @@ def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _may_be_key(run: str) -> bool:
-    """Letters and digits, or cases mixed inside; not a digest, a UUID or words joined to an identifier."""
-    letters = [c for c in run if c.isalpha()]
-    if not letters or len(set(run)) < 8:
-        return False
-    digits = any(c.isdigit() for c in run)
-    inside = sum(a.islower() and b.isupper() for a, b in zip(run, run[1:]))
-    if not digits and inside < 3:
-        return False
-    if _HEX_ONLY.fullmatch(run) and len(run) in DIGEST_HEX or UUID.search(run):
-        return False
-    return sum(len(w) for w in _WORD.findall(run)) < 0.6 * len(letters)
-
-
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
