@@ -48,3 +48,27 @@ def test_stages_against_a_plain_version(spark):
             assert offset == at
             at += length
         assert at <= packing.CAPACITY
+
+
+def test_odd_rows_go_through_every_stage(spark):
+    good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").join(
+        spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1 AND toxic = 0"), "doc_id").limit(4).collect()]
+    rows = [(9_000 + i, t, "en", "s", 1, "u", 7) for i, t in enumerate(good)]
+    rows += [rows[0], (None, good[1], None, None, None, None, None), (9_100, None, None, None, None, None, None), (9_101, "", "en", "s", 0, "u", 7)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, uid string, fold int"
+    steps, docs = {}, spark.createDataFrame(rows, schema)
+    for name, step in corpus_pipeline.STAGES:
+        docs = steps[name] = corpus_pipeline.stage(step(spark, docs, SF))
+        if name != "best_fit_packing":
+            assert docs.columns == schema.replace(",", "").split()[::2]
+    ids = Counter(r.doc_id for r in steps["quality_classifier"].collect())
+    assert ids[9_000] == 2 and ids[None] == 1 and not ids[9_100] and not ids[9_101]
+    assert Counter(r.doc_id for r in steps["simhash_near_dedup"].collect()) == {9_000: 1, 9_001: 1, 9_002: 1, 9_003: 1, None: 1}
+    assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in steps["mixing_sources"].collect()}
+
+
+def test_empty_corpus(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, step in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stage(step(spark, docs, SF))
+    assert docs.count() == 0

@@ -86,6 +86,17 @@ def test_groups_and_edge_cases(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_repeated_ids_and_rows_without_one(spark):
+    rows = [(1, "b second text of this id", 2, {"k": 1}), (1, "a first text of this id", 9, None), (1, "a first text of this id", 3, None),
+            (None, "no id", 1, None), (None, "no id", 1, None), (4, None, 5, {}), (6, "", 5, {})]
+    schema = "doc_id long, text string, size int, more map<string, int>"
+    kept = [sorted(map(tuple, op.keep_one(spark.createDataFrame(part, schema).repartition(3)).collect()), key=repr)
+            for part in (rows, rows[::-1])]
+    assert kept[0] == kept[1]
+    assert sorted((r[0] or 0, r[1], r[2]) for r in kept[0]) == [
+        (0, "no id", 1), (0, "no id", 1), (1, "a first text of this id", 3), (4, None, 5)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert op.simhash_groups(df).count() == 0 and op.keep_one(df).count() == 0

@@ -132,13 +132,17 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, crowd:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; repeated rows of an id stay once.
+    """The rows of ``docs`` whose id is the smallest of its group.
 
-    Rows without an id cannot name a group and are dropped.
+    Of rows that share that id, the one whose text comes first in order stays.  Rows
+    without an id can neither name a group nor be named by one, so they stay.
     """
     groups = simhash_groups(docs.filter("doc_id IS NOT NULL"), shingle, max_bits)
     first = groups.filter("id = component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = (docs.join(first, "doc_id", "left_semi").select("doc_id", row.alias("_row"))
+            .groupBy("doc_id").agg(F.min_by("_row", F.struct("_row.text", F.to_json("_row"))).alias("_row")))
+    return kept.select("_row.*").unionByName(docs.filter("doc_id IS NULL"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
