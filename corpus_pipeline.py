@@ -1,7 +1,8 @@
 """Training corpus from ``documents``: classify, near-dedup, redact, mix, pack.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
-between stages a table is written to the shared folder and read back.
+between stages a table is written to the shared folder and read back.  An empty table
+gives an empty one; further columns go along until the last stage.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,27 +15,30 @@ SHINGLE, MAX_BITS = 3, 2
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity their language's threshold allows; those without text go."""
+    """Documents whose perplexity their language's threshold allows; those without text go.
+
+    Rows that share an id go only where all are rejected; rows without one are judged together.
+    """
     return quality_perplexity.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """The document with the smallest id of each group of near copies; one row of a repeated id; rows without one stay."""
     return simhash_dedup.keep_one(docs, SHINGLE, MAX_BITS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced."""
+    """All rows, with secrets in their texts replaced; null texts stay null."""
     return secret_scan.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix deals it."""
+    """Each row as often as the mix deals it; a null source is a source."""
     return source_mixing.resampled(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per token piece, with its sequence and place there."""
+    """One row per token piece, with its sequence and place there; a null text has the end token only, repeated rows are packed each."""
     return packing.pack_documents(docs)
 
 
