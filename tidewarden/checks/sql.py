@@ -635,9 +635,25 @@ FROM @ranked@ WHERE position <= 20""",
 }
 
 
-def with_steps(sql: str) -> str:
-    """Prefix a statement with the steps and inputs it needs, as CTEs."""
-    parts = {**FIXTURES, **STEPS}
+# Every regulation copied to every portfolio it concerns, under a name of its own: what one extraction must equal.
+COPIED = {
+    "own_docs": FIXTURES["regulation_docs"],
+    "coverage": FIXTURES["coverage"],
+    "regulation_docs": """SELECT * REPLACE (d.reg_id || '@' || c.portfolio_id AS reg_id, c.portfolio_id AS portfolio_id)
+FROM @own_docs@ d JOIN @coverage@ c ON c.reg_id = d.reg_id""",
+    "company_findings": "SELECT '' AS reg_id, '' AS symbol, '' AS finding WHERE false",
+}
+COVERED = {
+    "coverage_risk": """SELECT split_part(reg_id, '@', 1) AS reg_id, portfolio_id, symbol, risk_theme, round(direct_risk, 6) AS direct_risk,
+  round(supply_chain_risk, 6) AS supply_chain_risk, round(geographic_risk, 6) AS geographic_risk, round(risk_score, 6) AS risk_score FROM @scored@""",
+    "coverage_themes": """SELECT split_part(reg_id, '@', 1) AS reg_id, portfolio_id, risk_theme, round(weight_exposure, 6) AS weight_exposure,
+  round(avg_risk, 6) AS avg_risk, round(max_risk, 6) AS max_risk, n_holdings FROM @concentration@""",
+}
+
+
+def with_steps(sql: str, instead: dict[str, str] | None = None) -> str:
+    """Prefix a statement with the steps and inputs it needs, as CTEs; ``instead`` takes the place of some."""
+    parts = {**FIXTURES, **STEPS, **(instead or {})}
     order: list[str] = []
 
     def visit(text):
@@ -662,4 +678,8 @@ SIX = re.compile(r"round\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*), 6\)")
 
 
 def oracle_queries() -> dict[str, str]:
-    return {name: with_steps(SIX.sub(r"round((\1) + 3e-10::double, 6)", sql)) for name, sql in ORACLES.items()}
+    def shifted(sql):
+        return SIX.sub(r"round((\1) + 3e-10::double, 6)", sql)
+
+    return ({name: with_steps(shifted(sql)) for name, sql in ORACLES.items()}
+            | {name: with_steps(shifted(sql), COPIED) for name, sql in COVERED.items()})

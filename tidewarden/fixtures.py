@@ -206,6 +206,11 @@ SELECT 'R' || lpad(cast(k as string), 6, '0') AS reg_id, {_book('k', 10)} AS por
          WHEN 7 THEN '<reg><title>Notice</title><body>' || body || '</body></reg>'
          ELSE body END AS text
 FROM @regulation_bodies@""",
+    "coverage": f"""
+SELECT DISTINCT reg_id, portfolio_id FROM (
+  SELECT 'R' || lpad(cast(s_suppkey as string), 6, '0') AS reg_id,
+         {_book("(s_suppkey + 10 * d * (s_suppkey % 4)) % (SELECT max(s_suppkey) + 1 FROM @supplier@)", 10)} AS portfolio_id
+  FROM @supplier@ CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 5) n)""",
     "company_findings": """
 SELECT r.reg_id, h.symbol,
        CASE h.rank % 3 WHEN 0 THEN '{"impact_direct": ' || cast(h.rank % 100 as string)

@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import config as C
 from ..functions import lexicon as L
 from ..functions.text import extract_all
+from ..sources.stage import stage
+from .joins import HEAVY, split_join
 from .rows import unnest
 
+BOOK = ["portfolio_id"]
 WORD = r"(?U)\w+"
 KEY = 4
 
@@ -76,15 +79,25 @@ def company_mentions(regs: DataFrame, holdings: DataFrame) -> DataFrame:
                          "reg_id", "symbol", ["portfolio_id"])
 
 
-def mentions(regs: DataFrame, holdings: DataFrame) -> DataFrame:
-    """Both kinds in one pass over the texts: symbol_hit and company_hit per pair."""
+def mentions(regs: DataFrame, holdings: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+    """Both kinds in one pass over the texts: symbol_hit and company_hit per pair.
+
+    ``coverage`` (reg_id, portfolio_id): texts come without a portfolio and are read once;
+    what they say then meets the names of every portfolio covered.
+    """
     names = holdings.select(
         "portfolio_id", "symbol", F.inline(F.array(
             F.struct(F.lit("s").alias("kind"), F.lower("symbol").alias("surface")),
             F.struct(F.lit("c").alias("kind"), name_surface(F.col("company")).alias("surface")))))
-    names = names.withColumn("who", F.struct("symbol", "kind"))
-    hits = text_mentions(regs.select("portfolio_id", "reg_id", "text"), names,
-                         "reg_id", "who", ["portfolio_id"])
+    if coverage is None:
+        names = names.withColumn("who", F.struct("symbol", "kind"))
+        hits = text_mentions(regs.select("portfolio_id", "reg_id", "text"), names,
+                             "reg_id", "who", ["portfolio_id"])
+    else:
+        said = text_mentions(regs.select("reg_id", "text"), names.select("surface", F.col("surface").alias("said")).distinct(),
+                             "reg_id", "said", [])
+        hits = said.join(coverage, "reg_id").withColumnRenamed("said", "surface").join(
+            names.withColumn("who", F.struct("symbol", "kind")), ["portfolio_id", "surface"])
     return hits.groupBy("reg_id", "portfolio_id", F.col("who.symbol").alias("symbol")).agg(
         F.bool_or(F.col("who.kind") == "s").alias("symbol_hit"),
         F.bool_or(F.col("who.kind") == "c").alias("company_hit"))
@@ -108,8 +121,10 @@ def anchor_word(words: Column) -> Column:
     return F.reduce(words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
 
 
-def supplier_mentions(regs: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """(portfolio_id, reg_id, supplier) where the name is a substring of the text.
+def supplier_mentions(regs: DataFrame, suppliers: DataFrame, group: list[str] = BOOK) -> DataFrame:
+    """(group, reg_id, supplier) where the name is a substring of the text.
+
+    ``group``: what regulation and supplier must have in common, by default the portfolio.
 
     A name inside a text puts its longest word inside one word of that text.
     That relation is found on the distinct vocabulary, through character runs;
@@ -117,29 +132,26 @@ def supplier_mentions(regs: DataFrame, suppliers: DataFrame) -> DataFrame:
     checked against the text inside the last join.  So the shuffled rows are
     distinct words per document, not character positions.
     """
-    texts = regs.select("portfolio_id", "reg_id", F.lower("text").alias("low"))
-    wanted = (suppliers.select("portfolio_id", "supplier").distinct()
+    texts = regs.select(*group, "reg_id", F.lower("text").alias("low"))
+    wanted = (suppliers.select(*group, "supplier").distinct()
               .withColumn("needle", F.lower("supplier"))
               .withColumn("anchor", anchor_word(extract_all(F.col("needle"), WORD))))
     doc_words = unnest(texts, F.array_distinct(extract_all(F.col("low"), WORD)), "word",
-                       "portfolio_id", "reg_id")
+                       *group, "reg_id")
     sizes = list(range(1, KEY + 1))
     vocabulary = doc_words.select("word").distinct()
     runs = unnest(vocabulary, _char_runs(F.col("word"), sizes), "run", "word")
     anchors = wanted.select("anchor").distinct().withColumn("run", F.left("anchor", F.lit(KEY)))
     holds = (runs.join(anchors, "run").filter(F.contains("word", "anchor")).select("word", "anchor"))
-    candidates = (doc_words.join(holds, "word").join(wanted, ["portfolio_id", "anchor"])
-                  .select("portfolio_id", "reg_id", "supplier", "needle").distinct())
-    found = candidates.join(
-        texts.select(F.col("portfolio_id").alias("_p"), F.col("reg_id").alias("_r"), "low"),
-        (F.col("portfolio_id") == F.col("_p")) & (F.col("reg_id") == F.col("_r"))
-        & F.contains("low", "needle"))
-    return found.select("portfolio_id", "reg_id", "supplier")
+    candidates = (doc_words.join(holds, "word").join(wanted, [*group, "anchor"])
+                  .select(*group, "reg_id", "supplier", "needle").distinct())
+    found = candidates.join(texts, [*group, "reg_id"]).filter(F.contains("low", "needle"))
+    return found.select(*group, "reg_id", "supplier")
 
 
-def places(regs: DataFrame, countries: list[str]) -> DataFrame:
-    """(portfolio_id, reg_id, entity) for entity strings that name a country."""
-    return unnest(regs, L.mentions_places(F.col("entities"), countries), "entity", "portfolio_id", "reg_id")
+def places(regs: DataFrame, countries: list[str], group: list[str] = BOOK) -> DataFrame:
+    """(group, reg_id, entity) for entity strings that name a country."""
+    return unnest(regs, L.mentions_places(F.col("entities"), countries), "entity", *group, "reg_id")
 
 
 def supplier_places(suppliers: DataFrame, entities: DataFrame) -> DataFrame:
@@ -156,16 +168,18 @@ def supplier_places(suppliers: DataFrame, entities: DataFrame) -> DataFrame:
             .select("supplier", "entity_low"))
 
 
-def supplier_geo_pairs(regs: DataFrame, suppliers: DataFrame) -> DataFrame:
+def supplier_geo_pairs(regs: DataFrame, suppliers: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
     """(reg_id, portfolio_id, symbol, geo_pairs): place strings times suppliers that contain them.
 
     Counts are formed per (symbol, place) and per (document, place) before the
     two meet, so no (document, supplier, place) triple is ever written out.
+    ``coverage``: see :func:`mentions`.
     """
-    entities = places(regs, C.SUPPLY_COUNTRIES)
+    entities = places(regs, C.SUPPLY_COUNTRIES, BOOK if coverage is None else [])
     inside = supplier_places(suppliers, entities)
     by_symbol = (suppliers.join(inside, "supplier")
                  .groupBy("portfolio_id", "symbol", "entity_low").agg(F.count("*").alias("n_s")))
+    entities = entities if coverage is None else entities.join(coverage, "reg_id")
     by_doc = (entities.groupBy("portfolio_id", "reg_id", F.lower("entity").alias("entity_low"))
               .agg(F.count("*").alias("n_e")))
     return (by_doc.join(by_symbol, ["portfolio_id", "entity_low"])
@@ -173,12 +187,37 @@ def supplier_geo_pairs(regs: DataFrame, suppliers: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("n_s") * F.col("n_e")).alias("geo_pairs")))
 
 
-def supplier_counts(regs: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """(reg_id, portfolio_id, symbol, supplier_hits): suppliers of a holding that a document names."""
-    return (supplier_mentions(regs, suppliers).join(suppliers, ["portfolio_id", "supplier"])
+def supplier_counts(regs: DataFrame, suppliers: DataFrame, coverage: DataFrame | None = None, limit: int = HEAVY) -> DataFrame:
+    """(reg_id, portfolio_id, symbol, supplier_hits): suppliers of a holding that a document names.
+
+    ``coverage``: see :func:`mentions`.  A supplier that very many holdings or documents
+    share is split (``limit``: rows of a key).
+    """
+    if coverage is None:
+        found = supplier_mentions(regs, suppliers)
+    else:
+        found = supplier_mentions(regs, suppliers, []).join(coverage, "reg_id")
+    return (split_join(stage(found), suppliers, ["portfolio_id", "supplier"], limit=limit)
             .groupBy("reg_id", "portfolio_id", "symbol").agg(F.count("*").alias("supplier_hits")))
 
 
+def theme_hits(themes: DataFrame, held: DataFrame, limit: int = HEAVY) -> DataFrame:
+    """Holdings (portfolio_id, symbol, risk_theme) with the regulations that target their theme.
+
+    ``themes`` (reg_id, portfolio_id, risk_theme) and ``held`` are written tables.  A theme that most
+    holdings of a portfolio share is split.
+    """
+    return split_join(held, themes, ["portfolio_id", "risk_theme"], limit=limit)
+
+
+def region_hits(regions: DataFrame, exposure: DataFrame, limit: int = HEAVY) -> DataFrame:
+    """Exposure (portfolio_id, symbol, region, share) with the regulations (reg_id, portfolio_id, region) that name its region.
+
+    Both are written tables; a region that most holdings of a portfolio share is split.
+    """
+    return split_join(exposure, regions, ["portfolio_id", "region"], limit=limit)
+
+
 def hit_regions(entities: Column, aliases: dict[str, list[str]] | None = None) -> Column:
     """Exposure regions whose name lies inside a place string of a document.
 

@@ -6,6 +6,8 @@ Input frames
   holdings   portfolio_id, symbol, company, weight, rank, market_cap, ...
              optional risk_theme (kept when present)
   regulations  reg_id, portfolio_id, name + the extraction record
+  coverage   reg_id, portfolio_id, if regulations come without a portfolio: each
+             pair once, and every regulation is cleaned and extracted once
   facts      ticker + filing facts, one row per ticker
   findings   reg_id, symbol, finding (JSON)
 """
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import config as C
 from ..functions import lexicon as L, numbers as N, overrides as O, replies as R, scoring as S
 from ..operators import extract as E, filings as FI, mentions as M
+from ..operators.joins import HEAVY, split_join
 from ..operators.rows import unnest
 from ..sources.documents import pick_filings
 from ..sources.stage import stage
@@ -48,7 +51,7 @@ def regulation_features(regs: DataFrame, include_measure_themes: bool,
     params = {f"p_{name}": O.param(cfg, name) for name in C.DEFAULT_PARAMS}
     return (regs.withColumns(params | {"_rules": O.text_rules(cfg)})
             .select(
-                "reg_id", "portfolio_id",
+                *[c for c in ("reg_id", "portfolio_id") if c in regs.columns],
                 *params,
                 L.targeted_themes(*sets).alias("targeted_themes"),
                 S.measure_intensity(F.size("measures"), F.col("p_measure_intensity_scale"),
@@ -60,23 +63,20 @@ def regulation_features(regs: DataFrame, include_measure_themes: bool,
                 F.when(cfg["company_theme_keywords"].isNotNull(), O.company_rules(cfg)).alias("company_rules")))
 
 
-def assessment_pairs(holdings: DataFrame, features: DataFrame, salts: int = 8) -> DataFrame:
-    """Each regulation with each holding of the portfolio it concerns.
+def assessment_pairs(holdings: DataFrame, features: DataFrame, limit: int = HEAVY) -> DataFrame:
+    """Each regulation with each holding of the portfolios it concerns.
 
-    Scoring every such pair is the result itself.  Regulation rows are small
-    (no text) and repeated per salt, so one very large portfolio is spread over
-    ``salts`` join keys.
+    Scoring every such pair is the result itself.  Regulation rows are small (no text);
+    a portfolio with very many holdings or regulations is split by their numbers.
     """
-    left = holdings.withColumn("_salt", F.pmod(F.xxhash64("symbol"), F.lit(salts)).cast("int"))
-    right = features.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    paired = left.join(right, ["portfolio_id", "_salt"]).drop("_salt")
+    paired = split_join(holdings, features, ["portfolio_id"], limit=limit)
     own = F.when(F.col("_own_theme") | F.col("company_rules").isNull(), F.col("risk_theme")).otherwise(
         O.company_theme_by(F.col("company"), F.col("company_rules")))
     return paired.withColumn("risk_theme", own).drop("_own_theme", "company_rules")
 
 
-def _with_mentions(pairs: DataFrame, regs: DataFrame, holdings: DataFrame) -> DataFrame:
-    out = pairs.join(M.mentions(regs, holdings), PAIR, "left")
+def _with_mentions(pairs: DataFrame, regs: DataFrame, holdings: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+    out = pairs.join(M.mentions(regs, holdings, coverage), PAIR, "left")
     return out.withColumns({
         "symbol_hit": F.coalesce("symbol_hit", F.lit(False)),
         "company_hit": F.coalesce("company_hit", F.lit(False)),
@@ -114,19 +114,24 @@ def base_impact(holdings: DataFrame, regs: DataFrame, include_measure_themes: bo
 
 def full_impact(holdings: DataFrame, regs: DataFrame, facts: DataFrame,
                 findings: DataFrame | None = None, include_measure_themes: bool = False,
-                region_aliases: dict[str, list[str]] | None = None) -> DataFrame:
+                region_aliases: dict[str, list[str]] | None = None,
+                coverage: DataFrame | None = None) -> DataFrame:
     """Blended scoring: direct, supply-chain and geographic risk, and findings if given.
 
-    The suppliers of each book feed four joins and are written once.
+    The suppliers of each book feed four joins and are written once.  ``coverage``:
+    regulations without a portfolio meet those that it names.
     """
     ready = FI.attach_facts(prepare_holdings(holdings), facts.select(
         "ticker", F.size("suppliers").alias("n_suppliers"), "geographic_exposure"))
     suppliers = stage(unnest(facts, "suppliers", "supplier", F.col("ticker").alias("symbol")).join(
         holdings.select("portfolio_id", "symbol"), "symbol"))
-    pairs = assessment_pairs(ready, regulation_features(regs, include_measure_themes, region_aliases))
-    scored = (_with_mentions(pairs, regs, holdings)
-              .join(M.supplier_counts(regs, suppliers), PAIR, "left")
-              .join(M.supplier_geo_pairs(regs, suppliers), PAIR, "left"))
+    features = regulation_features(regs, include_measure_themes, region_aliases)
+    if coverage is not None:
+        features = stage(features.join(coverage, "reg_id"))
+    pairs = assessment_pairs(ready, features)
+    scored = (_with_mentions(pairs, regs, holdings, coverage)
+              .join(M.supplier_counts(regs, suppliers, coverage), PAIR, "left")
+              .join(M.supplier_geo_pairs(regs, suppliers, coverage), PAIR, "left"))
     if findings is None:
         scored = scored.withColumn("finding_risk", F.lit(0.0))
     else:
@@ -183,14 +188,22 @@ def chosen_facts(filings: DataFrame) -> DataFrame:
 
 def assess(holdings: DataFrame, documents: DataFrame, filings: DataFrame,
            company_findings: DataFrame | None = None,
-           regulation_findings: DataFrame | None = None) -> Assessment:
+           regulation_findings: DataFrame | None = None, coverage: DataFrame | None = None) -> Assessment:
     """Extract, read filings, merge supplied findings and score.
 
     Extraction and facts are each read by several joins, so they are written as
-    tables first; an empty portfolio simply gives empty results.
+    tables first; an empty portfolio simply gives empty results.  With ``coverage``
+    documents have no portfolio and are extracted once each, however many portfolios they
+    concern; the regulations of the result then have a row per portfolio, without the text.
     """
+    if coverage is not None:
+        documents = documents.drop("portfolio_id")
+        coverage = stage(coverage.select("reg_id", "portfolio_id").dropna().distinct())
     regs = E.extract_documents(documents)
     if regulation_findings is not None:
         regs = E.merge_findings(regs, regulation_findings)
     held, regs, facts = stage(holdings), stage(regs), stage(chosen_facts(filings))
-    return Assessment(held, regs, facts, full_impact(held, regs, facts, company_findings))
+    scored = full_impact(held, regs, facts, company_findings, coverage=coverage)
+    if coverage is not None:
+        regs = regs.drop("text").join(coverage, "reg_id")
+    return Assessment(held, regs, facts, scored)

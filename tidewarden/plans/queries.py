@@ -393,7 +393,7 @@ def theme_hits(x):
     themes = unnest(I.targeted_by_regulation(extracted(x)), "targeted_themes", "risk_theme",
                     "reg_id", "portfolio_id")
     held = x["holdings"].select("portfolio_id", "symbol", L.company_theme(F.col("company")).alias("risk_theme"))
-    return held.join(themes, ["portfolio_id", "risk_theme"]).select("reg_id", "symbol", "risk_theme")
+    return M.theme_hits(stage(themes), stage(held)).select("reg_id", "symbol", "risk_theme")
 
 
 def book_suppliers(x):
@@ -416,7 +416,7 @@ def region_hits(x):
     regs = unnest(extracted(x), M.hit_regions(F.col("entities")), "region", "reg_id", "portfolio_id")
     held = x["holdings"].select("portfolio_id", "symbol").join(
         unnest_fields(facts(x), "geographic_exposure", "region", F.col("ticker").alias("symbol")), "symbol")
-    return held.join(regs, ["portfolio_id", "region"]).select("reg_id", "symbol", "region", "share")
+    return M.region_hits(stage(regs), stage(held)).select("reg_id", "symbol", "region", "share")
 
 
 @query
@@ -480,6 +480,21 @@ def model_risk(x):
     return _scores(x, "finding_risk")
 
 
+@query
+def coverage_risk(x):
+    """Regulations that concern several portfolios; each is read once."""
+    a = I.assess(portfolio(x), x["regulation_docs"], x["filings"], coverage=x["coverage"])
+    return rounded(a.scored.select("reg_id", "portfolio_id", "symbol", "risk_theme", "direct_risk", "supply_chain_risk",
+                                   "geographic_risk", "risk_score"),
+                   "direct_risk", "supply_chain_risk", "geographic_risk", "risk_score")
+
+
+@query
+def coverage_themes(x):
+    a = I.assess(portfolio(x), x["regulation_docs"], x["filings"], coverage=x["coverage"])
+    return rounded(PF.theme_concentration(a.scored).drop("est_loss"), "weight_exposure", "avg_risk", "max_risk")
+
+
 @query
 def blended_risk(x):
     return _scores(x, "risk_score")
