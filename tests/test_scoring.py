@@ -97,19 +97,68 @@ def test_correlation_of_constant_and_of_one_metric(spark):
     assert PF.correlations(df, wanted=["weight"]).count() == 0
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 1024])
-def test_quantiles_are_exact(spark, buckets):
+@pytest.mark.parametrize("few", [1, 150, 10_000])
+def test_quantiles_are_exact(spark, few):
     import numpy as np
     rng = np.random.default_rng(5)
     groups = {"a": rng.random(501), "b": np.repeat(0.3, 40), "c": np.array([2.0]),
               "d": np.concatenate([np.repeat(0.5, 300), rng.random(100) * 9])}
     df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
-    got = {r.k: r for r in ranges.quantiles(df, ["k"], "v", {"q25": 0.25, "q50": 0.5, "q90": 0.9}, buckets).collect()}
+    got = {r.k: r for r in ranges.quantiles(df, ["k"], "v", {"q25": 0.25, "q50": 0.5, "q90": 0.9}, few).collect()}
     for k, vs in groups.items():
         for name, p in (("q25", 0.25), ("q50", 0.5), ("q90", 0.9)):
             assert got[k][name] == pytest.approx(float(np.quantile(vs, p)), abs=1e-12)
 
 
+def test_an_outlier_leaves_no_range_with_most_values(spark):
+    df = spark.sql("SELECT 'a' AS k, IF(id = 7, 1e15D, sqrt(id) / 1000) AS v FROM range(200000)")
+    cut = df.join(ranges._splitters(df, ["k"], "v", 10_000), "k").withColumn("_b", ranges._range("v"))
+    sizes = [r["count"] for r in cut.groupBy("_b").count().collect()]
+    assert sum(sizes) == 200_000 and max(sizes) < 4 * 200_000 / (ranges.COARSE * ranges.FINE)
+    edges = cut.groupBy("_b").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_b").collect()
+    assert all(a.hi < b.lo for a, b in zip(edges, edges[1:]))
+    got = ranges.quantiles(df, ["k"], "v", {"q50": 0.5, "q99": 0.99}).first()
+    import numpy as np
+    vs = np.sqrt(np.arange(200_000.0)) / 1000
+    vs[7] = 1e15
+    assert (got.q50, got.q99) == pytest.approx((np.quantile(vs, 0.5), np.quantile(vs, 0.99)), rel=1e-12)
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_running_total_is_a_prefix_sum(spark, clustered):
+    """Also where nearly all rows share the order or the key."""
+    import random
+    rnd = random.Random(2)
+    rows = [(None if i % 31 == 0 else "k" if i % 5 else f"g{i % 3}", 7 if clustered else rnd.randrange(60), f"n{rnd.randrange(900)}", rnd.randrange(9))
+            for i in range(3000)] + [("k", 10 ** 12, "far", 3), ("k", None, None, 4)]
+    df = spark.createDataFrame(rows, "k string, o long, name string, v long").repartition(5)
+    got = ranges.running_total(df, ["k"], ["o", "name"], "v", "t")
+    assert got.columns == ["k", "o", "name", "v", "t"]
+    low = lambda x: (x is not None, x)
+    want = []
+    for key in {r[0] for r in rows}:
+        total = 0
+        for r in sorted((r for r in rows if r[0] == key), key=lambda r: (low(r[1]), low(r[2]), r[3])):
+            want.append((*r, total))
+            total += r[3]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_running_total_spreads_one_order_value(spark):
+    df = spark.sql("SELECT 'k' AS k, 1 AS o, id AS name, 1L AS v FROM range(40000)")
+    written = []
+    plain = ranges.stage
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be read as one
+    try:
+        ranges.stage = lambda d: written.append(plain(d)) or written[-1]
+        ranges.running_total(df, ["k"], ["o", "name"], "v", "t")
+    finally:
+        ranges.stage = plain
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in written[0].groupBy("_b").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 40_000 / 2
+
+
 def test_quantiles_leave_out_nan_and_null(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", None), ("a", 3.0)], "k string, v double")
     assert ranges.quantiles(df, ["k"], "v", {"q50": 0.5}).collect()[0].q50 == 2.0

@@ -107,16 +107,15 @@ def measure_frequency(extracted: DataFrame, n: int = 10) -> DataFrame:
             .orderBy(F.col("occurrences").desc(), "measure").limit(n))
 
 
-def corpus_offsets(docs: DataFrame, group: str, order: str, buckets: int = 64) -> DataFrame:
-    """Position of every document inside the blank-joined text of its group.
+def corpus_offsets(docs: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Position of every document inside the blank-joined text of its group; all columns but the text.
 
-    The combined text is described, not built: a group may hold any number of
-    documents.  Lengths are summed per hashed-range bucket of the order key
-    first, so a large group is spread over ``buckets`` windows.
+    The combined text is described, not built, and no text is moved: a group may hold any
+    number of documents.  ``order`` should name each document of a group; those alike in
+    it go by their lengths.  A null text counts as an empty one.
     """
-    sized = docs.withColumn("n_chars", F.length("text").cast("bigint"))
-    placed = running_total(sized.withColumn("_span", F.col("n_chars") + 1), [group], order,
-                           "_span", "start_pos", buckets)
+    sized = docs.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("bigint")).drop("text")
+    placed = running_total(sized.withColumn("_span", F.col("n_chars") + 1), [group], order, "_span", "start_pos")
     return placed.drop("_span")
 
 

@@ -118,7 +118,7 @@ def reg_docs_load(x):
 @query
 def reg_concat(x):
     return E.corpus_offsets(x["regulation_docs"].select("portfolio_id", "reg_id", "ord", "text"),
-                            "portfolio_id", "ord").select("portfolio_id", "reg_id", "n_chars", "start_pos")
+                            "portfolio_id", ["ord", "reg_id"]).select("portfolio_id", "reg_id", "n_chars", "start_pos")
 
 
 @query
