@@ -81,6 +81,8 @@ def test_finding_defaults(spark):
 def test_report_themes(spark):
     df = spark.createDataFrame([(["a", " ", "b ", "c", "d"], "x"), ([], "Tariffs and TAX"), (None, "x")], "g array<string>, t string")
     assert [r.r for r in df.select(RP.report_themes(F.col("g"), F.col("t")).alias("r")).collect()] == [
+        ["a", "b", "c", "d"], ["tax", "tariffs"], ["regulatory risk"]]
+    assert [r.r for r in df.select(RP.report_themes(F.col("g"), F.col("t"), 3).alias("r")).collect()] == [
         ["a", "b", "c"], ["tax", "tariffs"], ["regulatory risk"]]
 
 
@@ -151,3 +153,27 @@ def test_extraction_runs_on_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = {r.reg_id: (r.dates, r.type_reg) for r in spark.read.parquet(out).collect()}
     assert got == {"R": (["2030"], "Taxation / Economic"), "S": ([], "AI Promotion / Regulation")}
+
+
+def test_filings_are_chosen_by_path_and_only_those_are_read(spark, tmp_path):
+    for ticker, name, body in (("A B", "x [1]*.txt", "odd"), ("A B", "z_10-K.txt", "annual"), ("C+D", "q{2}?.txt", "odd too"),
+                               ("E%20F", "only.txt", "percent"), ("G", "10k.txt", "marked"), ("G", "a.txt", "not read")):
+        folder = tmp_path / ticker
+        folder.mkdir(exist_ok=True)
+        (folder / name).write_text(body)
+    df = SD.read_filings(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [("A B", "z_10-K.txt", "annual"), ("C+D", "q{2}?.txt", "odd too"),
+                                                ("E%20F", "only.txt", "percent"), ("G", "10k.txt", "marked")]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and len(df.inputFiles()) == 4
+
+
+def test_filings_of_another_layout(spark, tmp_path):
+    rows = [("T1", "a_10-k_.txt", "first"), ("T1", "b.txt", "second"), ("T2", "quarter.txt", "third")]
+    path = str(tmp_path / "tree")
+    spark.createDataFrame(rows, "ticker string, name string, text string").write.partitionBy("ticker", "name").text(path)
+    part = lambda key: F.url_decode(F.regexp_extract("path", f"{key}=([^/]+)/", 1))
+    got = SD.read_filings(spark, path, part("ticker"), part("name"))
+    assert sorted((r.ticker, r.name, r.text.strip()) for r in got.collect()) == [("T1", "a_10-k_.txt", "first"), ("T2", "quarter.txt", "third")]
+    (tmp_path / "none").mkdir()
+    assert SD.read_filings(spark, str(tmp_path / "none")).count() == 0

@@ -524,6 +524,7 @@ FROM (SELECT *, coalesce(sum(n + 1) OVER (PARTITION BY doc ORDER BY i ROWS BETWE
     "supplier_geo_pairs": "SELECT reg_id, symbol, n AS geo_pairs FROM @geo_pairs@",
     "region_hits": "SELECT reg_id, symbol, region, share FROM @region_pairs@",
     "safe_themes": "SELECT reg_id, risk_theme, target_sectors FROM @base_safe@",
+    "safe_themes_blended": "SELECT reg_id, risk_theme, target_sectors FROM @safe@",
     "model_findings_join": f"""SELECT r.reg_id, h.symbol, coalesce(f.d, 0) AS impact_direct, coalesce(f.s, 0) AS impact_suppliers, coalesce(f.g, 0) AS impact_geographic,
   coalesce(f.action, 'HOLD') AS action, coalesce(f.reason, {lit(C.FINDING_UNAVAILABLE)}) AS reason FROM @regulation_docs@ r
   JOIN @holdings@ h ON h.portfolio_id = r.portfolio_id LEFT JOIN @finding_scores@ f ON f.reg_id = r.reg_id AND f.symbol = h.symbol""",
@@ -595,6 +596,8 @@ USING (reg_id, symbol) GROUP BY ALL""",
     "reco_hedge": "SELECT * REPLACE (round(strike_pct, 6) AS strike_pct, round(cost_pct, 6) AS cost_pct) FROM @hedge@",
     "reco_rotation": """SELECT * REPLACE (round(sector_risk, 6) AS sector_risk, round(sector_weight, 6) AS sector_weight,
   round(trim_weight, 6) AS trim_weight) FROM @base_rotation@""",
+    "reco_rotation_blended": """SELECT * REPLACE (round(sector_risk, 6) AS sector_risk, round(sector_weight, 6) AS sector_weight,
+  round(trim_weight, 6) AS trim_weight) FROM @rotation@""",
     "reco_monitor": "SELECT * FROM @monitor@",
     "reco_override": """SELECT reg_id, action, position, ticker, NULL AS tickers, reason, timeline, NULL AS estimated_impact, urgency FROM @rules@
   WHERE reg_id NOT IN (SELECT reg_id FROM @supplied@)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import config as C
 from ..functions import lexicon as L, numbers as N, overrides as O, replies as R, scoring as S
 from ..operators import extract as E, filings as FI, mentions as M
-from ..operators.joins import HEAVY, split_join
+from ..operators.joins import HEAVY, SMALL, split_join
 from ..operators.rows import unnest
 from ..sources.documents import pick_filings
 from ..sources.stage import stage
@@ -181,8 +181,12 @@ class Assessment:
 
 
 def chosen_facts(filings: DataFrame) -> DataFrame:
-    """Facts of the one chosen filing per ticker (columns ticker, name, text)."""
-    best = pick_filings(filings.select("ticker", "name"))
+    """Facts of the one chosen filing per ticker (columns ticker, name, text).
+
+    Up to SMALL chosen names are broadcast, so that no text is shuffled to meet them.
+    """
+    best = stage(pick_filings(filings.select("ticker", "name")))
+    best = F.broadcast(best) if best.count() <= SMALL else best
     return FI.filing_facts(filings.join(best, ["ticker", "name"], "left_semi"), ["ticker"])
 
 

@@ -106,10 +106,7 @@ def reg_docs_load(x):
     # One folder per document, so that the written part files carry its name.
     path = scratch(x.spark)
     x["regulation_docs"].select("name", "text").write.partitionBy("name").text(path)
-    files = (x.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
-    name = F.regexp_extract("path", "name=([^/]+)/", 1)
-    docs = files.select(name.alias("name"), SD.extension(name).alias("ext"),
-                        SD.utf8_ignore(F.col("content")).alias("text"))
+    docs = SD.read_regulations(x.spark, path, F.regexp_extract("path", "name=([^/]+)/", 1))
     pasted = x["model_replies"].select(F.col("reply").alias("text"))
     return (SD.add_pasted(docs, pasted)
             .select("name", "ext", T.normalize_space(F.col("text")).alias("text")))
@@ -500,6 +497,12 @@ def blended_risk(x):
     return _scores(x, "risk_score")
 
 
+@query
+def safe_themes_blended(x):
+    return RC.safe_themes(PF.theme_concentration(full(x))).select(
+        "reg_id", "risk_theme", joined("target_sectors").alias("target_sectors"))
+
+
 @query
 def loss_estimate(x):
     return billions(rounded(full(x).select("reg_id", "symbol", "loss_pct", "loss"), "loss_pct"), "loss")
@@ -640,6 +643,12 @@ def reco_rotation(x):
     return rounded(rows, "sector_risk", "sector_weight", "trim_weight")
 
 
+@query
+def reco_rotation_blended(x):
+    rows = RC.rotation_rows(full(x)).drop("recommendation").withColumn("target_sectors", joined("target_sectors"))
+    return rounded(rows, "sector_risk", "sector_weight", "trim_weight")
+
+
 @query
 def reco_monitor(x):
     return RC.monitor_rows(full(x))

@@ -1,5 +1,8 @@
 """Readers for regulation documents and filing trees."""
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import config as C
@@ -19,10 +22,13 @@ def extension(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
 
-def read_regulations(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: name, extension, text (invalid bytes ignored)."""
+def read_regulations(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """One row per file: name, extension, text (invalid bytes ignored).
+
+    ``name``: of a file, from its column ``path``; by default the last part of it.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    name = _file_name(F.col("path"))
+    name = _file_name(F.col("path")) if name is None else name
     return files.select(name.alias("name"), extension(name).alias("ext"),
                         utf8_ignore(F.col("content")).alias("text"))
 
@@ -34,30 +40,39 @@ def add_pasted(regulations: DataFrame, pasted: DataFrame) -> DataFrame:
     return regulations.select("name", "ext", "text").unionByName(rows)
 
 
-def pick_filings(files: DataFrame) -> DataFrame:
+def pick_filings(files: DataFrame, *more: str) -> DataFrame:
     """One file per ticker: a name that looks like an annual report first, then
     the first name in order.
 
-    Input columns: ticker, name.  Only names are aggregated, with a partial
+    Input columns: ticker, name and ``more``, which come along.  Only names are aggregated, with a partial
     minimum per task, so no file content moves and a ticker with many files
     stays small.
     """
     mark = F.lower("name")
     other = ~(mark.contains(C.FILING_NAME_MARKS[0]) | mark.contains(C.FILING_NAME_MARKS[1]))
-    return (files.groupBy("ticker").agg(F.min(F.struct(other.alias("other"), "name")).alias("best"))
-            .select("ticker", F.col("best.name").alias("name")))
+    return (files.groupBy("ticker").agg(F.min(F.struct(other.alias("other"), "name", *more)).alias("best"))
+            .select("ticker", *[F.col(f"best.{c}").alias(c) for c in ("name", *more)]))
+
+
+def _literal(path: str) -> str:
+    """A listed path as one to read: decoded, and without pattern characters."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(path))
 
 
-def read_filings(spark: SparkSession, root: str) -> DataFrame:
-    """The chosen filing of each ``<root>/<TICKER>/`` directory: ticker, name, text.
+def read_filings(spark: SparkSession, root: str, ticker: Column | None = None, name: Column | None = None) -> DataFrame:
+    """The chosen filing of each ticker below ``root``: ticker, name, text.
 
-    The listing pass prunes the content column, so files are opened only in the
-    second pass, and rows that lose the pick are dropped before decoding.
+    ``ticker`` and ``name``: of a file, from its column ``path``; by default files lie in
+    ``<root>/<TICKER>/<file>``.  Files are chosen by their paths alone, without being
+    opened; then only the chosen ones are read, so no content meets a join or a shuffle.
+    The driver holds one path per ticker, as it does for any list of files that it reads.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-             .withColumns({
-                 "ticker": F.url_decode(F.element_at(F.split("path", "/"), -2)),
-                 "name": _file_name(F.col("path"))}))
-    chosen = pick_filings(files.select("ticker", "name"))
-    return (files.join(chosen, ["ticker", "name"], "left_semi")
-            .select("ticker", "name", utf8_ignore(F.col("content")).alias("text")))
+    named = {"ticker": F.url_decode(F.element_at(F.split("path", "/"), -2)) if ticker is None else ticker,
+             "name": _file_name(F.col("path")) if name is None else name}
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+              .select("path").withColumns(named))
+    chosen = pick_filings(listed, "path")
+    paths = [_literal(r.path) for r in chosen.select("path").toLocalIterator()]
+    empty = spark.createDataFrame([], "path string, content binary")
+    files = spark.read.format("binaryFile").load(paths) if paths else empty
+    return files.withColumns(named).select("ticker", "name", utf8_ignore(F.col("content")).alias("text"))
