@@ -1,7 +1,6 @@
 """Readers for regulation documents and filing trees."""
 
 import re
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,7 +13,7 @@ def utf8_ignore(content: Column) -> Column:
 
 
 def _file_name(path: Column) -> Column:
-    return F.url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
+    return F.substring_index(path, "/", -1)
 
 
 def extension(name: Column) -> Column:
@@ -55,8 +54,8 @@ def pick_filings(files: DataFrame, *more: str) -> DataFrame:
 
 
 def _literal(path: str) -> str:
-    """A listed path as one to read: decoded, and without pattern characters."""
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(path))
+    """A listed path as one to read, without pattern characters."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def read_filings(spark: SparkSession, root: str, ticker: Column | None = None, name: Column | None = None) -> DataFrame:
@@ -67,7 +66,7 @@ def read_filings(spark: SparkSession, root: str, ticker: Column | None = None, n
     opened; then only the chosen ones are read, so no content meets a join or a shuffle.
     The driver holds one path per ticker, as it does for any list of files that it reads.
     """
-    named = {"ticker": F.url_decode(F.element_at(F.split("path", "/"), -2)) if ticker is None else ticker,
+    named = {"ticker": F.element_at(F.split("path", "/"), -2) if ticker is None else ticker,
              "name": _file_name(F.col("path")) if name is None else name}
     listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
               .select("path").withColumns(named))
