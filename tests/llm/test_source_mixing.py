@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from collections import defaultdict
@@ -67,8 +68,33 @@ def test_order_of_blocks_differs_by_pass(spark, docs):
 
 
 def test_bisected():
-    assert op.bisected(lambda k: k >= 7, 0, 20) == 7 and op.bisected(lambda k: False, 0, 9) == 9
-    assert op.bisected(lambda k: True, 0, 9) == 0
+    for at_once in (1, 2, 3, 64):
+        find = lambda holds, low, high: op.bisected(lambda ks: [holds(k) for k in ks], low, high, at_once)  # noqa: E731, B023
+        assert find(lambda k: k >= 7, 0, 20) == 7 and find(lambda k: False, 0, 9) == 9
+        assert find(lambda k: True, 0, 9) == 0 and all(find(lambda k: k >= t, 0, 300) == t for t in (0, 1, 63, 64, 255, 299, 300))  # noqa: B023
+
+
+@pytest.mark.parametrize("budget,small", [(200, 0), (9_000, op.SMALL), (39_999, op.SMALL)])
+def test_budget_of_a_dominant_source_ends_at_one_document(spark, monkeypatch, budget, small):
+    """Nearly all rows in one source: its documents by pass, block and hash, cut where the budget ends."""
+    monkeypatch.setattr(op, "SMALL", small)
+    rnd = random.Random(budget)
+    rows = [(i, "big" if i % 50 else "small", "w " * rnd.randint(1, 9)) for i in range(4_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plan = op.plan(docs, budget, None, None).filter("mix_source = 'big'").collect()
+    cut = [r for r in plan if r.mix_cut is not None]
+    assert len(cut) <= 1
+    size, block = {i: len(t.split()) for i, s, t in rows if s == "big"}, {}
+    for i in size:
+        h = hashlib.md5(f"{op.SEED}:{i}".encode()).hexdigest()
+        block.setdefault(h[:2], []).append((h, size[i]))
+    quota = math.floor(plan[0].mix_weight * budget + 0.5)
+    dealt = sum(n for r in plan for h, n in block[r.mix_block] if r.mix_cut is None or h <= r.mix_cut)
+    assert quota - 9 < dealt <= quota
+    for r in cut:
+        after = min((h, n) for h, n in block[r.mix_block] if h > r.mix_cut)
+        assert dealt + after[1] > quota
+
 
 
 def test_sql_says_the_same(spark):

@@ -24,6 +24,10 @@ GRID = 1 << 14
 SEED = "mix-1"
 #: A block is named by so many hex digits of a document's hash: 256 blocks a source.
 _DIGITS = 2
+#: Further digits of the blocks that the block where a budget ends is cut into.
+_FINER = 3
+#: Sources up to which the blocks where their budgets end are broadcast.
+SMALL = 1 << 20
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -33,32 +37,38 @@ def _tokens(text: Column) -> Column:
     return F.when(body == "", 0).otherwise(F.size(F.split(body, "[ \t-\r]+"))).cast("long")
 
 
-def _dealt(docs: DataFrame, seed: str) -> DataFrame:
-    """``docs`` with mix_source, mix_tokens, mix_hash (of seed and id) and mix_block."""
+def _hashed(docs: DataFrame, seed: str) -> DataFrame:
+    """``docs`` with mix_source, mix_hash (of seed and id) and mix_block."""
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
-    return (docs.withColumns({"mix_source": F.coalesce("source", F.lit("")), "mix_tokens": _tokens(F.col("text")),
-                              "mix_hash": key})
+    return (docs.withColumns({"mix_source": F.coalesce("source", F.lit("")), "mix_hash": key})
             .withColumn("mix_block", F.substring("mix_hash", 1, _DIGITS)))
 
 
-def _trial(shares: DataFrame, exponent: float, repeats: float) -> tuple[float, float]:
-    """Entropy of the mix, and the most passes over a source, at one exponent."""
-    row = shares.agg(F.sum(F.pow("p", F.lit(exponent))).alias("z"),
-                     F.sum(F.pow("p", F.lit(exponent)) * F.ln("p")).alias("s"),
-                     F.max(F.pow("p", F.lit(exponent - 1))).alias("top")).first()
-    if not row.z:
-        return 0.0, 0.0
-    return math.log(row.z) - exponent * row.s / row.z, repeats * row.top / row.z
+def _dealt(docs: DataFrame, seed: str) -> DataFrame:
+    """``docs`` with mix_source, mix_tokens, mix_hash (of seed and id) and mix_block."""
+    return _hashed(docs, seed).withColumn("mix_tokens", _tokens(F.col("text")))
+
 
+def _trials(shares: DataFrame, exponents: list[float], repeats: float) -> list[tuple[float, float]]:
+    """Entropy of the mix, and the most passes over a source, at each exponent; one pass over the shares for all."""
+    e = F.col("e")
+    each = shares.select("p", F.explode(F.array(*map(F.lit, exponents))).alias("e"))
+    rows = each.groupBy("e").agg(F.sum(F.pow("p", e)).alias("z"), F.sum(F.pow("p", e) * F.ln("p")).alias("s"),
+                                 F.max(F.pow("p", e - 1)).alias("top")).collect()
+    found = {r.e: (math.log(r.z) - r.e * r.s / r.z, repeats * r.top / r.z) for r in rows if r.z}
+    return [found.get(x, (0.0, 0.0)) for x in exponents]
 
-def bisected(holds, low: int = 0, high: int = GRID) -> int:
-    """Smallest whole number from ``low`` to ``high`` from which ``holds`` is true; ``high`` if none below is."""
+
+def bisected(holds, low: int = 0, high: int = GRID, at_once: int = 64) -> int:
+    """Smallest whole number from ``low`` to ``high`` from which on it holds; ``high`` if none below is.
+
+    ``holds``: of a list of numbers, at each; a bisection that looks at many points at once.
+    """
     while low < high:
-        middle = (low + high) // 2
-        if holds(middle):
-            high = middle
-        else:
-            low = middle + 1
+        step = -(-(high - low) // at_once)
+        points = list(range(low, high, step))
+        first = next((k for k, yes in enumerate(holds(points)) if yes), len(points))
+        low, high = (points[first - 1] + 1 if first else low), (points[first] if first < len(points) else high)
     return high
 
 
@@ -69,13 +79,16 @@ def exponent_for(shares: DataFrame, repeats: float, max_epochs: float | None, en
     one.  ``repeats``: budget over tokens there are; above 1 even the shares as they
     are repeat, and the limit can't ask for less than that.
     """
+    def at(ks: list[int]) -> list[tuple[float, float]]:
+        return _trials(shares, [k / GRID for k in ks], repeats)
+
     most = 0.0
     if entropy_share is not None:
         goal = entropy_share * math.log(max(1, shares.count()))
-        most = (bisected(lambda k: _trial(shares, k / GRID, repeats)[0] < goal, 0, GRID + 1) - 1) / GRID
+        most = (bisected(lambda ks: [x < goal for x, _ in at(ks)], 0, GRID + 1) - 1) / GRID
     least = 0.0
     if max_epochs is not None:
-        least = bisected(lambda k: _trial(shares, k / GRID, repeats)[1] <= max_epochs) / GRID
+        least = bisected(lambda ks: [x <= max_epochs for _, x in at(ks)]) / GRID
     return max(most, least, 0.0)
 
 
@@ -109,12 +122,26 @@ def plan(docs: DataFrame, budget: int | None = None, max_epochs: float | None =
                          (F.col("epoch") < F.col("passes")).alias("whole"), "rest", "upto", "tokens")
     done = turns.filter("whole OR upto <= rest").withColumn("cut", F.lit(None).cast("string"))
     edge = turns.filter("NOT whole AND upto > rest AND upto - tokens <= rest").withColumn("room", F.expr("rest - upto + tokens"))
-    # The one block of a source where the budget ends: its documents in the order of their hashes.
-    inside = Window.partitionBy("mix_source", "mix_block").orderBy("mix_hash").rangeBetween(Window.unboundedPreceding, 0)
-    cuts = (_dealt(docs.select("doc_id", "source", "text"), seed).select("mix_source", "mix_block", "mix_hash", "mix_tokens")
-            .join(edge.select("mix_source", "mix_block", "room"), ["mix_source", "mix_block"])
-            .withColumn("upto", F.sum("mix_tokens").over(inside)).filter("upto <= room")
-            .groupBy("mix_source", "mix_block").agg(F.max("mix_hash").alias("cut")))
+    # The one block of a source where the budget ends: by finer blocks, then by document in the one where it ends.
+    edge = stage(edge)
+    texts = docs.select("doc_id", "source", "text")
+    # One row a source: where that is few, words are counted only in these blocks; else before rows move, so no text does.
+    if edge.count() <= SMALL:
+        inner = _hashed(texts, seed).join(F.broadcast(edge.select("mix_source", "mix_block", "room")), ["mix_source", "mix_block"])
+        inner = inner.withColumn("mix_tokens", _tokens(F.col("text")))
+    else:
+        inner = _dealt(texts, seed).drop("text").join(edge.select("mix_source", "mix_block", "room"), ["mix_source", "mix_block"])
+    inner = stage(inner.select("mix_source", "mix_block", "room", "mix_hash", "mix_tokens",
+                               F.substring("mix_hash", 1, _DIGITS + _FINER).alias("sub")))
+    key = ["mix_source", "mix_block"]
+    finer = (inner.groupBy(*key, "room", "sub").agg(F.sum("mix_tokens").alias("tokens"), F.max("mix_hash").alias("cut"))
+             .withColumn("upto", F.sum("tokens").over(Window.partitionBy(*key).orderBy("sub"))))
+    ends = (finer.filter("upto > room AND upto - tokens <= room")
+            .select(*key, "sub", (F.col("room") - F.col("upto") + F.col("tokens")).alias("left")))
+    inside = Window.partitionBy(*key, "sub").orderBy("mix_hash").rangeBetween(Window.unboundedPreceding, 0)
+    dealt = (inner.drop("room").join(ends, [*key, "sub"]).withColumn("upto", F.sum("mix_tokens").over(inside)).filter("upto <= left")
+             .select(*key, F.col("mix_hash").alias("cut")))
+    cuts = finer.filter("upto <= room").select(*key, "cut").unionByName(dealt).groupBy(*key).agg(F.max("cut").alias("cut"))
     last = edge.join(cuts, ["mix_source", "mix_block"])
     keep = ["mix_source", "mix_block", *[F.col(c).alias(f"mix_{c}") for c in ("epoch", "weight", "turn", "cut")]]
     return done.select(*keep).unionByName(last.select(*keep))
