@@ -94,3 +94,24 @@ def test_query_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
     tested = [r for r in out if r.held_out]
     assert sum(r.lang_pred == r.lang for r in tested) >= 0.97 * len(tested)
+
+
+def test_portions_follow_characters():
+    texts = ["x" * n for n in (5, 5, 100, 3, 0, 0, 8, 1)]
+    got = list(op.portions(texts, 3, 10))
+    assert got == [(0, 2), (2, 3), (3, 6), (6, 8)]
+    assert list(op.portions([], 3, 10)) == [] and list(op.portions(["a" * 99], 3, 10)) == [(0, 1)]
+
+
+def test_long_texts_in_portions_are_labelled_like_alone(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = op.train(docs)
+    whole = sorted(map(repr, op.predicted(docs, model).collect()))
+    monkeypatch.setattr(op.portions, "__defaults__", (7, 3000))
+    assert sorted(map(repr, op.predicted(docs, model).collect())) == whole
+
+
+def test_too_many_languages_are_an_error(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}", f"l{i}") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        op.train(docs, most_languages=3)

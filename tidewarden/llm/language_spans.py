@@ -20,6 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 #: Whole texts that are learned from, per language: those with the smallest hashes.
 SAMPLE = 2000
+#: Texts scored together: rows, and characters (some 100 bytes each in a task); a longer text goes alone.
+ROWS, CHARACTERS = 500, 2 << 20
+#: Different languages that a model may have.
+LANGUAGES = 400
 #: Loss of a switch of language between two words, in natural logarithms of odds.
 SWITCH = 8.0
 #: Rows of the model: n-grams are hashed to so many.
@@ -183,14 +187,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+def portions(texts: list[str], rows: int = ROWS, characters: int = CHARACTERS) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts with at most so many rows and, unless it is one text, characters."""
+    start, size = 0, 0
+    for k, text in enumerate(texts):
+        if k > start and (k - start >= rows or size + len(text) > characters):
+            yield start, k
+            start, size = k, 0
+        size += len(text)
+    if texts:
+        yield start, len(texts)
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, most_languages: int = LANGUAGES) -> Model | None:
     """A model of the languages in ``lang``, from ``sample`` whole texts of each; None without any.
 
+    More than ``most_languages`` different values are an error: the ids chosen, the counts
+    and the model, which every task holds, are proportional to their number.
+
     Rows held out, and rows with a null text, language or id, are not learned from.  Only
     ids are ranked, with their hashes; texts are then read for the few that were chosen.
     """
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
                          & ~held_out(F.col("doc_id")))
+    if usable.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages: name them alike, or raise most_languages")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (usable.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order))
               .filter(F.col("place") <= sample).select("doc_id", "lang"))
@@ -199,8 +220,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for lang, group in frame.groupby("lang"):
-                for at in range(0, len(group), 200):
-                    w = words_of(group["text"].iloc[at:at + 200].tolist())
+                listed = group["text"].tolist()
+                for start, end in portions(listed):
+                    w = words_of(listed[start:end])
                     grams = np.bincount(w.buckets.ravel(), minlength=BUCKETS)
                     scripts = np.bincount(w.script, weights=w.end - w.start, minlength=len(_NAMES)).astype(np.int64)
                     for kind, counts in (("gram", grams), ("script", scripts)):
@@ -234,9 +256,9 @@ def predicted(docs: DataFrame, model: Model | None, switch: float = SWITCH, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+            listed = [t or "" for t in batch.column(1).to_pylist()]
+            for start, end in portions(listed):
+                part, texts = batch.slice(start, end - start), listed[start:end]
                 found = spans_of(texts, model, switch) if model else [[] for _ in texts]
                 names, scores = [], []
                 for spans in found:
