@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 from .. import config as C
+from .html import visible_text
 
 
 def extract_all(c: Column, pattern: str, group: int = 0) -> Column:
@@ -31,52 +32,9 @@ def normalize_space(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-# Named references that occur in ordinary pages; the ampersand
-# itself is resolved last so that "&amp;lt;" stays "&lt;".
-NAMED_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ",
-    "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•",
-    "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&lsquo;": "‘", "&rsquo;": "’",
-    "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&sect;": "§",
-    "&para;": "¶", "&deg;": "°", "&plusmn;": "±", "&times;": "×", "&euro;": "€",
-    "&pound;": "£", "&yen;": "¥", "&cent;": "¢", "&eacute;": "é", "&egrave;": "è",
-    "&agrave;": "à", "&ccedil;": "ç", "&ecirc;": "ê", "&ocirc;": "ô", "&uuml;": "ü",
-    "&ouml;": "ö", "&auml;": "ä", "&szlig;": "ß", "&amp;": "&",
-}
-
-
-def _code_point(n: Column) -> Column:
-    valid = n.between(32, 0xD7FF) | n.between(0xE000, 0x10FFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit(" "))
-
-
-def unescape(c: Column) -> Column:
-    """Resolve numeric character references and the common named ones."""
-    decimal = F.reduce(
-        F.array_distinct(extract_all(c, r"&#(\d{1,7});", 1)), c,
-        lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")),
-                                 _code_point(n.cast("bigint"))))
-    out = F.reduce(
-        F.array_distinct(extract_all(c, r"&#[xX]([0-9a-fA-F]{1,6});", 1)), decimal,
-        lambda acc, n: F.replace(
-            F.replace(acc, F.concat(F.lit("&#x"), n, F.lit(";")),
-                      _code_point(F.conv(n, 16, 10).cast("bigint"))),
-            F.concat(F.lit("&#X"), n, F.lit(";")), _code_point(F.conv(n, 16, 10).cast("bigint"))))
-    for name, value in NAMED_ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(value))
-    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
-
-
 def html_text(c: Column) -> Column:
-    """Visible text of a page.
-
-    Comments and the subtrees of script, style, noscript, header and footer go
-    first (one leftmost pass, so a comment inside a script cannot open early),
-    then the tags, then character references.
-    """
-    hidden = "|".join(C.HIDDEN_TAGS)
-    body = F.regexp_replace(c, rf"(?is)<!--.*?-->|<({hidden})\b.*?</\1\s*>", " ")
-    return normalize_space(unescape(F.regexp_replace(body, r"<[a-zA-Z/!?][^>]*>", " ")))
+    """Visible text of a page (see ``functions.html``)."""
+    return normalize_space(visible_text(c))
 
 
 def html_strip_simple(c: Column) -> Column:
