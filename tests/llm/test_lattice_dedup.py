@@ -102,3 +102,46 @@ def test_query_recall_and_precision(spark):
     want = slow(rows)
     assert sum(g[0] for g in got.values()) >= 0.95 * sum(w[0] for w in want.values())
     assert all(got[i][0] <= want[i][0] for i in want)
+
+
+def by_blocks(x, least=0.95):
+    """Links of each row by all pairs."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.concatenate([(x[k:k + 1000] @ x.T >= least).sum(axis=1) - 1 for k in range(0, len(x), 1000)])
+
+
+@pytest.mark.parametrize("crowd", [8, 64])
+def test_crowds_at_every_distance(spark, crowd):
+    rnd = np.random.default_rng(crowd)
+    centre, other = rnd.normal(size=64), rnd.normal(size=64)
+    beside = near(rnd, centre, 0.975)
+    rows = [near(rnd, c, cos) for c in (centre, beside, other) for cos in (0.9995, 0.995, 0.98, 0.96) for _ in range(150)]
+    rows += list(rnd.normal(size=(200, 64)))
+    rows += rows[:40]
+    x = np.asarray(rows)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in op.vector_links(df, crowd=crowd).collect()}
+    plain = {r.vec_id: r for r in op.vector_links(df, crowd=10 ** 6).collect()}
+    want, full = by_blocks(x), slow([(k, v.tolist()) for k, v in enumerate(x)])
+    assert len(got) == len(x)
+    assert all(plain[k].n_links <= got[k].n_links <= want[k] for k in got)
+    assert sum(r.n_links for r in got.values()) >= 0.95 * want.sum()
+    assert sum(got[k].component_id == full[k][1] for k in got) >= 0.95 * len(x)
+
+
+def test_a_cell_of_many_thousands_needs_no_pairs(spark, monkeypatch):
+    rnd = np.random.default_rng(9)
+    centre = rnd.normal(size=64)
+    x = np.asarray([near(rnd, centre, 0.999) for _ in range(20_000)] + list(rnd.normal(size=(500, 64))), np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows, plain = [], op._ball_links
+
+    def counted(*args):
+        out = plain(*args)
+        rows.append(out[2].count())
+        return out
+    monkeypatch.setattr(op, "_ball_links", counted)
+    got = op.vector_links(df).collect()
+    assert rows and rows[0] <= len(x)
+    assert {(r.n_links, r.component_id) for r in got if r.vec_id < 20_000} == {(19_999, 0)}
+    assert all(r.n_links == 0 for r in got if r.vec_id >= 20_000)

@@ -6,13 +6,20 @@ points name the vector's home cell.  A vector also probes the neighbouring cells
 lie next nearest to it.  Two vectors are compared where one is at home and the other
 is at home or probes; the cosine is then computed in double precision.
 
-Equal vectors are one entry of the index.  A crowded cell is cut into blocks, and
+Equal vectors are one entry of the index.  The vectors of a crowded home cell that lie
+within half the greatest angle of a link around their mean are a ball: all of them link,
+so they are counted without being paired.  A ball meets the cells of its members as one
+entry.  Its angle to another ball or vector tells whether all pairs link or none does;
+only where that is open their members are compared.
+
+What no ball holds is compared cell by cell; a cell of many is cut into blocks, and
 tasks compare a block with a block: they return link counts and a spanning forest of
 the links, never the links themselves.  A pair that meets in many cells is counted in
 the first of them only.
 """
 
 import itertools
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +34,10 @@ from tidewarden.sources.stage import stage
 TABLES, BLOCKS, SCALE, PROBES = 6, 2, 0.7, 12
 #: Vectors of one cell that a task compares with each other at once.
 BLOCK = 256
+#: More vectors than this at home in one cell make a ball, where they lie close enough.
+CROWD = 64
+#: Angles (radians) this close to a bound are settled by cosines.
+_MARGIN = 1e-6
 _NEAREST, _STEP = 7, 200_000
 
 
@@ -166,7 +177,8 @@ def _compare(lattice: Lattice, least: float):
         hit = np.einsum("ij,ij->i", unit[i], unit[j]) >= least
         i, j = i[hit], j[hit]
         if len(i):
-            first = _first_meeting(cells[i], cells[j], t[i], cell[i])
+            # Rows of a ball (table -1) meet there only.
+            first = (t[i] < 0) | _first_meeting(cells[i], cells[j], t[i], cell[i])
             i, j = i[first], j[first]
         if not len(i):
             return None
@@ -228,8 +240,118 @@ class _Lookup:
         return self.cells[self.back[rows]]
 
 
+def _with_angle(pairs: DataFrame, a: str, b: str, *keep: str) -> DataFrame:
+    """``keep`` and the angle between the vectors ``a`` and ``b`` of each row; rows of unequal lengths go."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.asarray(batch.column(0).value_lengths())
+            for dims in np.unique(lengths):
+                part = batch.filter(pa.array(lengths == dims))
+                apart = np.linalg.norm(_vectors(part.column(0)) - _vectors(part.column(1)), axis=1)
+                angle = 2 * np.arcsin(np.minimum(apart / 2, 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(angle)], names=[*keep, "angle"])
+
+    same = pairs.filter(F.size(a) == F.size(b)).select(a, b, *keep)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in same.schema.fields[2:])
+    return same.mapInArrow(run, f"{schema}, angle double")
+
+
+def _means(rows: DataFrame) -> DataFrame:
+    """(cell, dims, centre): sums of the unit vectors of each cell, added up by batches first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.asarray(batch.column(1).value_lengths())
+            for dims in np.unique(lengths):
+                part = batch.filter(pa.array(lengths == dims))
+                names, at = np.unique(part.column(0).to_numpy(), return_inverse=True)
+                sums = np.zeros((len(names), dims))
+                np.add.at(sums, at, _vectors(part.column(1)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names), pa.array(np.full(len(names), dims, np.int32)), pa.array(list(sums))],
+                    names=["cell", "dims", "part"])
+
+    parts = rows.select("cell", "vector").mapInArrow(run, "cell long, dims int, part array<double>")
+    return (parts.select("cell", "dims", F.posexplode("part").alias("at", "x"))
+            .groupBy("cell", "dims", "at").agg(F.sum("x").alias("x"))
+            .groupBy("cell", "dims").agg(F.sort_array(F.collect_list(F.struct("at", "x")))["x"].alias("centre")))
+
+
+def _balls(cells: DataFrame, classes: DataFrame, tables: int, reach: float, crowd: int) -> tuple[DataFrame, DataFrame] | None:
+    """(id, copies, ball) of the vectors in balls and (ball, centre, r, weight, n) of the balls; None without any.
+
+    Table after table, what is in no ball yet and crowds a home cell is measured from its
+    mean.  Both are written tables.
+    """
+    members = balls = None
+    for t in range(tables):
+        home = cells.filter((F.col("t") == t) & F.col("home")).select("cell", "id")
+        if members is not None:
+            home = home.join(members, "id", "left_anti")
+        full = stage(home.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("cell"))
+        if full.isEmpty():
+            continue
+        rows = stage(home.join(full, "cell").join(classes, "id").withColumn("dims", F.size("vector")))
+        means = stage(_means(rows))
+        inside = _with_angle(rows.join(means, ["cell", "dims"]), "vector", "centre", "cell", "dims", "id", "copies")
+        inside = stage(inside.filter(F.col("angle") <= reach / 2 - _MARGIN))
+        named = stage(inside.groupBy("cell", "dims").agg(
+            F.min("id").alias("ball"), F.max("angle").alias("r"), F.sum("copies").alias("weight"), F.count("*").alias("n")))
+        more = inside.join(named, ["cell", "dims"]).select("id", "copies", "ball")
+        made = named.join(means, ["cell", "dims"]).select("ball", "centre", "r", "weight", "n")
+        members = stage(more if members is None else members.unionByName(more))
+        balls = stage(made if balls is None else balls.unionByName(made))
+    return None if balls is None or balls.isEmpty() else (members, balls)
+
+
+def _ball_links(cells: DataFrame, classes: DataFrame, members: DataFrame, balls: DataFrame, reach: float,
+                block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of balls: (id, n) and links (a, b) that need no pairs, and block rows of what is left open."""
+    ball_cells = cells.join(members.select("id", "ball"), "id").groupBy("t", "cell", "ball").agg(F.max("home").alias("home"))
+    others = (cells.join(members, "id", "left_anti").select("t", "cell", F.col("id").alias("obj"), F.col("home").alias("at_home"))
+              .withColumn("many", F.lit(False)).unionByName(
+                  ball_cells.select("t", "cell", F.col("ball").alias("obj"), F.col("home").alias("at_home"), F.lit(True).alias("many"))))
+    met = (ball_cells.join(others, ["t", "cell"]).filter("(home OR at_home) AND (NOT many OR ball < obj)")
+           .select("ball", "obj", "many").distinct())
+    alone = classes.select(F.col("id").alias("obj"), F.lit(False).alias("many"), F.col("vector").cast("array<double>").alias("at"),
+                           F.lit(0.0).alias("r_o"), F.col("copies").alias("w_o"))
+    things = alone.unionByName(balls.select(F.col("ball").alias("obj"), F.lit(True).alias("many"), F.col("centre").alias("at"),
+                                            F.col("r").alias("r_o"), F.col("weight").alias("w_o")))
+    judged = stage(_with_angle(met.join(things, ["obj", "many"]).join(balls, "ball"), "at", "centre",
+                               "ball", "obj", "many", "r", "r_o", "weight", "w_o"))
+    wide = F.col("r") + F.col("r_o")
+    every = F.col("angle") + wide <= reach - _MARGIN
+    near = judged.filter(every)
+    unclear = judged.filter(~every & (F.col("angle") - wide <= reach + _MARGIN))
+
+    added = (near.select(F.col("ball").alias("obj"), F.lit(True).alias("many"), F.col("w_o").alias("n"))
+             .unionByName(near.select("obj", "many", F.col("weight").alias("n")))
+             .groupBy("obj", "many").agg(F.sum("n").alias("n")))
+    of_balls = added.filter("many").select(F.col("obj").alias("ball"), F.col("n").alias("more"))
+    counts = (members.join(balls.select("ball", "weight"), "ball").join(of_balls, "ball", "left")
+              .select("id", (F.col("weight") - F.col("copies") + F.coalesce("more", F.lit(0))).alias("n"))
+              .unionByName(added.filter("NOT many").select(F.col("obj").alias("id"), "n")))
+    links = members.select(F.col("id").alias("a"), F.col("ball").alias("b")).unionByName(
+        near.select(F.col("ball").alias("a"), F.col("obj").alias("b")))
+
+    inside = members.select("id", F.col("ball").alias("obj"))
+    guests = stage(unclear.filter("many").join(inside, "obj").select("ball", "id").unionByName(
+        unclear.filter("NOT many").select("ball", F.col("obj").alias("id"))))
+    parts = (guests.groupBy("ball").agg(F.ceil(F.count("*") / block).alias("guest_parts"))
+             .join(balls.select("ball", F.ceil(F.col("n") / block).alias("own_parts")), "ball"))
+
+    def dealt(rows, own, other, side):
+        place = F.pmod(F.xxhash64("id"), F.col(own))
+        across = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+        i, j = (place, across) if side == 0 else (across, place)
+        return rows.join(parts, "ball").select(F.lit(-1).alias("t"), F.col("ball").alias("cell"), "id", F.lit(True).alias("home"),
+                                               i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    rows = dealt(members.select("ball", "id"), "own_parts", "guest_parts", 0).unionByName(
+        dealt(guests, "guest_parts", "own_parts", 1))
+    return counts, links, rows
+
+
 def vector_links(vectors: DataFrame, least: float = 0.95, lattice: Lattice | None = None, block: int = BLOCK,
-                 id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+                 id_col: str = "vec_id", vector_col: str = "embedding", crowd: int = CROWD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
     Links join rows with a cosine of ``least`` or more, found through the lattice.  A
@@ -245,18 +367,26 @@ def vector_links(vectors: DataFrame, least: float = 0.95, lattice: Lattice | Non
     classes = stage(all_.filter("sound").groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
 
     cells = stage(_cell_rows(classes, lattice))
-    met = (cells.groupBy("t", "cell").agg(F.count("*").alias("n"), F.max("home").alias("any_home"))
+    balls = _balls(cells, classes, lattice.tables, math.acos(least), crowd)
+    loose = cells if balls is None else stage(cells.join(balls[0], "id", "left_anti"))
+    met = (loose.groupBy("t", "cell").agg(F.count("*").alias("n"), F.max("home").alias("any_home"))
            .filter("n > 1 AND any_home").select("t", "cell", F.ceil(F.col("n") / block).alias("parts")))
-    rows = (cells.join(met, ["t", "cell"])
+    rows = (loose.join(met, ["t", "cell"])
             .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
             .select("t", "cell", "id", "home", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
                     F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side")))
+    if balls is not None:
+        sure, bound, open_ = _ball_links(cells, classes, *balls, math.acos(least), block)
+        rows = rows.unionByName(open_)
     full = rows.join(classes.withColumn("dims", F.size("vector")), "id").repartition("t", "cell", "i", "j", "dims")
     found = stage(full.sortWithinPartitions("t", "cell", "i", "j", "dims")
                   .mapInArrow(_compare(lattice, least), "a long, b long, n long"))
-    counts = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    groups = components(found.filter("b IS NOT NULL").select("a", "b"))
+    counted, links = found.filter("b IS NULL").select(F.col("a").alias("id"), "n"), found.filter("b IS NOT NULL").select("a", "b")
+    if balls is not None:
+        counted, links = counted.unionByName(sure), links.unionByName(bound)
+    counts = counted.groupBy("id").agg(F.sum("n").alias("n"))
+    groups = components(links)
     named = (classes.join(counts, "id", "left").join(groups, "id", "left")
              .select("vector", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
                      F.coalesce("component", "id").alias("component_id"), F.lit(True).alias("sound")))
