@@ -627,6 +627,8 @@ FROM @ranked@ WHERE position <= 20""",
     "chart_timeline": f"""SELECT reg_id, unnest(dates[1:10]) AS date, {slot(C.TIMELINE_LABEL, 'generate_subscripts(dates[1:10], 1)::varchar')} AS event FROM @extracted@""",
     "report_themes": f"SELECT reg_id, {bars('themes')} AS themes FROM @reg_themes@",
     "attribute_filter": """SELECT filing_id, ticker, filing_type, fiscal_year FROM @filings@ WHERE filing_type = '10-K' AND fiscal_year = 1997""",
+    "filing_store": """SELECT filing_id, ticker, filing_type, fiscal_year, length(text) AS n_chars FROM @filings@
+  WHERE filing_type = '10-K' AND fiscal_year = 1997""",
     "passage_topk": "SELECT * REPLACE (round(score, 6) AS score) FROM @theme_snippets@",
     "exposed_companies": "SELECT * REPLACE (round(total_score, 6) AS total_score) FROM @exposed@",
     "reply_json": """SELECT reg_id, found AS json, CASE WHEN found IS NULL THEN body END AS raw_response,

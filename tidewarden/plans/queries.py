@@ -13,7 +13,7 @@ from ..operators import datasets as D, extract as E, filings as FI, mentions as
 from ..operators import portfolio as PF, ranking as RK, recommend as RC
 from ..operators.rows import unnest, unnest_fields
 from ..sources.stage import scratch, stage
-from ..sources import documents as SD, facts as SF, tables as ST
+from ..sources import documents as SD, facts as SF, filing_store as FS, tables as ST
 from . import impact as I, report as RP
 
 QUERIES = {}
@@ -739,6 +739,16 @@ def attribute_filter(x):
     return x["filings"].filter(wanted).select("filing_id", "ticker", "filing_type", "fiscal_year")
 
 
+@query
+def filing_store(x):
+    # Filings in folders and buckets, of which a year and a type are read.
+    path = scratch(x.spark)
+    table = "filings_" + path.rsplit("-", 1)[1]
+    filings = FS.write_filings(x["filings"], table, path, buckets=8)
+    wanted = filings.filter(P.attribute_filter({"filing_type": "10-K", "fiscal_year": 1997}))
+    return wanted.select("filing_id", "ticker", "filing_type", "fiscal_year", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def passage_topk(x):
     themes = unnest(reply_themes(x), "themes", "theme")

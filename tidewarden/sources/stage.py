@@ -61,6 +61,17 @@ def release(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+@contextlib.contextmanager
+def released():
+    """Folders written inside are removed at its end: for work that is done over and over."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in set(_written) - before:
+            remove(_written[path], path)
+
+
 @atexit.register
 def _remove_all() -> None:
     for path, spark in list(_written.items()):
