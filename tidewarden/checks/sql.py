@@ -273,6 +273,8 @@ FROM (SELECT *, CASE WHEN regexp_matches(text, {lit(CONFIG)}) THEN regexp_extrac
 FROM @holdings@ h LEFT JOIN @fundamentals@ f ON h.symbol = f.symbol""",
     "picked": """SELECT ticker, arg_min(name, (NOT (contains(lower(name), '10-k') OR contains(lower(name), '10k')))::int::varchar || name) AS name
 FROM @filings@ GROUP BY ticker""",
+    "picked_of_every": """SELECT ticker, arg_min(name, (NOT (contains(lower(name), '10-k') OR contains(lower(name), '10k')))::int::varchar || name) AS name
+FROM @every_filing@ GROUP BY ticker""",
     "chosen_filings": "SELECT f.* FROM @filings@ f JOIN @picked@ p ON f.ticker = p.ticker AND f.name = p.name",
     "all_lines": text_lines("@filings@", "filing_id"),
     "chosen_lines": text_lines("@chosen_filings@", "ticker"),
@@ -443,7 +445,7 @@ ORACLES = {
     "holdings_load": "SELECT rank, company, symbol, weight, round(price, 2) AS price, portfolio_id FROM @holdings@",
     "fundamentals_load": """SELECT symbol, company_name, round(market_cap) AS market_cap, revenue, op_income::decimal(20,8)::double AS op_income,
   CASE WHEN eps = 1 THEN 0 ELSE net_income END AS net_income, eps, fcf FROM @fundamentals@""",
-    "filing_pick": "SELECT ticker, name FROM @picked@",
+    "filing_pick": "SELECT ticker, name FROM @picked_of_every@",
     "reg_docs_load": f"""SELECT name, ext, {space('text')} AS text FROM @regulation_docs@
 UNION ALL SELECT 'Manual Input', 'txt', {space('reply')} FROM @model_replies@ WHERE trim(reply) <> ''""",
     "reg_concat": """SELECT portfolio_id, reg_id, length(text) AS n_chars,
@@ -498,7 +500,7 @@ FROM @portfolio@""",
     "measure_freq": """SELECT measure, count(*) AS occurrences FROM (SELECT unnest(measures) AS measure FROM @extracted@) GROUP BY ALL
 ORDER BY occurrences DESC, measure LIMIT 10""",
     "section_slice": f"""SELECT filing_id, {section('supply chain', 120)} AS supply, {section('customers', 120)} AS customers,
-  {section('form 10-k', 120)} AS "first", {section('no such heading', 120)} AS absent FROM @filings@""",
+  {section('form 10-k', 120)} AS "first", {section('no such heading', 120)} AS absent FROM @every_filing@""",
     "filing_sections": """SELECT doc AS filing_id, cast(seg AS int) AS number, CASE WHEN arg_min(h, i) THEN trim(arg_min(line, i), chr(32) || chr(9) || chr(13)) END AS heading,
   cast(min(place) AS int) AS "start", cast(max(place + n) AS int) AS "end"
 FROM (SELECT *, coalesce(sum(n + 1) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM @all_lines@) GROUP BY doc, seg""",
@@ -626,7 +628,7 @@ FROM @ranked@ WHERE position <= 20""",
     "chart_geography": f"""SELECT {BOOK}, symbol, g.region, g.share AS exposure FROM @ranked@ r JOIN @geography@ g ON g.doc = r.symbol WHERE position <= 15""",
     "chart_timeline": f"""SELECT reg_id, unnest(dates[1:10]) AS date, {slot(C.TIMELINE_LABEL, 'generate_subscripts(dates[1:10], 1)::varchar')} AS event FROM @extracted@""",
     "report_themes": f"SELECT reg_id, {bars('themes')} AS themes FROM @reg_themes@",
-    "attribute_filter": """SELECT filing_id, ticker, filing_type, fiscal_year FROM @filings@ WHERE filing_type = '10-K' AND fiscal_year = 1997""",
+    "attribute_filter": """SELECT filing_id, ticker, filing_type, fiscal_year FROM @every_filing@ WHERE filing_type = '10-K' AND fiscal_year = 1997""",
     "filing_store": """SELECT filing_id, ticker, filing_type, fiscal_year, length(text) AS n_chars FROM @filings@
   WHERE filing_type = '10-K' AND fiscal_year = 1997""",
     "passage_topk": "SELECT * REPLACE (round(score, 6) AS score) FROM @theme_snippets@",
