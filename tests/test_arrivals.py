@@ -89,3 +89,9 @@ def test_the_store_prunes_folders_and_joins_without_exchange(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE stored_filings")
         spark.sql("DROP TABLE stored_facts")
+
+
+def test_a_bucket_stays_small_however_many_filings():
+    for rows in (0, 1000, 10 ** 6, 50 * 10 ** 6):
+        assert FS.buckets_for(rows) >= 8 and rows <= FS.buckets_for(rows) * FS.BUCKET_ROWS
+    assert FS.buckets_for(1000) == 8

@@ -151,3 +151,11 @@ def test_composed_filings_exceed_every_short_list(spark):
             assert len(a[name]) > n >= len(b[name]), name
         assert max(map(len, a.risk_factors)) > 250
         assert {"Taiwan", "Singapore"} <= {e.region for e in a.geographic_exposure}
+
+
+def test_segments_look_back_at_line_breaks_only():
+    assert S._BOUNDARY.startswith(r"\n(?<=")
+
+
+def test_rare_letters_are_folded(one):
+    assert one(lambda c: S.lowered(c), "İſ ABC") == "is abc" and one(lambda c: S.lowered(c), "ABC Ä") == "abc ä"

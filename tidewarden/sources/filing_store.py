@@ -7,6 +7,13 @@ ticker, so that filings and facts or holdings bucketed alike join without an exc
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDERS = ["fiscal_year", "filing_type"]
+#: Rows of a bucket, which one task sorts: 100 MB of filings of two thousand characters.
+BUCKET_ROWS = 50_000
+
+
+def buckets_for(rows: int, least: int = 8) -> int:
+    """Buckets for so many rows, so that a bucket stays small however many there are."""
+    return max(least, -(-rows // BUCKET_ROWS))
 
 
 def write_bucketed(df: DataFrame, table: str, path: str, key: str = "ticker", buckets: int = 200,
