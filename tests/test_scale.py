@@ -22,3 +22,15 @@ def test_orders_are_not_broadcast(spark):
     for name in ("holdings", "fundamentals", "filings"):
         scans = [s.partition("FileScan")[2].partition("\n")[0] for s in plan(x[name]).split("BroadcastExchange")[1:]]
         assert "o_orderkey" not in "".join(scans)
+
+
+def test_documents_are_written_by_tasks_in_proportion(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SD, "WRITTEN", 5)
+    docs = [(f"d{i}.txt", f"text {i}") for i in range(60)] + [("twice.txt", "one"), ("twice.txt", "two")]
+    path = scratch(spark)
+    SD.write_documents(spark.createDataFrame(docs, "name string, text string"), path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    assert len({r.path.rsplit("/", 1)[1].split("-")[1] for r in files.collect()}) > 4
+    got = SD.read_regulations(spark, path, F.regexp_extract("path", "name=([^/]+)/", 1))
+    assert {(r.name, r.ext, tuple(sorted(r.text.split("\n")[:-1]))) for r in got.collect()} == {
+        *((n, "txt", (t,)) for n, t in docs[:60]), ("twice.txt", "txt", ("one", "two"))}
