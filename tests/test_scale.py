@@ -34,3 +34,20 @@ def test_documents_are_written_by_tasks_in_proportion(spark, tmp_path, monkeypat
     got = SD.read_regulations(spark, path, F.regexp_extract("path", "name=([^/]+)/", 1))
     assert {(r.name, r.ext, tuple(sorted(r.text.split("\n")[:-1]))) for r in got.collect()} == {
         *((n, "txt", (t,)) for n, t in docs[:60]), ("twice.txt", "txt", ("one", "two"))}
+
+
+def test_words_of_passages_do_not_travel(spark, monkeypatch):
+    """A word that every passage holds would be met in one task, and texts that pack well sorted in few."""
+    plans, keep = [], P.stage
+    monkeypatch.setattr(P, "stage", lambda df: plans.append(plan(df)) or keep(df))
+    rows = P.with_word_counts(spark.createDataFrame(
+        [(i, f"the tax of {i} " + "the supply chain " * (i % 3)) for i in range(50)], "passage_id bigint, passage string"))
+    themes = spark.createDataFrame([("tax",), ("supply chain",), ("the",)], "theme string")
+    want = Counter((r.theme, r.passage_id, r.tf, round(r.score, 9)) for r in P.theme_scores(rows, themes).collect())
+    assert not any("hashpartitioning(word" in p for p in plans)
+    monkeypatch.setattr(P, "WORDS_A_TASK", 40)
+    got = Counter((r.theme, r.passage_id, r.tf, round(r.score, 9)) for r in P.theme_scores(rows, themes).collect())
+    assert got == want and any("hashpartitioning(passage_id#" in p and ", 9)" in p for p in plans)
+    monkeypatch.setattr(P, "FEW", 0)
+    assert Counter((r.theme, r.passage_id, r.tf, round(r.score, 9)) for r in P.theme_scores(rows, themes).collect()) == want
+    assert P.top_passages(rows, themes, 7).count() == 21
