@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tidewarden import config as C
 from tidewarden.functions import sections as S
 from tidewarden.operators import filings as FI
 
@@ -159,3 +160,20 @@ def test_segments_look_back_at_line_breaks_only():
 
 def test_rare_letters_are_folded(one):
     assert one(lambda c: S.lowered(c), "İſ ABC") == "is abc" and one(lambda c: S.lowered(c), "ABC Ä") == "abc ä"
+
+
+def test_words_are_found_as_patterns_find_them(spark):
+    """Plain searches stand for patterns that ignore case, also of the letters that fold to ASCII ones."""
+    themes = {w: t for t, p in C.RISK_THEMES.items() for w in S._words(p)}
+    for theme, pattern in C.RISK_THEMES.items():
+        assert all(re.fullmatch(pattern, w) for w in S._words(pattern))
+        assert len(S._words(pattern)) == pattern.count("|") + 1
+    odd = str.maketrans("isk", "\u0130\u017f\u212a")
+    for turn in (str.upper, str.title, lambda w: w.translate(odd), lambda w: w.replace("i", "\u0131")):
+        text = "Risk factors\n" + " ".join(f"The year could bring {turn(w)} beyond what our group can bear, number {i}." for i, w in enumerate(themes))
+        lines = facts(spark, text).risk_factors
+        assert [x.split(":")[0] for x in lines] == list(C.RISK_THEMES)
+    kept = facts(spark, "Key \u017fUPPL\u0130ERS are Vabc Corp, Ebc Ltd and more. DEPENDENT\u017f; dependent on imported metal and oil.")
+    assert kept.suppliers == ["Ebc Ltd", "Vabc Corp"] and kept.dependencies == ["imported metal and oil"]
+    every = C.SUPPLIER_PHRASES + C.PRODUCT_PHRASES + C.DEPENDENCY_PHRASES
+    assert all(p.startswith(S._start(p)) and len(S._start(p)) > 2 for p in every)

@@ -1,14 +1,17 @@
 """What travels, what is written and by how many tasks, where tables are large."""
 
+import re
 from collections import Counter
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidewarden.fixtures import Inputs
+from tidewarden.fixtures import FIXTURES, Inputs, plain
 from tidewarden.operators import passages as P
-from tidewarden.plans import queries as Q
+from tidewarden.plans import impact as I, queries as Q
 from tidewarden.sources import documents as SD
-from tidewarden.sources.stage import scratch
+from tidewarden.sources.stage import scratch, stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +54,37 @@ def test_words_of_passages_do_not_travel(spark, monkeypatch):
     monkeypatch.setattr(P, "FEW", 0)
     assert Counter((r.theme, r.passage_id, r.tf, round(r.score, 9)) for r in P.theme_scores(rows, themes).collect()) == want
     assert P.top_passages(rows, themes, 7).count() == 21
+
+
+@pytest.mark.parametrize("names", [0, 1 << 16])
+def test_lines_of_other_filings_do_not_meet_parts(spark, monkeypatch, names):
+    """Beyond NAMES the chosen ids met finished slots of all filings."""
+    monkeypatch.setattr(I, "NAMES", names)
+    x = Inputs(spark, SF)
+    got = Q.facts(x)
+    tree = plan(got)
+    assert re.search(r"Join \[l_orderkey#\d+L?\], \[filing_id#\d+L?\], LeftSemi", tree)
+    assert tree.rindex("LeftSemi") > re.search(r"Join \[pk#\d+L?\], \[p_partkey", tree).start()
+    assert Counter(map(str, got.collect())) == Counter(map(str, I.chosen_facts(x["filings"]).collect()))
+    ids = stage(x["filings"].filter("filing_id % 7 = 0").select("filing_id"))
+    want = x["filings"].join(ids, "filing_id", "left_semi")
+    assert Counter(x.filings_of(ids).collect()) == Counter(want.collect()) and want.count() > 100
+
+
+def test_sales_are_written_once(spark):
+    x = Inputs(spark, SF)
+    for name in ("holdings", "fundamentals", "company_findings"):
+        assert "/lineitem.parquet" not in plan(x[name])
+
+
+def test_sales_are_those_of_the_sql(spark):
+    lines = [(1, 10.0, 0.1), (1, 5.5, 0.0), (1, None, 0.1), (2, 7.25, None), (2, 7.25, None), (3, 1.0, 0.0), (None, 4.0, 0.0), (9, 1.0, 0.0)]
+    orders = [(1, 100), (2, 100), (2, 100), (3, None), (4, 101), (None, 102)]
+    given = {"lineitem": spark.createDataFrame(lines, "l_orderkey long, l_extendedprice double, l_discount double"),
+             "orders": spark.createDataFrame(orders, "o_orderkey long, o_custkey long")}
+    for name, table in given.items():
+        table.createOrReplaceTempView(name)
+    want = spark.sql(plain(FIXTURES["sales"]))
+    got = Inputs(spark, SF, given)["sales"]
+    assert got.dtypes == want.dtypes and Counter(got.collect()) == Counter(want.collect())
+    assert {r.k: r.gross for r in got.collect()} == {100: Decimal("44.50"), None: Decimal("1.00")}
