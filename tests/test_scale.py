@@ -88,3 +88,68 @@ def test_sales_are_those_of_the_sql(spark):
     got = Inputs(spark, SF, given)["sales"]
     assert got.dtypes == want.dtypes and Counter(got.collect()) == Counter(want.collect())
     assert {r.k: r.gross for r in got.collect()} == {100: Decimal("44.50"), None: Decimal("1.00")}
+
+
+def test_sums_of_lines_are_exact_for_any_number(spark):
+    """Sums of whole cents where a price has no more; the others by their decimals, as the SQL has them."""
+    prices = [0.01, 0.1 + 0.2, 1.005, 2.675, -3.125, 99999.99, 1e7, 1e7 + 0.01, 123456789012.35, 9007199254740993.0, -0.0, 1e-9, None]
+    discounts = [0.0, 0.07, 0.075, 0.29, 1.0, -0.5, 99.99, None]
+    lines = [(i % 7, p, d) for i, (p, d) in enumerate((p, d) for p in prices for d in discounts)]
+    given = {"lineitem": spark.createDataFrame([*lines, (None, 5.0, 0.1)], "l_orderkey long, l_extendedprice double, l_discount double"),
+             "orders": spark.createDataFrame([(i, i % 3) for i in range(7)], "o_orderkey long, o_custkey long")}
+    for name, table in given.items():
+        table.createOrReplaceTempView(name)
+    got = Inputs(spark, SF, given)["sales"]
+    want = spark.sql(plain(FIXTURES["sales"]))
+    assert got.dtypes == want.dtypes and Counter(got.collect()) == Counter(want.collect())
+    sums = [s for s in plan(got).split("\n") if "keys=[l_orderkey" in s and "functions=[partial_sum" in s]
+    assert sums and not any("decimal" in s for s in sums)
+
+
+def test_filings_are_chosen_without_their_lines(spark, monkeypatch):
+    """Lines of all filings met parts and suppliers and became slots only to choose a name."""
+    plans, keep = [], I.stage
+    monkeypatch.setattr(I, "stage", lambda df: plans.append(plan(df)) or keep(df))
+    x = Inputs(spark, SF)
+    want = Counter(map(str, I.chosen_facts(x["filings"]).collect()))
+    del plans[:]
+    assert Counter(map(str, I.chosen_facts(x["filings"], x.filings_of, x["filing_names"]).collect())) == want
+    assert "p_partkey" not in plans[0] and "p_partkey" in plans[1] and len(plans) == 3
+
+
+@pytest.mark.parametrize("names", [0, 1 << 16])
+def test_a_name_without_a_filing_is_not_chosen(spark, monkeypatch, names):
+    """The first filing by name of most companies has no known part; that of some has no line; some have no filing at all."""
+    monkeypatch.setattr(I, "NAMES", names)
+    x = Inputs(spark, SF)
+    first = stage(x["filings"].groupBy("ticker").agg(F.min_by("filing_id", "name").alias("l_orderkey")))
+    lines = x.table("lineitem").join(first.withColumn("bad", F.length("ticker") > 0), "l_orderkey", "left")
+    lost = F.coalesce("bad", F.lit(False)) | (F.col("l_orderkey") % 5 == 0)
+    lines = stage(lines.withColumn("l_partkey", F.when(lost, -1).otherwise(F.col("l_partkey"))).drop("bad", "ticker")
+                  .filter("l_orderkey % 11 <> 3"))
+    y = Inputs(spark, SF, {"lineitem": lines})
+    names = y["filing_names"]
+    assert names.join(y["filings"], "filing_id", "left_anti").count() > 50
+    want = Counter(map(str, I.chosen_facts(y["filings"]).collect()))
+    assert Counter(map(str, I.chosen_facts(y["filings"], y.filings_of, names).collect())) == want
+    assert Counter(map(str, I.chosen_facts(y["filings"], names=names).collect())) == want and sum(want.values()) > 50
+
+
+def test_names_of_filings_are_those_of_the_sql(spark):
+    x = Inputs(spark, SF)
+    for name in ("customer", "orders", "lineitem"):
+        x.table(name).createOrReplaceTempView(name)
+    spark.sql(plain(FIXTURES["books"])).createOrReplaceTempView("books")
+    got = Counter(x["filing_names"].collect())
+    assert got == Counter(spark.sql(plain(FIXTURES["filing_names"])).collect())
+    assert not Counter(x["filings"].select("filing_id", "ticker", "name").collect()) - got
+
+
+def test_documents_are_extracted_by_tasks_in_proportion(spark, monkeypatch):
+    """Texts are small for the time they take: all went to one task."""
+    monkeypatch.setattr(I, "DOCUMENTS", 7)
+    x = Inputs(spark, SF)
+    docs = x["regulation_docs"].unionByName(x["regulation_docs"]).unionByName(x["regulation_docs"])
+    got = I.dealt(docs)
+    assert Counter(got.collect()) == Counter(docs.collect())
+    assert got.rdd.getNumPartitions() == docs.count() // 7 + 1 > 4
