@@ -1,5 +1,6 @@
 """What travels, what is written and by how many tasks, where tables are large."""
 
+import random
 import re
 from collections import Counter
 from decimal import Decimal
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewarden.fixtures import FIXTURES, Inputs, plain
-from tidewarden.operators import passages as P
+from tidewarden.functions import text as T
+from tidewarden.operators import mentions as M, passages as P
 from tidewarden.plans import impact as I, queries as Q
 from tidewarden.sources import documents as SD
 from tidewarden.sources.stage import scratch, stage
@@ -153,3 +155,59 @@ def test_documents_are_extracted_by_tasks_in_proportion(spark, monkeypatch):
     got = I.dealt(docs)
     assert Counter(got.collect()) == Counter(docs.collect())
     assert got.rdd.getNumPartitions() == docs.count() // 7 + 1 > 4
+
+
+def test_texts_of_passages_do_not_travel_to_few_phrases(spark, monkeypatch):
+    """All texts were dealt and sorted to meet their candidates, and their words were listed once more."""
+    texts = ["The tax of a supply  chain, the TAX.", "supply chain and supply-chain; tax", "a tax_man taxes", "été d'Été, the tax été", "supply only",
+             "a.b (c) a.b", "", "tax", "naïve tax\nin the supply chain"]
+    ids = [*range(len(texts)), 0, 0, 7]
+    rows = stage(P.with_word_counts(spark.createDataFrame([(i, texts[i]) for i in ids], "passage_id bigint, passage string")))
+    themes = spark.createDataFrame([(t,) for t in ("tax", "Tax", "supply chain", " (tax) ", "été", "a.b", "b (c) a", "a.b (c) a.b", "no", "...", None)], "theme string")
+
+    def hits():
+        return Counter((r.theme, r.passage_id, r.tf, round(r.score, 9)) for r in P.theme_scores(rows, themes).collect())
+
+    plans, keep = [], P.stage
+    monkeypatch.setattr(P, "stage", lambda df: plans.append(plan(df)) or keep(df))
+    got = hits()
+    scanned = next(p for p in plans if "Window" in p)
+    assert "Join" not in scanned and "Exchange" in scanned and "passage#" not in scanned.partition("Exchange")[0]
+    monkeypatch.setattr(P, "SCANNED", 0)
+    assert hits() == got and sum(got.values()) > 40
+    monkeypatch.setattr(P, "FEW", 0)
+    assert hits() == got
+
+
+def test_words_are_counted_as_they_are_matched(spark):
+    chance = random.Random(7)
+    texts = ["".join(chance.choice("aZ09_ .,-\t\n\x00\x1c\x7f") for _ in range(chance.randrange(30))) for _ in range(300)]
+    texts += ["".join(chance.choice("aé_ -́‍中٣") for _ in range(chance.randrange(20))) for _ in range(200)]
+    texts += ["one two " * n for n in (T.BATCHED // 8, T.BATCHED // 8 + 1)] + [None, "", "", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    n = df.select("t", T.word_count(F.col("t"), M.WORD).alias("n"), F.size(T.extract_all(F.col("t"), M.WORD)).alias("matched"))
+    assert n.dtypes[1:] == [("n", "int"), ("matched", "int")] and not [r for r in n.collect() if r.n != r.matched]
+    assert n.filter("n > 3").count() > 100
+
+
+def test_filings_of_other_forms_are_not_cut(spark):
+    """Texts of all forms were cut, counted and written, though snippets come from one."""
+    filings = spark.createDataFrame([(1, "A", "10-K", 2020, "a", "u", "tax law"), (2, "A", "10-Q", 2020, "b", "u", "tax law"), (3, "A", None, 2020, "c", "u", "tax")],
+                                    "filing_id bigint, ticker string, filing_type string, fiscal_year int, title string, url string, text string")
+    assert [r.filing_id for r in Q.filing_passages({"filings": filings}).collect()] == [1]
+
+
+def test_slots_are_not_dealt_by_company(spark):
+    """Orders met slots first, so that rows of all slots travelled to meet their company."""
+    tables = ("customer", "orders", "lineitem", "supplier", "nation", "part")
+    x = Inputs(spark, SF)
+    doubled = {t: x.table(t).unionByName(x.table(t).limit(40)) for t in ("customer", "orders")}
+    y = Inputs(spark, SF, {"customer": stage(doubled["customer"]), "orders": stage(doubled["orders"])})
+    for name in ("filings", "every_filing"):
+        tree = plan(y[name])
+        assert tree.rindex("[o_custkey#") > re.search(r"Join \[ok#\d+L?\], \[o_orderkey", tree).start()
+        for t in tables:
+            y.table(t).createOrReplaceTempView(t)
+        for dep in ("books", "filing_lines", "filing_slots"):
+            spark.sql(plain(FIXTURES[dep])).createOrReplaceTempView(dep)
+        assert Counter(y[name].collect()) == Counter(spark.sql(plain(FIXTURES[name])).collect())

@@ -18,6 +18,11 @@ def report_themes(supplied: Column, text: Column, n: int | None = None) -> Colum
     return F.when(F.size(given) > 0, given).otherwise(fallback)
 
 
+def retrieved(filters: dict | None = None, form: str = "10-K") -> Column:
+    """The filings that snippets come from: those of one form, narrowed by the attribute filter."""
+    return (F.col("filing_type") == form) & P.attribute_filter(filters)
+
+
 def theme_snippets(passage_rows: DataFrame, themes: DataFrame, filters: dict | None = None,
                    form: str = "10-K") -> DataFrame:
     """Snippets retrieved from filings of one form, narrowed by the attribute filter.
@@ -25,8 +30,7 @@ def theme_snippets(passage_rows: DataFrame, themes: DataFrame, filters: dict | N
     A theme without any hit gets one row with an error text and does not
     disturb the others.
     """
-    wanted = (F.col("filing_type") == form) & P.attribute_filter(filters)
-    found = P.snippets(P.top_passages(passage_rows.filter(wanted), themes))
+    found = P.snippets(P.top_passages(passage_rows.filter(retrieved(filters, form)), themes))
     return (themes.select("theme").distinct().join(found, "theme", "left")
             .withColumn("error", F.when(F.col("position").isNull(), F.lit("no passage found"))))
 
