@@ -13,7 +13,7 @@ from tidewarden.functions import text as T
 from tidewarden.operators import mentions as M, passages as P
 from tidewarden.plans import impact as I, queries as Q
 from tidewarden.sources import documents as SD
-from tidewarden.sources.stage import scratch, stage
+from tidewarden.sources.stage import LARGE, scratch, stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -179,6 +179,15 @@ def test_texts_of_passages_do_not_travel_to_few_phrases(spark, monkeypatch):
     assert hits() == got
 
 
+def test_hits_of_a_theme_are_cut_before_they_travel(spark):
+    """Hits met the frequency of their theme in one task a theme, which then sorted all of them."""
+    rows = stage(P.with_word_counts(spark.range(2 * LARGE).selectExpr("id AS passage_id", "'tax ' || id AS passage")))
+    themes = spark.createDataFrame([("tax",), ("7",)], "theme string")
+    assert "hashpartitioning(theme" not in plan(P.theme_scores(rows, themes))
+    best = P.top_passages(rows, themes, 3).collect()
+    assert sorted((r.theme, r.passage_id) for r in best) == [("7", 7), ("tax", 0), ("tax", 1), ("tax", 2)]
+
+
 def test_words_are_counted_as_they_are_matched(spark):
     chance = random.Random(7)
     texts = ["".join(chance.choice("aZ09_ .,-\t\n\x00\x1c\x7f") for _ in range(chance.randrange(30))) for _ in range(300)]
